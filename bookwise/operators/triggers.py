@@ -123,16 +123,17 @@ def reorder_due(sales: DataFrame, settings: Settings, as_of=None) -> DataFrame:
     )
 
 
-def new_accounts(sales: DataFrame, settings: Settings, as_of=None) -> DataFrame:
+def new_accounts(sales: DataFrame, settings: Settings, as_of=None, history: DataFrame | None = None) -> DataFrame:
     """Accounts whose first invoice falls inside the last N days.
 
     All lines of a new account are recent, so the whole history is read for two
-    columns only (first day per customer) and the details come from the recent
-    partitions.
+    columns only (first day per customer; from ``history`` if a compacted table is at
+    hand) and the details come from the recent partitions.
     """
+    history = sales if history is None else history
     first_day = F.date_sub(as_of_column(as_of), settings.days("new_account_days"))
     newcomers = (
-        sales.groupBy("customer_id")
+        history.groupBy("customer_id")
         .agg(F.min("invoice_date").alias("first_invoice"))
         .where(F.col("first_invoice") >= first_day)
         .select("customer_id")

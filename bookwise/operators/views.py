@@ -5,7 +5,7 @@ Functions take DataFrames that are already scoped (or not) by ``scope.scoped``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bookwise import constants as K, schemas
 from bookwise.context import Scope, months_before
@@ -43,6 +43,30 @@ def line_view(fact: DataFrame, name: str) -> DataFrame:
     return fact.select(*LINE_COLUMNS[name])
 
 
+def daily_sales(sales: DataFrame) -> DataFrame:
+    """Invoice lines compacted to customer x group x day x charge flag.
+
+    Sums, extremes and days survive, so the rollups, penetration and cadence operators
+    take this table in place of the lines and one scan of the lines serves them all.
+    The day is part of the key: a customer with a third of the lines still spreads over
+    many tasks, and lines combine before they are shuffled.
+    """
+    flag = F.when(not_other_charge(), "N").otherwise("Y")
+    return (
+        sales.groupBy("customer_id", "product_group_id", "invoice_date", flag.alias("other_charge_item"))
+        .agg(
+            F.max("customer_name").alias("customer_name"),
+            F.max("product_group_desc").alias("product_group_desc"),
+            F.sum("extended_price").alias("extended_price"),
+            F.count(F.lit(1)).alias("lines"),
+        )
+    )
+
+
+def _lines(sales: DataFrame) -> Column:
+    return F.col("lines") if "lines" in sales.columns else F.lit(1).cast("bigint")
+
+
 def customer_pg_12m(sales: DataFrame, as_of=None) -> DataFrame:
     """Customer x product group over the last 12 months, other charges excluded."""
     return (
@@ -52,7 +76,7 @@ def customer_pg_12m(sales: DataFrame, as_of=None) -> DataFrame:
         .agg(
             F.max("product_group_desc").alias("product_group_desc"),
             F.sum("extended_price").alias("sales_12m"),
-            F.count(F.lit(1)).alias("lines_12m"),
+            F.sum(_lines(sales)).alias("lines_12m"),
             F.max("invoice_date").alias("last_invoice_date"),
         )
     )
@@ -66,7 +90,7 @@ def customer_pg_ltd(sales: DataFrame) -> DataFrame:
         .agg(
             F.max("product_group_desc").alias("product_group_desc"),
             F.sum("extended_price").alias("sales_ltd"),
-            F.count(F.lit(1)).alias("lines_ltd"),
+            F.sum(_lines(sales)).alias("lines_ltd"),
             F.min("invoice_date").alias("first_invoice_date"),
             F.max("invoice_date").alias("last_invoice_date"),
         )
@@ -82,11 +106,11 @@ def customer_pg(sales: DataFrame, as_of=None) -> DataFrame:
         .agg(
             F.max(F.when(recent, F.col("product_group_desc"))).alias("desc_12m"),
             F.sum(F.when(recent, F.col("extended_price"))).alias("sales_12m"),
-            F.count_if(recent).alias("lines_12m"),
+            F.coalesce(F.sum(F.when(recent, _lines(sales))), F.lit(0).cast("bigint")).alias("lines_12m"),
             F.max(F.when(recent, F.col("invoice_date"))).alias("last_invoice_12m"),
             F.max("product_group_desc").alias("desc_ltd"),
             F.sum("extended_price").alias("sales_ltd"),
-            F.count(F.lit(1)).alias("lines_ltd"),
+            F.sum(_lines(sales)).alias("lines_ltd"),
             F.min("invoice_date").alias("first_invoice_date"),
             F.max("invoice_date").alias("last_invoice_ltd"),
         )
@@ -276,7 +300,9 @@ def task(
     activity_trans: DataFrame, task_outbox: DataFrame, erp_user: DataFrame, customers: DataFrame, scope: Scope
 ) -> DataFrame:
     """Tasks one login may see; the customer name only for customers in scope."""
-    if not scope.sees_all:
+    if not scope.enabled:
+        activity_trans, task_outbox = activity_trans.where(F.lit(False)), task_outbox.where(F.lit(False))
+    elif not scope.sees_all:
         # filter both inputs before the name joins; one scan of the activity rows
         mine = erp_user.where(F.col("login") == scope.login).select("erp_user_id").distinct()
         to_me = mine.select(F.col("erp_user_id").alias("assigned_to_id"), F.lit(True).alias("_to_me"))
