@@ -32,8 +32,24 @@ USERS = [
 ]
 
 
+# schemas of the generated tables, so that reading needs no inference job
+RAW = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    return spark.read.schema(RAW[name]).parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
 def _key(name: str):
@@ -217,18 +233,18 @@ def task_outbox(spark: SparkSession) -> DataFrame:
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    settings = [(k, v, None) for k, v in K.LIST_SETTINGS.items()]
+    settings = [(key, value, None) for key, value in K.LIST_SETTINGS.items()]
     return Tables(
-        customers=customers(spark, sf_dir),
-        salesreps=salesreps(spark, sf_dir),
-        invoice_sales=invoice_sales(spark, sf_dir),
-        open_quotes=_order_table(spark, sf_dir, "O", "open_quotes"),
-        open_orders=_order_table(spark, sf_dir, "P", "open_orders"),
-        cancelled_quotes=_order_table(spark, sf_dir, "F", "cancelled_quotes"),
-        erp_users=erp_users(spark),
-        activity_trans=activity_trans(spark, sf_dir),
-        user_access=user_access(spark),
-        list_settings=spark.createDataFrame(settings, schemas.LIST_SETTINGS),
-        task_type=spark.createDataFrame(K.TASK_TYPES, schemas.TASK_TYPE),
-        task_outbox=task_outbox(spark),
+        customers=lambda: customers(spark, sf_dir),
+        salesreps=lambda: salesreps(spark, sf_dir),
+        invoice_sales=lambda: invoice_sales(spark, sf_dir),
+        open_quotes=lambda: _order_table(spark, sf_dir, "O", "open_quotes"),
+        open_orders=lambda: _order_table(spark, sf_dir, "P", "open_orders"),
+        cancelled_quotes=lambda: _order_table(spark, sf_dir, "F", "cancelled_quotes"),
+        erp_users=lambda: erp_users(spark),
+        activity_trans=lambda: activity_trans(spark, sf_dir),
+        user_access=lambda: user_access(spark),
+        list_settings=lambda: spark.createDataFrame(settings, schemas.LIST_SETTINGS),
+        task_type=lambda: spark.createDataFrame(K.TASK_TYPES, schemas.TASK_TYPE),
+        task_outbox=lambda: task_outbox(spark),
     )

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,9 +12,11 @@ from bookwise import schemas
 MONTH = "fact_month"
 
 
-@dataclass(frozen=True)
 class Tables:
-    """The synced ERP tables and the owned lookups, ids already cast to string."""
+    """The synced ERP tables and the owned lookups, ids already cast to string.
+
+    Each table is built on first use, so an operator pays for the tables it reads.
+    """
 
     customers: DataFrame
     salesreps: DataFrame
@@ -28,10 +31,25 @@ class Tables:
     task_type: DataFrame
     task_outbox: DataFrame
 
+    def __init__(self, **loaders: Callable[[], DataFrame]):
+        unknown = set(loaders) - set(schemas.TABLES)
+        if unknown:
+            raise ValueError(f"unknown tables: {sorted(unknown)}")
+        self._loaders = loaders
+
+    def __getattr__(self, name: str) -> DataFrame:
+        # reached only while the table is not cached as an attribute
+        loaders = self.__dict__.get("_loaders", {})
+        if name not in loaders:
+            raise AttributeError(name)
+        table = loaders[name]()
+        setattr(self, name, table)
+        return table
+
 
 def load(spark: SparkSession, root: str) -> Tables:
     """Read every table from ``root/<name>`` with its fixed schema, no inference."""
-    return Tables(**{f.name: read_table(spark, root, f.name) for f in fields(Tables)})
+    return Tables(**{name: partial(read_table, spark, root, name) for name in schemas.TABLES})
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
