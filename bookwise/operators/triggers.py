@@ -44,17 +44,18 @@ def _with_gap(days: DataFrame, keys: list[str]) -> DataFrame:
 def going_quiet(sales: DataFrame, settings: Settings, as_of=None) -> DataFrame:
     """Accounts silent for longer than their own usual gap between invoice days.
 
-    Lines collapse to (customer, day) on the map side first, so the window sees at
-    most 24 months of days per customer.
+    Lines collapse to (customer, name, day) by hashing on the map side, so the window
+    sees at most 24 months of days per customer. The short result is partitioned by
+    customer once, for the days, the window and the cadence.
     """
     year = F.col("invoice_date") >= months_before(as_of, 12)
     days = (
         since(sales, "invoice_date", months_before(as_of, 24))
+        .groupBy("customer_id", "customer_name", "invoice_date")
+        .agg(F.sum(F.when(year & not_other_charge(), F.col("extended_price"))).alias("sales"))
+        .repartition("customer_id")
         .groupBy("customer_id", "invoice_date")
-        .agg(
-            F.max("customer_name").alias("customer_name"),
-            F.sum(F.when(year & not_other_charge(), F.col("extended_price"))).alias("sales"),
-        )
+        .agg(F.max("customer_name").alias("customer_name"), F.sum("sales").alias("sales"))
     )
     cadence = (
         _with_gap(days, ["customer_id"])
@@ -89,11 +90,14 @@ def reorder_due(sales: DataFrame, settings: Settings, as_of=None) -> DataFrame:
     days = (
         since(sales, "invoice_date", months_before(as_of, 24))
         .where("product_group_id IS NOT NULL")
+        .groupBy(*keys, "customer_name", "product_group_desc", "invoice_date")
+        .agg(F.sum("extended_price").alias("value"))
+        .repartition(*keys)
         .groupBy(*keys, "invoice_date")
         .agg(
             F.max("customer_name").alias("customer_name"),
             F.max("product_group_desc").alias("product_group_desc"),
-            F.sum("extended_price").alias("value"),
+            F.sum("value").alias("value"),
         )
     )
     cadence = (

@@ -44,7 +44,7 @@ def line_view(fact: DataFrame, name: str) -> DataFrame:
 
 
 def daily_sales(sales: DataFrame) -> DataFrame:
-    """Invoice lines compacted to customer x group x day x charge flag.
+    """Invoice lines compacted per customer, group, day, charge flag and their names.
 
     Sums, extremes and days survive, so the rollups, penetration and cadence operators
     take this table in place of the lines and one scan of the lines serves them all.
@@ -52,14 +52,9 @@ def daily_sales(sales: DataFrame) -> DataFrame:
     many tasks, and lines combine before they are shuffled.
     """
     flag = F.when(not_other_charge(), "N").otherwise("Y")
-    return (
-        sales.groupBy("customer_id", "product_group_id", "invoice_date", flag.alias("other_charge_item"))
-        .agg(
-            F.max("customer_name").alias("customer_name"),
-            F.max("product_group_desc").alias("product_group_desc"),
-            F.sum("extended_price").alias("extended_price"),
-            F.count(F.lit(1)).alias("lines"),
-        )
+    keys = ["customer_id", "customer_name", "product_group_id", "product_group_desc", "invoice_date"]
+    return sales.groupBy(*keys, flag.alias("other_charge_item")).agg(
+        F.sum("extended_price").alias("extended_price"), F.count(F.lit(1)).alias("lines")
     )
 
 
@@ -67,18 +62,31 @@ def _lines(sales: DataFrame) -> Column:
     return F.col("lines") if "lines" in sales.columns else F.lit(1).cast("bigint")
 
 
+# The rollups aggregate twice. MAX of a text column cannot be held in a hash aggregation
+# buffer, so Spark would sort all lines for it; with the text in the key the lines go
+# through a hash aggregation, and only its short result is reduced once more. That second
+# step is partitioned by customer, which everything per customer downstream reuses.
+
+
 def customer_pg_12m(sales: DataFrame, as_of=None) -> DataFrame:
     """Customer x product group over the last 12 months, other charges excluded."""
     return (
         since(sales, "invoice_date", months_before(as_of, 12))
         .where(not_other_charge())
-        .groupBy("customer_id", "product_group_id")
+        .groupBy("customer_id", "product_group_id", "product_group_desc")
         .agg(
-            F.max("product_group_desc").alias("product_group_desc"),
             F.sum("extended_price").alias("sales_12m"),
             F.sum(_lines(sales)).alias("lines_12m"),
             F.max("invoice_date").alias("last_invoice_date"),
         )
+        .repartition("customer_id")
+        .groupBy("customer_id", "product_group_id")
+        .agg(
+            F.max("product_group_desc").alias("product_group_desc"),
+            F.sum("sales_12m").alias("sales_12m"),
+            F.sum("lines_12m").alias("lines_12m"),
+            F.max("last_invoice_date").alias("last_invoice_date"),
+        )
     )
 
 
@@ -86,34 +94,52 @@ def customer_pg_ltd(sales: DataFrame) -> DataFrame:
     """Customer x product group over all history, other charges excluded."""
     return (
         sales.where(not_other_charge())
-        .groupBy("customer_id", "product_group_id")
+        .groupBy("customer_id", "product_group_id", "product_group_desc")
         .agg(
-            F.max("product_group_desc").alias("product_group_desc"),
             F.sum("extended_price").alias("sales_ltd"),
             F.sum(_lines(sales)).alias("lines_ltd"),
             F.min("invoice_date").alias("first_invoice_date"),
             F.max("invoice_date").alias("last_invoice_date"),
         )
+        .repartition("customer_id")
+        .groupBy("customer_id", "product_group_id")
+        .agg(
+            F.max("product_group_desc").alias("product_group_desc"),
+            F.sum("sales_ltd").alias("sales_ltd"),
+            F.sum("lines_ltd").alias("lines_ltd"),
+            F.min("first_invoice_date").alias("first_invoice_date"),
+            F.max("last_invoice_date").alias("last_invoice_date"),
+        )
     )
 
 
 def customer_pg(sales: DataFrame, as_of=None) -> DataFrame:
-    """Both rollups in one scan and one shuffle; split with ``pg_12m`` / ``pg_ltd``."""
+    """Both rollups in one scan; split with ``pg_12m`` / ``pg_ltd``."""
     recent = F.col("invoice_date") >= months_before(as_of, 12)
+    lines = _lines(sales)
     return (
         sales.where(not_other_charge())
-        .groupBy("customer_id", "product_group_id")
+        .groupBy("customer_id", "product_group_id", "product_group_desc")
         .agg(
-            F.max(F.when(recent, F.col("product_group_desc"))).alias("desc_12m"),
             F.sum(F.when(recent, F.col("extended_price"))).alias("sales_12m"),
-            F.coalesce(F.sum(F.when(recent, _lines(sales))), F.lit(0).cast("bigint")).alias("lines_12m"),
-            F.max(F.when(recent, F.col("invoice_date"))).alias("last_invoice_12m"),
-            F.max("product_group_desc").alias("desc_ltd"),
+            F.sum(F.when(recent, lines).otherwise(0)).alias("lines_12m"),
             F.sum("extended_price").alias("sales_ltd"),
-            F.sum(_lines(sales)).alias("lines_ltd"),
+            F.sum(lines).alias("lines_ltd"),
             F.min("invoice_date").alias("first_invoice_date"),
             F.max("invoice_date").alias("last_invoice_ltd"),
         )
+        .repartition("customer_id")
+        .groupBy("customer_id", "product_group_id")
+        .agg(
+            F.max(F.when(F.col("lines_12m") > 0, F.col("product_group_desc"))).alias("desc_12m"),
+            F.sum("sales_12m").alias("sales_12m"),
+            F.sum("lines_12m").alias("lines_12m"),
+            F.max("product_group_desc").alias("desc_ltd"),
+            F.sum("sales_ltd").alias("sales_ltd"),
+            F.sum("lines_ltd").alias("lines_ltd"),
+            F.min("first_invoice_date").alias("first_invoice_date"),
+            F.max("last_invoice_ltd").alias("last_invoice_ltd"),
+        )
     )
 
 
@@ -124,7 +150,8 @@ def pg_12m(pg: DataFrame) -> DataFrame:
         F.col("desc_12m").alias("product_group_desc"),
         "sales_12m",
         "lines_12m",
-        F.col("last_invoice_12m").alias("last_invoice_date"),
+        # with any recent line, the last line of all is recent
+        F.col("last_invoice_ltd").alias("last_invoice_date"),
     )
 
 
@@ -156,40 +183,49 @@ def customer_vector(pg12: DataFrame) -> DataFrame:
 def class_pg_penetration(sales: DataFrame, customers: DataFrame, as_of=None, scope: Scope | None = None) -> DataFrame:
     """Share of a market class's active customers that buy each product group.
 
-    Lines collapse to one row per customer and group before the class is known, so
-    buyers and active customers are plain counts: no distinct over the lines, and a
-    class holding most rows is already combined on the map side.
+    One scan: lines collapse to one row per customer and group, where a buyer is a row
+    and an active customer is its first row (other charges make a customer active but
+    not a buyer). No distinct over the lines, and a class that holds most of them is
+    combined before it is shuffled.
     """
-    charged = not_other_charge()
+    goods = not_other_charge()
     per_group = (
         since(sales, "invoice_date", months_before(as_of, 12))
+        .groupBy("customer_id", "product_group_id", "product_group_desc")
+        .agg(F.count_if(goods).alias("lines"), F.sum(F.when(goods, F.col("extended_price"))).alias("sales"))
+        .repartition("customer_id")
         .groupBy("customer_id", "product_group_id")
         .agg(
-            F.count_if(charged).alias("lines"),
-            F.max(F.when(charged, F.col("product_group_desc"))).alias("product_group_desc"),
-            F.sum(F.when(charged, F.col("extended_price"))).alias("sales"),
+            F.max(F.when(F.col("lines") > 0, F.col("product_group_desc"))).alias("product_group_desc"),
+            F.sum("lines").alias("lines"),
+            F.sum("sales").alias("sales"),
         )
     )
+    first = F.row_number().over(Window.partitionBy("customer_id").orderBy("product_group_id")) == 1
     classes = customers.where("customer_class IS NOT NULL").select("customer_id", "customer_class")
-    classed = per_group.join(classes, "customer_id")
     if scope is not None and not scope.enabled:
-        classed = classed.where(F.lit(False))
-    active = (
-        classed.select("customer_id", "customer_class")
-        .distinct()
-        .groupBy("customer_class")
-        .agg(F.count(F.lit(1)).alias("active_customers"))
-    )
-    buyers = (
-        classed.where("lines > 0")
+        classes = classes.where(F.lit(False))
+    counted = (
+        per_group.withColumn("first", first)
+        .join(classes, "customer_id")
+        .groupBy("customer_class", "product_group_id", "product_group_desc")
+        .agg(
+            F.count_if(F.col("lines") > 0).alias("buyers"),
+            F.sum("sales").alias("sales"),
+            F.count_if("first").alias("active"),
+        )
+        # from here on one row per class, group and name
         .groupBy("customer_class", "product_group_id")
         .agg(
             F.max("product_group_desc").alias("product_group_desc"),
-            F.count(F.lit(1)).alias("buyers_12m"),
+            F.sum("buyers").alias("buyers_12m"),
             F.sum("sales").alias("class_sales_12m"),
+            F.sum("active").alias("active"),
         )
     )
-    return buyers.join(active, "customer_class").select(
+    whole_class = Window.partitionBy("customer_class")
+    sized = counted.withColumn("active_customers", F.sum("active").over(whole_class)).where("buyers_12m > 0")
+    return sized.select(
         "customer_class",
         "product_group_id",
         "product_group_desc",
