@@ -9,7 +9,11 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bookwise import constants as K
+from bookwise.context import Scope
+from bookwise.operators import views
+from bookwise.operators.scope import scoped
 from bookwise.operators.validate import statement_reason
+from bookwise.sources.tables import Tables
 
 
 def isolated_session(spark: SparkSession, build: Callable[[SparkSession], dict[str, DataFrame]]) -> SparkSession:
@@ -25,6 +29,31 @@ def isolated_session(spark: SparkSession, build: Callable[[SparkSession], dict[s
     return session
 
 
+def scoped_views(t: Tables, who: Scope, as_of=None) -> dict[str, DataFrame]:
+    """Everything a free-form statement of this login may read, unevaluated."""
+
+    def mine(df: DataFrame) -> DataFrame:
+        return scoped(df, t.customers, who)
+
+    # a rep's small book is cut out before aggregating, a manager's rows after it
+    sales = t.invoice_sales if who.sees_all else mine(t.invoice_sales)
+    pg12, ltd = views.customer_pg_12m(sales, as_of), views.customer_pg_ltd(sales)
+    users = views.erp_user(t.erp_users)
+    return {
+        "customer": mine(views.customer_all(t.customers, t.salesreps)),
+        "sales_line": mine(views.line_view(t.invoice_sales, "sales_line")),
+        "open_quote_line": mine(views.line_view(t.open_quotes, "open_quote_line")),
+        "open_order_line": mine(views.line_view(t.open_orders, "open_order_line")),
+        "cancelled_quote_line": mine(views.line_view(t.cancelled_quotes, "cancelled_quote_line")),
+        "customer_pg_12m": mine(pg12),
+        "customer_pg_ltd": mine(ltd),
+        "customer_vector": mine(views.customer_vector(pg12)),
+        "class_pg_penetration": views.class_pg_penetration(t.invoice_sales, t.customers, as_of, who),
+        "salesrep": views.salesrep(t.salesreps, t.customers, who),
+        "task": views.task(t.activity_trans, t.task_outbox, users, t.customers, who),
+    }
+
+
 def _spark_text(sql: str) -> str:
     """Drop the schema prefix (temp views have none), leaving string literals alone."""
     pattern = rf"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|\b{K.VIEW_SCHEMA}\."""
@@ -68,8 +97,8 @@ def guarded_select(session: SparkSession, sql: str, max_rows: int = K.SELECT_ROW
         text = f"{text}\nLIMIT {max_rows}"
     try:
         runnable = _spark_text(text)
-        views = {t.name.lower() for t in session.catalog.listTables() if t.isTemporary}
-        outside = _names_outside(session, runnable, views)
+        known = {t.name.lower() for t in session.catalog.listTables() if t.isTemporary}
+        outside = _names_outside(session, runnable, known)
         if outside is not None:
             return failed(f"'{outside}' is not allowed; only {K.VIEW_SCHEMA}.* views (or CTEs) may be queried")
         return session.sql(runnable).limit(max_rows)

@@ -129,7 +129,8 @@ def _flat(pdf: pd.DataFrame, column: str, vocabulary: pd.Index):
 
 def _compare_block(subject_pdf: pd.DataFrame, peer_pdf: pd.DataFrame, n: int) -> pd.DataFrame:
     """Best n peers of each subject inside one block, by thousandths then id."""
-    empty = pd.DataFrame({"subject_id": [], "customer_id": [], "raw": [], "cents": []})
+    kinds = {"subject_id": object, "customer_id": object, "raw": float, "cents": np.int64}
+    empty = pd.DataFrame({name: pd.Series(dtype=kind) for name, kind in kinds.items()})
     if subject_pdf.empty or peer_pdf.empty:
         return empty
     # NULL groups match nothing, as in an equi-join

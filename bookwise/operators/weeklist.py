@@ -223,7 +223,8 @@ class WeekList:
         self.scoped_rows = stage(rows, "week-rows")
         self.ranked = rank_rows(self.scoped_rows)
         everything = views.all_tasks(t.activity_trans, t.task_outbox, views.erp_user(t.erp_users))
-        self.tasks = tasks.open_tasks(self.logins, everything, t.customers)
+        # eight rows per login, read by the rows and the overdue counts
+        self.tasks = stage(tasks.open_tasks(self.logins, everything, t.customers), "week-tasks")
         self.task_totals = tasks.open_task_totals(self.logins, everything, self.tasks, as_of)
 
     def sections(self) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from bookwise import constants as K
 from bookwise.context import Scope, Settings
-from bookwise.functions.columns import not_other_charge
 from bookwise.functions.staging import scratch_path, stage
 from bookwise.operators import customer, guard, peers, scope, search, tasks, triggers, validate, views
 from bookwise.operators.weeklist import WeekList
@@ -474,28 +473,8 @@ GUARDED_SQL = (
 )
 
 
-def guarded_views(t: Tables, who: Scope) -> dict[str, DataFrame]:
-    """The scoped views a free-form statement may read."""
-
-    def mine(df: DataFrame) -> DataFrame:
-        return scope.scoped(df, t.customers, who)
-
-    pg12, ltd = views.customer_pg_12m(t.invoice_sales, AS_OF), views.customer_pg_ltd(t.invoice_sales)
-    return {
-        "customer": mine(_dim(t)),
-        "sales_line": mine(views.line_view(t.invoice_sales, "sales_line")),
-        "open_quote_line": mine(views.line_view(t.open_quotes, "open_quote_line")),
-        "open_order_line": mine(views.line_view(t.open_orders, "open_order_line")),
-        "cancelled_quote_line": mine(views.line_view(t.cancelled_quotes, "cancelled_quote_line")),
-        "customer_pg_12m": mine(pg12),
-        "customer_pg_ltd": mine(ltd),
-        "customer_vector": mine(views.customer_vector(pg12)),
-        "class_pg_penetration": views.class_pg_penetration(t.invoice_sales, t.customers, AS_OF, who),
-    }
-
-
 def guarded_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    session = guard.isolated_session(spark, lambda s: guarded_views(fixture.tables(s, sf_dir), ADMIN))
+    session = guard.isolated_session(spark, lambda s: guard.scoped_views(fixture.tables(s, sf_dir), ADMIN, AS_OF))
     return comparable(guard.guarded_select(session, GUARDED_SQL))
 
 
