@@ -24,7 +24,7 @@ def _pieces(text: Column) -> Column:
 
 def _pattern() -> Column:
     # a backslash before an ordinary character stands for that character
-    literal = F.regexp_replace("query", r"\\([^%_\\])", "$1")
+    literal = F.regexp_replace("query", r"(\\[%_\\])|\\(.)", "$1$2")
     return F.concat(F.lit("%"), literal, F.lit("%"))
 
 
