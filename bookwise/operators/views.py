@@ -47,7 +47,7 @@ def daily_sales(sales: DataFrame) -> DataFrame:
     """Invoice lines compacted per customer, group, day, charge flag and their names.
 
     Sums, extremes and days survive, so the rollups, penetration and cadence operators
-    take this table in place of the lines and one scan of the lines serves them all.
+    take this table in place of the lines and share one scan of them.
     The day is part of the key: a customer with a third of the lines still spreads over
     many tasks, and lines combine before they are shuffled.
     """
@@ -114,19 +114,25 @@ def customer_pg_ltd(sales: DataFrame) -> DataFrame:
 
 
 def customer_pg(sales: DataFrame, as_of=None) -> DataFrame:
-    """Both rollups in one scan; split with ``pg_12m`` / ``pg_ltd``."""
+    """One scan of the history for everything kept per customer and product group.
+
+    ``pg_12m``, ``pg_ltd`` and ``penetration_of`` read it; ``first_line_date`` is the
+    first day of any line, other charges included.
+    """
+    goods = not_other_charge()
     recent = F.col("invoice_date") >= months_before(as_of, 12)
-    lines = _lines(sales)
+    lines, none = _lines(sales), F.lit(0).cast("bigint")
     return (
-        sales.where(not_other_charge())
-        .groupBy("customer_id", "product_group_id", "product_group_desc")
+        sales.groupBy("customer_id", "product_group_id", "product_group_desc")
         .agg(
-            F.sum(F.when(recent, F.col("extended_price"))).alias("sales_12m"),
-            F.sum(F.when(recent, lines).otherwise(0)).alias("lines_12m"),
-            F.sum("extended_price").alias("sales_ltd"),
-            F.sum(lines).alias("lines_ltd"),
-            F.min("invoice_date").alias("first_invoice_date"),
-            F.max("invoice_date").alias("last_invoice_ltd"),
+            F.sum(F.when(recent & goods, F.col("extended_price"))).alias("sales_12m"),
+            F.sum(F.when(recent & goods, lines).otherwise(none)).alias("lines_12m"),
+            F.sum(F.when(recent, lines).otherwise(none)).alias("any_lines_12m"),
+            F.sum(F.when(goods, F.col("extended_price"))).alias("sales_ltd"),
+            F.sum(F.when(goods, lines).otherwise(none)).alias("lines_ltd"),
+            F.min(F.when(goods, F.col("invoice_date"))).alias("first_invoice_date"),
+            F.max(F.when(goods, F.col("invoice_date"))).alias("last_invoice_date"),
+            F.min("invoice_date").alias("first_line_date"),
         )
         .repartition("customer_id")
         .groupBy("customer_id", "product_group_id")
@@ -134,36 +140,29 @@ def customer_pg(sales: DataFrame, as_of=None) -> DataFrame:
             F.max(F.when(F.col("lines_12m") > 0, F.col("product_group_desc"))).alias("desc_12m"),
             F.sum("sales_12m").alias("sales_12m"),
             F.sum("lines_12m").alias("lines_12m"),
-            F.max("product_group_desc").alias("desc_ltd"),
+            F.sum("any_lines_12m").alias("any_lines_12m"),
+            F.max(F.when(F.col("lines_ltd") > 0, F.col("product_group_desc"))).alias("desc_ltd"),
             F.sum("sales_ltd").alias("sales_ltd"),
             F.sum("lines_ltd").alias("lines_ltd"),
             F.min("first_invoice_date").alias("first_invoice_date"),
-            F.max("last_invoice_ltd").alias("last_invoice_ltd"),
+            F.max("last_invoice_date").alias("last_invoice_date"),
+            F.min("first_line_date").alias("first_line_date"),
         )
     )
 
 
 def pg_12m(pg: DataFrame) -> DataFrame:
+    # with any recent line, the last line of all is recent
     return pg.where("lines_12m > 0").select(
-        "customer_id",
-        "product_group_id",
-        F.col("desc_12m").alias("product_group_desc"),
-        "sales_12m",
-        "lines_12m",
-        # with any recent line, the last line of all is recent
-        F.col("last_invoice_ltd").alias("last_invoice_date"),
+        "customer_id", "product_group_id", F.col("desc_12m").alias("product_group_desc"), "sales_12m", "lines_12m",
+        "last_invoice_date",
     )
 
 
 def pg_ltd(pg: DataFrame) -> DataFrame:
-    return pg.select(
-        "customer_id",
-        "product_group_id",
-        F.col("desc_ltd").alias("product_group_desc"),
-        "sales_ltd",
-        "lines_ltd",
-        "first_invoice_date",
-        F.col("last_invoice_ltd").alias("last_invoice_date"),
+    return pg.where("lines_ltd > 0").select(
+        "customer_id", "product_group_id", F.col("desc_ltd").alias("product_group_desc"), "sales_ltd", "lines_ltd",
+        "first_invoice_date", "last_invoice_date",
     )
 
 
@@ -181,12 +180,10 @@ def customer_vector(pg12: DataFrame) -> DataFrame:
 
 
 def class_pg_penetration(sales: DataFrame, customers: DataFrame, as_of=None, scope: Scope | None = None) -> DataFrame:
-    """Share of a market class's active customers that buy each product group.
+    """Share of a market class's active customers that buy each product group, from the lines.
 
-    One scan: lines collapse to one row per customer and group, where a buyer is a row
-    and an active customer is its first row (other charges make a customer active but
-    not a buyer). No distinct over the lines, and a class that holds most of them is
-    combined before it is shuffled.
+    Lines collapse to one row per customer and group first: no distinct over the lines,
+    and a class that holds most of them is combined before it is shuffled.
     """
     goods = not_other_charge()
     per_group = (
@@ -201,6 +198,23 @@ def class_pg_penetration(sales: DataFrame, customers: DataFrame, as_of=None, sco
             F.sum("sales").alias("sales"),
         )
     )
+    return _penetration(per_group, customers, scope)
+
+
+def penetration_of(pg: DataFrame, customers: DataFrame, scope: Scope | None = None) -> DataFrame:
+    """The same from ``customer_pg``, without another scan of the lines."""
+    per_group = pg.where("any_lines_12m > 0").select(
+        "customer_id", "product_group_id", F.col("desc_12m").alias("product_group_desc"),
+        F.col("lines_12m").alias("lines"), F.col("sales_12m").alias("sales"),
+    )
+    return _penetration(per_group, customers, scope)
+
+
+def _penetration(per_group: DataFrame, customers: DataFrame, scope: Scope | None) -> DataFrame:
+    """A buyer is a (customer, group) row with lines, an active customer is its first row.
+
+    Other charges alone make a customer active but not a buyer.
+    """
     first = F.row_number().over(Window.partitionBy("customer_id").orderBy("product_group_id")) == 1
     classes = customers.where("customer_class IS NOT NULL").select("customer_id", "customer_class")
     if scope is not None and not scope.enabled:

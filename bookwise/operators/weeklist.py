@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bookwise import constants as K
-from bookwise.context import Settings
+from bookwise.context import Settings, months_before
 from bookwise.functions.columns import top_rows
 from bookwise.functions.staging import stage
 from bookwise.operators import peers, tasks, triggers, views
 from bookwise.operators.scope import enabled_logins
-from bookwise.sources.tables import Tables
+from bookwise.sources.tables import Tables, since
 
 
 def money(value: Column | str) -> Column:
@@ -149,13 +149,17 @@ def _rows(df: DataFrame, section: str, amount: str, ties: list[str], detail: Col
     )
 
 
-def trigger_rows(t: Tables, days: DataFrame, settings: Settings, as_of=None) -> DataFrame:
-    """All rows of the four population-wide triggers as text rows, unscoped."""
+def trigger_rows(t: Tables, days: DataFrame, pg: DataFrame, settings: Settings, as_of=None) -> DataFrame:
+    """All rows of the four population-wide triggers as text rows, unscoped.
+
+    ``days`` is ``daily_sales`` of the last 24 months, ``pg`` is ``customer_pg``.
+    """
+    first_days = pg.select("customer_id", F.col("first_line_date").alias("invoice_date"))
     return (
         stale_quote_rows(triggers.stale_quotes(t.open_quotes, settings, as_of))
         .unionByName(going_quiet_rows(triggers.going_quiet(days, settings, as_of)))
         .unionByName(reorder_due_rows(triggers.reorder_due(days, settings, as_of)))
-        .unionByName(new_account_rows(triggers.new_accounts(t.invoice_sales, settings, as_of, days)))
+        .unionByName(new_account_rows(triggers.new_accounts(t.invoice_sales, settings, as_of, first_days)))
     )
 
 
@@ -215,11 +219,13 @@ class WeekList:
         self.as_of = as_of
         self.logins = enabled_logins(t.user_access).where(F.col("login").like("%@%"))
         scopes = tasks.scope_customers(self.logins, t.customers)
-        # one scan of the history; cadence, rollups and gaps read the compacted days
-        days = stage(views.daily_sales(t.invoice_sales), "days")
-        pg = stage(views.customer_pg(days, as_of), "rollup")
+        # One scan of the history leaves a row per customer and group; one of the last 24
+        # months (pruned to their partitions) leaves the days both cadence triggers read.
+        pg = stage(views.customer_pg(t.invoice_sales, as_of), "rollup")
+        recent = since(t.invoice_sales, "invoice_date", months_before(as_of, 24))
+        days = stage(views.daily_sales(recent), "days")
         gaps = peers.category_gaps(scopes, views.pg_12m(pg), views.pg_ltd(pg), settings, None, gap_min_pct)
-        rows = in_scopes(trigger_rows(t, days, settings, as_of), scopes).unionByName(category_gap_rows(gaps))
+        rows = in_scopes(trigger_rows(t, days, pg, settings, as_of), scopes).unionByName(category_gap_rows(gaps))
         self.scoped_rows = stage(rows, "week-rows")
         self.ranked = rank_rows(self.scoped_rows)
         everything = views.all_tasks(t.activity_trans, t.task_outbox, views.erp_user(t.erp_users))

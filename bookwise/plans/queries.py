@@ -62,14 +62,14 @@ def _dim(t: Tables) -> DataFrame:
     return views.customer_all(t.customers, t.salesreps)
 
 
-def _rollups(t: Tables, days: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Both rollups, staged: one scan of the lines for every reader."""
-    pg = stage(views.customer_pg(t.invoice_sales if days is None else days, AS_OF), "rollup")
-    return views.pg_12m(pg), views.pg_ltd(pg)
+def _pg(t: Tables) -> DataFrame:
+    """Everything per customer and group, staged: one scan of the lines for every reader."""
+    return stage(views.customer_pg(t.invoice_sales, AS_OF), "rollup")
 
 
-def _days(t: Tables) -> DataFrame:
-    return stage(views.daily_sales(t.invoice_sales), "days")
+def _rollups(t: Tables) -> tuple[DataFrame, DataFrame]:
+    pg = _pg(t)
+    return views.pg_12m(pg), views.pg_ltd(pg)
 
 
 def _recent(t: Tables) -> DataFrame:
@@ -208,10 +208,9 @@ def peer_gap(t: Tables) -> DataFrame:
 
 @query
 def class_gap(t: Tables) -> DataFrame:
-    days = _days(t)
-    pg12, ltd = _rollups(t, days)
-    penetration = views.class_pg_penetration(days, t.customers, AS_OF, ADMIN)
-    return peers.class_gap(_dim(t), penetration, pg12, ltd, None)
+    pg = _pg(t)
+    penetration = views.penetration_of(pg, t.customers, ADMIN)
+    return peers.class_gap(_dim(t), penetration, views.pg_12m(pg), views.pg_ltd(pg), None)
 
 
 @query
@@ -369,9 +368,8 @@ def cancelled_quotes(t: Tables) -> DataFrame:
 
 @query
 def vocabulary(t: Tables) -> DataFrame:
-    days = _days(t)
-    penetration = views.class_pg_penetration(days, t.customers, AS_OF, ADMIN)
-    return customer.vocabulary(_dim(t), views.customer_pg_12m(days, AS_OF), penetration)
+    pg = _pg(t)
+    return customer.vocabulary(_dim(t), views.pg_12m(pg), views.penetration_of(pg, t.customers, ADMIN))
 
 
 # --- requests, checks and sinks -------------------------------------------------

@@ -74,7 +74,7 @@ class Workbench:
 
     @cached_property
     def class_pg_penetration(self) -> DataFrame:
-        return views.class_pg_penetration(self.t.invoice_sales, self.t.customers, self.as_of, self.scope)
+        return views.penetration_of(self._rollup_all, self.t.customers, self.scope)
 
     @cached_property
     def salesrep(self) -> DataFrame:

@@ -215,4 +215,7 @@ def test_compacted_sales_give_the_same_rollups_and_cadence(spark, tables):
     assert rows(views.customer_pg_12m(lines, as_of)) == rows(views.customer_pg_12m(compact, as_of))
     assert rows(views.pg_ltd(views.customer_pg(compact, as_of))) == rows(views.customer_pg_ltd(lines))
     assert rows(triggers.going_quiet(lines, Settings(), as_of)) == rows(triggers.going_quiet(compact, Settings(), as_of))
-    assert rows(views.class_pg_penetration(lines, tables.customers, as_of)) == rows(views.class_pg_penetration(compact, tables.customers, as_of))
+    want = rows(views.class_pg_penetration(lines, tables.customers, as_of))
+    assert rows(views.class_pg_penetration(compact, tables.customers, as_of)) == want
+    assert rows(views.penetration_of(views.customer_pg(lines, as_of), tables.customers)) == want
+    assert rows(views.pg_12m(views.customer_pg(lines, as_of))) == rows(views.customer_pg_12m(lines, as_of))
