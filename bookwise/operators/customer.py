@@ -169,7 +169,7 @@ def customers_near(
 
     ``places`` is (place, exclude_customer_id). Zip areas and states are equi-joins.
     A town is a LIKE pattern: without wildcards it is an equality on the lower-cased
-    town, so only patterns need a pattern join.
+    town, and a pattern meets the distinct towns only, never the customers.
     """
     limit = clamp(limit, K.NEAR_ROWS, 1, 100)
     asked = places.select(
@@ -193,10 +193,14 @@ def customers_near(
         F.struct(F.lit("town").alias("kind"), F.lower("city").alias("key")),
     )
     keyed = customer_dim.select("*", F.inline(areas))
-    plain = asked.where("kind <> 'pattern'")
-    exact = keyed.join(plain, ["kind", "key"])
-    towns = customer_dim.join(asked.where("kind = 'pattern'"), F.expr("city ILIKE place"))
-    found = exact.unionByName(towns).where("customer_id <> excluded")
+    towns = customer_dim.select(F.lower("city").alias("town")).where("town IS NOT NULL").distinct()
+    meant = (
+        asked.where("kind = 'pattern'")
+        .join(towns, F.expr("town ILIKE place"))
+        .select("place", "excluded", F.lit("town").alias("kind"), F.col("town").alias("key"))
+    )
+    wanted = asked.where("kind <> 'pattern'").unionByName(meant)
+    found = keyed.join(wanted, ["kind", "key"]).where("customer_id <> excluded")
     how = F.when(F.col("kind") == "zip", F.when(F.col("zip") == F.col("place"), "same zip").otherwise("nearby zip"))
     sized = with_figures(found.withColumn("how", F.coalesce(how, F.lit("match"))), figures)
     order = [

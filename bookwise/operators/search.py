@@ -15,11 +15,11 @@ def _asked(queries: DataFrame) -> DataFrame:
     return queries.select(F.trim("query").alias("query")).where("query IS NOT NULL").distinct()
 
 
-def _pieces(text: Column) -> Column:
-    """Distinct runs of three characters."""
-    starts = F.sequence(F.lit(1), F.length(text) - 2)
-    cut = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(3))))
-    return F.when(F.length(text) >= 3, cut)
+def _pieces(text: Column, size: int) -> Column:
+    """Distinct runs of ``size`` characters; empty for a shorter text."""
+    starts = F.sequence(F.lit(1), F.length(text) - (size - 1))
+    cut = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
+    return F.when(F.length(text) >= size, cut).otherwise(F.array().cast("array<string>"))
 
 
 def _pattern() -> Column:
@@ -28,42 +28,50 @@ def _pattern() -> Column:
     return F.concat(F.lit("%"), literal, F.lit("%"))
 
 
+def _longest_literal() -> Column:
+    """Longest stretch of the query without a wildcard, lower-cased; NULL if there is none."""
+    runs = F.regexp_extract_all("query", F.lit(r"((?:[^%_\\]|\\.)+)"), F.lit(1))
+    plain = F.transform(runs, lambda run: F.lower(F.regexp_replace(run, r"\\(.)", "$1")))
+    return F.try_element_at(F.array_sort(plain, lambda a, b: F.length(b) - F.length(a)), F.lit(1))
+
+
 def _exact_matches(dim: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query, customer_id) by id or by ``name ILIKE %query%``.
+    """(query, customer_id) by id or by ``name ILIKE %query%``, without a cross join.
 
-    A name that contains the query contains each of its literal three-character
-    pieces, so names meet queries on the query's rarest piece and the pattern is
-    checked after that. Only queries without such a piece need a pattern join.
+    A name that contains the query contains each piece of its literal text, so names
+    meet queries on one piece (the rarest of three characters, or all of a shorter
+    literal) and the pattern is checked after that. A query of wildcards alone asks
+    for a minimal length, so it meets names on their length.
     """
     names = dim.select("customer_id", "customer_name")
     by_id = asked.join(names.select(F.col("customer_id").alias("query"), "customer_id"), "query").select(
         "query", "customer_id"
     )
-    name_pieces = names.select(
-        "customer_id", "customer_name", F.explode(_pieces(F.lower("customer_name"))).alias("piece")
+    lowered = F.lower("customer_name")
+    literal = asked.select("query", _pattern().alias("pattern"), _longest_literal().alias("literal"))
+    frequency = names.select(F.explode(_pieces(lowered, 3)).alias("piece")).groupBy("piece").agg(
+        F.count(F.lit(1)).alias("names")
     )
-    # longest stretch without a wildcard or escape
-    runs = F.array_sort(
-        F.regexp_extract_all("query", F.lit(r"([^%_\\]+)"), F.lit(1)),
-        lambda a, b: F.length(b) - F.length(a),
-    )
-    literal = asked.select("query", F.lower(F.try_element_at(runs, F.lit(1))).alias("literal"))
-    frequency = name_pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("names"))
     rarest = (
-        literal.select("query", F.explode(_pieces(F.col("literal"))).alias("piece"))
+        literal.select("query", "pattern", F.explode(_pieces(F.col("literal"), 3)).alias("piece"))
         .join(frequency, "piece", "left")
-        .groupBy("query")
+        .groupBy("query", "pattern")
         .agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "piece"))["piece"].alias("piece"))
     )
-    blocked = (
-        rarest.withColumn("pattern", _pattern())
-        .join(name_pieces, "piece")
-        .where(F.expr("customer_name ILIKE pattern"))
-        .select("query", "customer_id")
+    short = literal.where("length(literal) < 3").select("query", "pattern", F.col("literal").alias("piece"))
+    probes = rarest.unionByName(short)
+    name_pieces = names.select(
+        "customer_id", "customer_name", F.explode(F.flatten(F.array(*[_pieces(lowered, n) for n in (1, 2, 3)]))).alias("piece")
     )
-    short = literal.where("literal IS NULL OR length(literal) < 3").select("query").withColumn("pattern", _pattern())
-    scanned = short.join(names, F.expr("customer_name ILIKE pattern")).select("query", "customer_id")
-    return by_id.unionByName(blocked).unionByName(scanned).distinct()
+    by_piece = probes.join(name_pieces, "piece").where(F.expr("customer_name ILIKE pattern"))
+
+    wild = literal.where("literal IS NULL").withColumn("shortest", F.length(F.regexp_replace("query", "[^_]", "")))
+    sized = names.withColumn("size", F.length("customer_name"))
+    # distinct lengths on both sides: a short list each, whatever the number of names
+    fitting = wild.select("shortest").distinct().join(sized.select("size").distinct(), F.col("size") >= F.col("shortest"))
+    by_length = wild.join(fitting, "shortest").join(sized, "size").where(F.expr("customer_name ILIKE pattern"))
+    found = [df.select("query", "customer_id") for df in (by_id, by_piece, by_length)]
+    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
 
 
 def find_customer(dim: DataFrame, figures: DataFrame, queries: DataFrame) -> DataFrame:
