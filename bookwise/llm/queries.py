@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from bookwise.llm.mixing import op9_mixing
+from bookwise.llm.quality_classifier import op3_quality_classifier
+from bookwise.llm.quality_rules import op1_quality_rules
 from bookwise.llm.sharding import op4_sharding
 from bookwise.llm.tokens import op10_token_counts
 from bookwise.llm.warc import op8_warc
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_sharding": op4_sharding,
     "op8_warc": op8_warc,
+    "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
 }
