@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bookwise.llm.mixing import op9_mixing
+from bookwise.llm.packing import op5_packing
 from bookwise.llm.quality_classifier import op3_quality_classifier
 from bookwise.llm.quality_rules import op1_quality_rules
 from bookwise.llm.sharding import op4_sharding
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_sharding": op4_sharding,
+    "op5_packing": op5_packing,
     "op8_warc": op8_warc,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,

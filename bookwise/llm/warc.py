@@ -48,12 +48,10 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTE
     spark = pages.sparkSession
     body = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", body.alias("payload")).withColumn("address", F.sha2("payload", 256))
-    # which row carries the payload: slim rows only
-    first = rows.groupBy("address").agg(F.min("page_id").alias("first_id"))
-    keepers = rows.join(first, (rows.address == first.address) & rows.page_id.eqNullSafe(first.first_id), "left_semi")
-    # rows that agree in page_id and payload still meet as copies
-    keepers.select("address", "payload").dropDuplicates(["address"]).write.parquet(f"{path}/payloads")
+    # equal digests are equal bytes: any copy will do, and a task sends one
+    rows.select("address", "payload").dropDuplicates(["address"]).write.parquet(f"{path}/payloads")
 
+    first = rows.groupBy("address").agg(F.min("page_id").alias("first_id"))
     described = rows.select(
         "page_id", "url", "address", F.octet_length("payload").cast("long").alias("n"), base32_sha1(F.col("payload")).alias("sha1")
     )
@@ -83,21 +81,24 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTE
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """(header, payload, record, verified): every record with the full payload it stands for.
+    """(header, payload, record, payload_bytes, sha1, verified): every record with the full payload it stands for.
 
+    Length and digests are taken of the stored bytes where they are read, so a
+    reader of those alone moves no payload.
     ``record`` is the record as it stands in a WARC file: a revisit has no body of
     its own. ``verified`` tells whether the stored bytes still have the SHA-256
     they are stored under and the SHA-1 the header names.
     """
     headers, payloads = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
     checked = payloads.select(
-        "address", "payload", (F.sha2("payload", 256) == F.col("address")).alias("sound"), base32_sha1(F.col("payload")).alias("sha1")
+        "address", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"),
+        (F.sha2("payload", 256) == F.col("address")).alias("sound"), base32_sha1(F.col("payload")).alias("sha1"),
     )
     text = F.col("header").cast("string")
     body = F.when(header_field(text, "WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
     named = header_field(text, "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), "sha1")
     return headers.join(checked, "address", "left").select(
-        "header", "payload", F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"),
+        "header", "payload", "payload_bytes", "sha1", F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"),
         F.coalesce(F.col("sound") & named, F.lit(False)).alias("verified"),
     )
 
@@ -114,8 +115,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = read_archive(spark, path).withColumn("text", F.col("header").cast("string"))
     return back.select(
         header_field(F.col("text"), "X-Page-Id").cast("long").alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        base32_sha1(F.col("payload")).alias("payload_digest"),
+        "payload_bytes",
+        F.col("sha1").alias("payload_digest"),
         header_field(F.col("text"), "WARC-Type").alias("record_type"),
         header_field(F.col("text"), "X-Refers-To-Page-Id").cast("long").alias("refers_to"),
         "verified",
