@@ -8,6 +8,7 @@ from bookwise.llm.quality_classifier import op3_quality_classifier
 from bookwise.llm.quality_rules import op1_quality_rules
 from bookwise.llm.sharding import op4_sharding
 from bookwise.llm.tokens import op10_token_counts
+from bookwise.llm.topk import op7_topk
 from bookwise.llm.warc import op8_warc
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_sharding": op4_sharding,
     "op5_packing": op5_packing,
+    "op7_topk": op7_topk,
     "op8_warc": op8_warc,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
