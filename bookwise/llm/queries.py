@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bookwise.llm.jaccard import op6_ngram_jaccard
 from bookwise.llm.mixing import op9_mixing
 from bookwise.llm.packing import op5_packing
 from bookwise.llm.quality_classifier import op3_quality_classifier
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_sharding": op4_sharding,
     "op5_packing": op5_packing,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_topk": op7_topk,
     "op8_warc": op8_warc,
     "op9_mixing": op9_mixing,
