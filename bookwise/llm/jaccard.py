@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bookwise.functions.staging import stage
 from bookwise.llm.batches import numbered, slices
-from bookwise.llm.common import small, table, text_or_empty
+from bookwise.llm.common import WORD, small, table, text_or_empty
 from bookwise.llm.components import connected
 
 WIDTH = 5
@@ -353,10 +353,11 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n_shingles, component_id, links) for every row of ``docs`` (doc_id, text).
+    """(doc_id, text_key, n_shingles, component_id, node, root) for every row of ``docs`` (doc_id, text).
 
     Component_id is the smallest doc_id reachable over links of 0.8 or more,
-    itself included; ``node`` names the set (equal sets are one node). A null or
+    itself included; ``node`` names the set (equal sets are one node) and ``root``
+    the component by its smallest node. A null or
     empty text has no shingles, no links and its own id; rows without doc_id take
     part and get the smallest id of their component, which is null where none has
     one. Repeated rows are each returned. No link between different sets is lost.
@@ -414,10 +415,30 @@ def link(docs: DataFrame) -> DataFrame:
     placed = classes.join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = placed.groupBy("component").agg(F.min("smallest").alias("component_id"))
     # equal fingerprints of different sets stay apart in ``second``; they share a component only by links
-    by_node = placed.select("node", "component").distinct().join(smallest, "component").select("node", "component_id")
+    by_node = placed.select("node", "component").distinct().join(smallest, "component").select("node", "component_id", F.col("component").alias("root"))
     joined = sets.join(by_node, "node", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", "text_key", "n_shingles", own.alias("component_id"), "node")
+    return joined.select("doc_id", "text_key", "n_shingles", own.alias("component_id"), "node", "root")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id.
+
+    Rows without words are linked with nothing and stay. All columns are kept.
+    """
+    sets = stage(link(docs.select("doc_id", "text")), "jaccard-sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    kept = sets.where("n_shingles > 0").groupBy("root").agg(first).select(F.col("first.doc_id").alias("id"), F.col("first.text_key").alias("key"))
+    kept = stage(kept, "jaccard-kept")
+    # a kept id and text that several rows carry, and ids of which each row stays
+    again = sets.where("n_shingles > 0").groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count()
+    wordless = ~text_or_empty("text").rlike(WORD)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64(text_or_empty("text")).alias("text_key"), wordless.alias("wordless"))
+    few = small(kept, kept.count())
+    found = rows.where(~F.col("wordless")).join(few, rows.doc_id.eqNullSafe(few.id) & (rows.text_key == few.key), "left_semi")
+    if again:
+        found = found.dropDuplicates(["doc_id", "text_key"])
+    return found.unionAll(rows.where("wordless")).select("row.*")
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

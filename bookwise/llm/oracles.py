@@ -2,12 +2,50 @@
 
 from __future__ import annotations
 
+from bookwise.llm import licenses
+
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, {1 + 10 * i}, 10))::BIGINT >> {35 - 5 * j}) & 31) + 1)::INT, 1)"
     for i in range(4) for j in range(8)
 )
 
+
+
+def _licenses() -> str:
+    """The scan over whole pages: no anchors, every block is compared."""
+    idf, unknown, vectors = licenses.weights()
+    known = ", ".join(f"('{w}', {x!r}::DOUBLE)" for w, x in idf.items())
+    model = ", ".join(f"({i}, '{n}', '{w}', {x!r}::DOUBLE)" for i, n, w, x in vectors)
+    return f"""
+        WITH known(term, idf) AS (VALUES {known}), model(template, license, term, weight) AS (VALUES {model}),
+        p AS (SELECT row_number() OVER () AS id, page_id, nullif(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '') AS path,
+                     coalesce(html, '') AS body FROM pages),
+        blocks AS (SELECT DISTINCT id, unnest(regexp_split_to_array(lower(regexp_replace(body, '<[^>]*>', chr(10), 'g')), '[\\r\\n]+')) AS block FROM p),
+        terms AS (SELECT id, block, unnest(regexp_extract_all(block, '[a-z0-9]+(?:\\.[0-9]+)*')) AS term FROM blocks),
+        counted AS (SELECT id, block, term, count(*) AS tf FROM terms GROUP BY ALL),
+        valued AS (SELECT c.*, tf * coalesce(idf, {unknown!r}) AS value FROM counted c LEFT JOIN known USING (term)),
+        norms AS (SELECT id, block, sqrt(sum(value * value)) AS norm FROM valued GROUP BY ALL),
+        scored AS (SELECT v.id, template, license, round(sum(value * weight) / any_value(norm), 6) AS similarity
+                   FROM valued v JOIN model USING (term) JOIN norms n ON v.id = n.id AND v.block = n.block
+                   GROUP BY v.id, v.block, template, license),
+        best AS (SELECT id, arg_max(license, (similarity, -template)) AS license, max(similarity) AS similarity
+                 FROM scored WHERE similarity >= {licenses.THRESHOLD} GROUP BY id),
+        marked AS (SELECT p.id, page_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, license, similarity FROM p LEFT JOIN best USING (id)),
+        stated AS (SELECT dir AS above, arg_min(license, (-similarity, license)) AS dir_license, max(similarity) AS dir_similarity FROM marked
+                   WHERE license IS NOT NULL AND path IS NOT NULL
+                     AND (path LIKE '%/' OR regexp_matches(regexp_extract(path, '[^/]*$'), '(?i)^(licen[cs]e|copying|notice|index)(\\.[^/]*)?$'))
+                   GROUP BY dir),
+        near AS (SELECT m.id, arg_max(above, length(above)) AS from_dir, arg_max(dir_license, length(above)) AS dir_license,
+                        arg_max(dir_similarity, length(above)) AS dir_similarity
+                 FROM marked m JOIN stated s ON m.dir = s.above OR starts_with(m.dir, s.above || '/') GROUP BY m.id)
+        SELECT page_id, path, coalesce(license, dir_license) AS license, coalesce(similarity, dir_similarity) AS similarity,
+               CASE WHEN license IS NOT NULL THEN 'header' WHEN dir_license IS NOT NULL THEN 'inherited' END AS how,
+               CASE WHEN license IS NULL THEN from_dir END AS from_dir
+        FROM marked LEFT JOIN near USING (id)"""
+
+
 SQL: dict[str, str] = {
+    "op2_license_scan": _licenses(),
     "op7_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w FROM embeddings

@@ -134,6 +134,22 @@ def vote(rows: np.ndarray, model: dict[str, np.ndarray], neighbours: int = NEIGH
     return np.where(total > 1e-9, (weight * votes[nearest]).sum(1) / np.maximum(total, 1e-9), votes.mean())
 
 
+def _scores(texts: list[str], model: dict[str, np.ndarray]) -> np.ndarray:
+    blocks = [vote(tf_idf(term_counts(texts[at : at + BLOCK]), model["idf"]), model) for at in range(0, len(texts), BLOCK)]
+    return np.clip(np.concatenate(blocks), 0, 1)
+
+
+def keep(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` predicts to be good, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches):
+            yield part.filter(pa.array(_scores(texts, shared.value) >= 0.5))
+
+    return docs.mapInArrow(pick, docs.schema)
+
+
 def classify(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """``docs`` without text, with ``score`` (0 to 1) and ``predicted``; every whole text is scored.
 
@@ -145,10 +161,8 @@ def classify(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for part, texts in slices(batches):
-            blocks = [vote(tf_idf(term_counts(texts[at : at + BLOCK]), own["idf"]), own) for at in range(0, len(texts), BLOCK)]
-            scores = np.clip(np.concatenate(blocks), 0, 1)
+            scores = _scores(texts, shared.value)
             out = pa.Table.from_batches([part]).select(others).append_column("score", pa.array(scores))
             yield from out.append_column("predicted", pa.array((scores >= 0.5).astype(np.int32))).to_batches()
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bookwise.llm.batches import numbered, per_text, slices, words_of
-from bookwise.llm.common import table
+from bookwise.llm.common import small, table
 
 #: Buckets of the two multinomials: words and pairs of neighbouring words share them.
 BUCKETS = 1 << 16
@@ -107,6 +107,16 @@ def _base(texts: list[str]) -> dict[str, list[int]]:
     }
 
 
+def _judged(texts: list[str], weight: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
+    """Base figures, summed weights, number of n-grams, and who fails the base rules."""
+    base = _base(texts)
+    words, starts, pairs, pair_starts = ngram_buckets(texts, len(weight))
+    total = per_text(weight[words], starts) + per_text(weight[pairs], pair_starts)
+    n, again = np.array(base["n_words"]), np.array(base["n_repeat_words"])
+    failed = (n < MIN_WORDS) | (100 * again > MAX_REPEAT_PERCENT * n)
+    return base, total, np.diff(starts) + np.diff(pair_starts), failed
+
+
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without text, with the base figures, ``llr``, ``base_failed`` and ``kept``.
 
@@ -125,14 +135,8 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
     shared, limit = docs.sparkSession.sparkContext.broadcast(weights), round(threshold * SCALE)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = shared.value
         for part, texts in slices(batches):
-            base = _base(texts)
-            words, starts, pairs, pair_starts = ngram_buckets(texts, len(weight))
-            total = per_text(weight[words], starts) + per_text(weight[pairs], pair_starts)
-            grams = np.diff(starts) + np.diff(pair_starts)
-            n, again = np.array(base["n_words"]), np.array(base["n_repeat_words"])
-            failed = (n < MIN_WORDS) | (100 * again > MAX_REPEAT_PERCENT * n)
+            base, total, grams, failed = _judged(texts, shared.value)
             out = pa.Table.from_batches([part]).select(others)
             for name in names:
                 out = out.append_column(name, pa.array(base[name], pa.int64()))
@@ -143,10 +147,22 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
     return docs.mapInArrow(rate, schema)
 
 
+def keep(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that ``score`` keeps, with all their columns."""
+    shared, limit = docs.sparkSession.sparkContext.broadcast(weights), round(threshold * SCALE)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches):
+            _, total, grams, failed = _judged(texts, shared.value)
+            yield part.filter(pa.array(~failed & (total >= limit * grams)))
+
+    return docs.mapInArrow(pick, docs.schema)
+
+
 def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Texts of documents that a label calls good; a document counts once however often it is labelled."""
-    good = labels.where(F.col("quality") == 1).select("doc_id")
-    return docs.select("doc_id", "text").join(good, "doc_id", "left_semi")
+    good = labels.where(F.col("quality") == 1).select("doc_id").distinct()
+    return docs.select("doc_id", "text").join(small(good, good.count()), "doc_id", "left_semi")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bookwise.llm.jaccard import op6_ngram_jaccard
+from bookwise.llm.licenses import op2_license_scan
 from bookwise.llm.mixing import op9_mixing
 from bookwise.llm.packing import op5_packing
 from bookwise.llm.quality_classifier import op3_quality_classifier
@@ -14,6 +15,7 @@ from bookwise.llm.warc import op8_warc
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_license_scan": op2_license_scan,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_sharding": op4_sharding,
     "op5_packing": op5_packing,

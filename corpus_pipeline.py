@@ -5,8 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from bookwise.functions.staging import stage
+from bookwise.llm import jaccard, mixing, packing, quality_classifier, quality_rules
+from bookwise.llm.common import table
+from bookwise.llm.tokens import tokenizer_path
 
-STAGES: list = []
+
+def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and read more like the labelled good ones than like the rest."""
+    trusted = quality_rules.trusted_documents(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return quality_rules.keep(docs, quality_rules.fit(docs, trusted))
+
+
+def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose nearest labelled neighbours are good."""
+    return quality_classifier.keep(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
+
+
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard.one_of_each(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The weighted mix of the sources: documents repeated or left out as their source's target asks."""
+    return mixing.mixed_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality_rules", quality_rules_stage),
+    ("quality_classifier", quality_classifier_stage),
+    ("ngram_jaccard", near_copies_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+#: No SQL: the classifier, the draw of the mix and the tokenizer are out of its reach.
 ORACLE_SQL = None
 
 
