@@ -47,7 +47,9 @@ PER_SEGMENT = 3
 #: Buckets up to this size give all their pairs at once.
 CROWDED = 8
 #: Index entries a task sorts at once, and text bytes that give about one entry.
-PART_ENTRIES, BYTES_PER_ENTRY = 3_000_000, 8
+PART_ENTRIES, BYTES_PER_ENTRY = 2_000_000, 8
+#: Index entries a task gathers before it sends them.
+FLUSH = 2_000_000
 #: Pairs of one pivot that are verified in one task.
 PIVOT_PAIRS = 256
 
@@ -140,161 +142,178 @@ def _entries(values: np.ndarray, sizes: np.ndarray, band: np.ndarray, ends: np.n
     return np.concatenate([seg_owner[keep], owner[part]]), signature, skip
 
 
-_ENTRY = np.dtype([("node", "<u8"), ("size", "<u4"), ("skip", "<i4"), ("next", "u1"), ("sig", "<u8"), ("freq", "<u4")])
+# A set in a blob: its node, and how many entries follow; the top bit marks the next band.
+_UNIT = np.dtype([("node", "<u8"), ("n", "<u2")])
+_NEXT = 1 << 15
+# An entry that several sets share, and one that is left after the allocation.
+_SHARED = np.dtype([("node", "<u8"), ("sig", "<u4"), ("freq", "<u4"), ("next", "u1")])
+_KEPT = np.dtype([("node", "<u8"), ("sig", "<u4"), ("size", "<u4")])
 
 
 def _index(docs: DataFrame, parts: int) -> DataFrame:
-    """One row per document (part -1 - hash) and blobs of index entries by part.
+    """One row per document, by the part of its node (below 0), and blobs of index entries by part.
 
     A task emits the entries of a set once however many copies it holds. A blob is
-    the number of sets, then node, skip and size, band flag and entry count of
-    each, then the low halves of their signatures; the high halves pick the part.
+    the number of its sets, a _UNIT for each, then the low halves of their
+    signatures; the high halves pick the part. Entries wait until FLUSH of them are
+    there, so that a blob is large beside its table of sets.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, limit=16 << 20):
+        waiting: list[tuple] = []
+        met = np.zeros(0, np.uint64)
+        for part, texts in slices(batches):
             sets = shingle_sets(texts)
             size = np.array([len(s) for s in sets], np.int64)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            ends_of = np.cumsum(size)
+            flat = np.concatenate(sets)
+            last = np.cumsum(size)
             sums = np.concatenate([np.zeros((2, 1), np.uint64), np.cumsum(np.stack([_mix(flat), _mix(flat + np.uint64(7))]), 1, dtype=np.uint64)], 1)
-            prints = sums[:, ends_of] - sums[:, ends_of - size]
-            first, second = (_mix(p + size.astype(np.uint64)) for p in prints)
+            first, second = (_mix(x[last] - x[last - size] + size.astype(np.uint64)) for x in sums)
+            del flat, sums
+            ends = bands(int(size.max()))
+            own, reach = np.searchsorted(ends, size), np.searchsorted(ends, size * 5 // 4)
+            skips = np.zeros((2, len(sets)), np.int64)
+            new = np.zeros(len(sets), bool)
+            new[np.unique(first, return_index=True)[1]] = True
+            indexed = size > 4  # smaller sets are similar to equal ones alone
+            for later in (0, 1):
+                pick = np.flatnonzero(indexed & (reach > own) if later else indexed)
+                if not len(pick):
+                    continue
+                who, signature, skips[later, pick] = _entries(np.concatenate([sets[i] for i in pick]), size[pick], own[pick] + later, ends)
+                fresh = (new & ~np.isin(first, met))[pick[who]]
+                to = ((signature >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+                waiting.append((first[pick[who]][fresh], np.full(int(fresh.sum()), later, np.uint16), to[fresh], signature.astype(np.uint32)[fresh]))
+            met = np.union1d(met, first[new])
             yield _rows(
                 part=-1 - (first % np.uint64(parts)).astype(np.int64), doc_id=part.column("doc_id"), text_key=part.column("text_key"),
-                n=size, node=first.view(np.int64), second=second.view(np.int64),
+                n=size, node=first.view(np.int64), second=second.view(np.int64), skip=skips[0], skip_next=skips[1],
             )
-            fresh = np.zeros(len(sets), bool)
-            fresh[np.unique(first, return_index=True)[1]] = True
-            fresh &= size > 4  # smaller sets are similar to none but equal ones
-            chosen = np.flatnonzero(fresh)
-            if not len(chosen):
-                continue
-            ends = bands(int(size.max()))
-            own = np.searchsorted(ends, size)
-            reach = np.searchsorted(ends, size * 5 // 4)
-            found = []
-            for later, pick in ((0, chosen), (1, chosen[reach[chosen] > own[chosen]])):
-                values = np.concatenate([sets[i] for i in pick]) if len(pick) else np.zeros(0, np.uint64)
-                if len(pick):
-                    who, signature, skip = _entries(values, size[pick], own[pick] + later, ends)
-                    found.append((pick, np.full(len(pick), later), skip, who, signature))
-            units = np.concatenate([f[0] for f in found])
-            base = np.cumsum([0] + [len(f[0]) for f in found])
-            later, skip = np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
-            who = np.concatenate([f[3] + b for f, b in zip(found, base)])
-            signature = np.concatenate([f[4] for f in found])
-            to = ((signature >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((who, to))
-            who, signature, to = who[order], signature[order], to[order]
-            cuts = np.searchsorted(to, np.arange(parts + 1))
-            blobs = []
-            for p in range(parts):
-                a, b = cuts[p], cuts[p + 1]
-                met, n = np.unique(who[a:b], return_counts=True)
-                table_ = np.zeros(len(met), [("node", "<u8"), ("size", "<u4"), ("skip", "<i4"), ("next", "u1"), ("n", "<u4")])
-                table_["node"], table_["size"], table_["skip"] = first[units[met]], size[units[met]], skip[met]
-                table_["next"], table_["n"] = later[met], n
-                blobs.append(np.uint32(len(met)).tobytes() + table_.tobytes() + signature[a:b].astype("<u4").tobytes())
-            yield _rows(part=np.arange(parts), blob=blobs)
+            if sum(len(w[0]) for w in waiting) >= FLUSH:
+                yield _blobs(waiting, parts)
+                waiting, met = [], np.zeros(0, np.uint64)
+        if waiting:
+            yield _blobs(waiting, parts)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"part long, doc_id {kind}, text_key long, n long, node long, second long, blob binary"
+    schema = f"part long, doc_id {kind}, text_key long, n long, node long, second long, skip long, skip_next long, blob binary"
     return docs.select("doc_id", "text_key", "text").mapInArrow(emit, schema)
 
 
-_FIELDS = ("part", "doc_id", "text_key", "n", "node", "second", "blob")
+def _blobs(waiting: list[tuple], parts: int) -> pa.RecordBatch:
+    node, later, to, low = (np.concatenate(x) for x in zip(*waiting))
+    order = np.lexsort((later, node, to))
+    node, later, to, low = node[order], later[order], to[order], low[order]
+    cuts = np.searchsorted(to, np.arange(parts + 1))
+    blobs = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        start, length = _runs(node[a:b] * np.uint64(2) + later[a:b].astype(np.uint64))
+        # a set with very many entries is several units
+        pieces = np.maximum(-(-length // (_NEXT - 1)), 1)
+        unit = np.zeros(int(pieces.sum()), _UNIT)
+        unit["node"] = np.repeat(node[a:b][start], pieces)
+        nth = np.arange(len(unit)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        size = np.minimum(np.repeat(length, pieces) - nth * (_NEXT - 1), _NEXT - 1)
+        unit["n"] = size + np.repeat(later[a:b][start].astype(np.int64), pieces) * _NEXT
+        blobs.append(np.uint32(len(unit)).tobytes() + unit.tobytes() + low[a:b].astype("<u4").tobytes())
+    return _rows(part=np.arange(parts), blob=blobs)
+
+
+_FIELDS = ("part", "doc_id", "text_key", "n", "node", "second", "skip", "skip_next", "blob")
 
 
 def _rows(**columns) -> pa.RecordBatch:
     length = len(next(iter(columns.values())))
     arrays = []
     for name in _FIELDS:
-        value = columns.get(name)
-        if value is None:
-            arrays.append(pa.nulls(length, pa.binary() if name == "blob" else pa.int64()))
-        else:
-            arrays.append(value if isinstance(value, pa.Array) else pa.array(value, pa.binary() if name == "blob" else pa.int64()))
+        kind, value = pa.binary() if name == "blob" else pa.int64(), columns.get(name)
+        arrays.append(pa.nulls(length, kind) if value is None else value if isinstance(value, pa.Array) else pa.array(value, kind))
     return pa.RecordBatch.from_arrays(arrays, list(_FIELDS))
 
 
-_UNIT = np.dtype([("node", "<u8"), ("size", "<u4"), ("skip", "<i4"), ("next", "u1"), ("n", "<u4")])
-
-
 def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of each run of equal values."""
     start = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
     return start, np.diff(np.concatenate([start, [len(sorted_)]]))
 
 
+def _by_part(entry: np.ndarray, to: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    order = np.argsort(to, kind="stable")
+    entry, to = entry[order], to[order]
+    for a, n in zip(*_runs(to)):
+        yield int(to[a]), entry[a : a + n].tobytes()
+
+
 def _shared(parts: int):
     """Group function: the entries of one part whose signature several sets hold, by the part of their node."""
 
     def group(key: tuple, rows: pa.Table) -> pa.Table:
         part = key[0].as_py()
-        if part < 0:
+        if part < 0:  # documents
             return rows
         units, lows = [], []
         for blob in rows["blob"].to_pylist():
             n = int(np.frombuffer(blob, "<u4", 1)[0])
             units.append(np.frombuffer(blob, _UNIT, n, 4))
             lows.append(np.frombuffer(blob, "<u4", -1, 4 + n * _UNIT.itemsize))
-        unit, low = np.concatenate(units), np.concatenate(lows)
+        unit = np.concatenate(units)
+        packed = np.concatenate(lows).astype(np.uint64)
+        packed <<= np.uint64(32)
+        packed |= np.repeat(np.arange(len(unit), dtype=np.uint32), unit["n"] % _NEXT)
         del units, lows
-        packed = low.astype(np.uint64) << np.uint64(32) | np.repeat(np.arange(len(unit), dtype=np.uint64), unit["n"])
         packed.sort()
-        start, length = _runs(packed >> np.uint64(32))
+        _, length = _runs(packed >> np.uint64(32))
         packed = packed[np.repeat(length > 1, length)]
-        entry = np.zeros(len(packed), _ENTRY)
+        entry = np.zeros(len(packed), _SHARED)
         owner = unit[(packed & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        for name in ("node", "size", "skip", "next"):
-            entry[name] = owner[name]
-        entry["sig"] = (packed >> np.uint64(32)) * np.uint64(parts) + np.uint64(part)
+        entry["node"], entry["next"], entry["sig"] = owner["node"], owner["n"] >= _NEXT, packed >> np.uint64(32)
         del packed, owner
         # one entry per set and value: copies in several tasks and equal deletions fall together
         entry = entry[np.lexsort((entry["next"], entry["node"], entry["sig"]))]
         again = (entry["sig"][1:] == entry["sig"][:-1]) & (entry["node"][1:] == entry["node"][:-1])
         entry = entry[np.concatenate([[True], ~again])[: len(entry)]]
-        start, length = _runs(entry["sig"])
+        _, length = _runs(entry["sig"])
         entry["freq"] = np.repeat(length, length)
-        return _by_part(entry[entry["freq"] > 1], entry_part="node", parts=parts, sign=-1)
+        entry = entry[entry["freq"] > 1]
+        found = list(_by_part(entry, -1 - (entry["node"] % np.uint64(parts)).astype(np.int64)))
+        # second: the part the signatures belong to
+        out = _rows(part=[p for p, _ in found], second=[part] * len(found), blob=[b for _, b in found])
+        return pa.Table.from_batches([out])
 
     return group
 
 
-def _by_part(entry: np.ndarray, entry_part: str, parts: int, sign: int) -> pa.Table:
-    """Blobs of entries by the part of their node (sign -1: parts below 0) or signature."""
-    to = (entry[entry_part] % np.uint64(parts)).astype(np.int64)
-    entry, to = entry[np.argsort(to, kind="stable")], np.sort(to)
-    start, length = _runs(to)
-    blobs = [entry[a : a + n].tobytes() for a, n in zip(start, length)]
-    where = -1 - to[start] if sign < 0 else to[start]
-    return pa.Table.from_batches([_rows(part=where, blob=blobs)])
-
-
-def _allocated(parts: int):
-    """Group function: of each set, the values that are left after the costliest it may leave out."""
-
-    def group(rows: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(b, _ENTRY) for b in rows["blob"].to_pylist()]
-        entry = np.concatenate(blobs) if blobs else np.zeros(0, _ENTRY)
-        entry = entry[np.lexsort((entry["sig"], -entry["freq"].astype(np.int64), entry["next"], entry["node"]))]
-        unit = entry["node"] * np.uint64(2) + entry["next"]
-        start, length = _runs(unit)
-        rank = np.arange(len(entry)) - np.repeat(start, length)
-        return _by_part(entry[rank >= entry["skip"]], entry_part="sig", parts=parts, sign=1)
-
-    return group
+def _allocated(rows: pa.Table) -> pa.Table:
+    """Group function: of each set, the values that are left after the costliest it may leave out, by part."""
+    node = np.asarray(rows["node"].combine_chunks().drop_null()).view(np.uint64)
+    order = np.argsort(node)
+    known = {name: np.asarray(rows[name].combine_chunks().drop_null())[order] for name in ("n", "skip", "skip_next")}
+    node = node[order]
+    blobs = [(p, np.frombuffer(b, _SHARED)) for p, b in zip(rows["second"].to_pylist(), rows["blob"].to_pylist()) if b is not None]
+    if not blobs:
+        return pa.Table.from_batches([_rows(part=[], blob=[])])
+    entry = np.concatenate([b for _, b in blobs])
+    part = np.concatenate([np.full(len(b), p, np.int64) for p, b in blobs])
+    order = np.lexsort((entry["sig"], part, -entry["freq"].astype(np.int64), entry["next"], entry["node"]))
+    entry, part = entry[order], part[order]
+    same = (entry["node"][1:] == entry["node"][:-1]) & (entry["next"][1:] == entry["next"][:-1])
+    start = np.flatnonzero(np.concatenate([[True], ~same]))
+    rank = np.arange(len(entry)) - np.repeat(start, np.diff(np.append(start, len(entry))))
+    at = np.searchsorted(node, entry["node"])
+    keep = rank >= np.where(entry["next"] == 1, known["skip_next"][at], known["skip"][at])
+    kept = np.zeros(int(keep.sum()), _KEPT)
+    kept["node"], kept["sig"], kept["size"] = entry["node"][keep], entry["sig"][keep], known["n"][at][keep]
+    found = list(_by_part(kept, part[keep]))
+    return pa.Table.from_batches([_rows(part=[p for p, _ in found], blob=[b for _, b in found])])
 
 
 def _similar_sizes(a, b):
     return 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
 
 
-def _pairs(rows: pa.Table) -> pa.Table:
+def _pairs(key: tuple, rows: pa.Table) -> pa.Table:
     """Group function: candidate pairs (a < b, number of buckets) and the members of crowded buckets."""
-    blobs = [np.frombuffer(b, _ENTRY) for b in rows["blob"].to_pylist()]
-    entry = np.concatenate(blobs) if blobs else np.zeros(0, _ENTRY)
+    entry = np.concatenate([np.frombuffer(b, _KEPT) for b in rows["blob"].to_pylist()])
     entry = entry[np.lexsort((entry["node"], entry["sig"]))]
     start, length = _runs(entry["sig"])
     node, size = entry["node"].view(np.int64), entry["size"].astype(np.int64)
@@ -317,7 +336,7 @@ def _pairs(rows: pa.Table) -> pa.Table:
     return pa.table(
         {
             "a": pa.array(np.concatenate([pair[:, 0], node[member]]), pa.int64()),
-            "b": pa.array(np.concatenate([pair[:, 1], entry["sig"].view(np.int64)[member]]), pa.int64()),
+            "b": pa.array(np.concatenate([pair[:, 1], (entry["sig"][member].astype(np.int64) << 31) + key[0].as_py()]), pa.int64()),
             "n": pa.array(np.concatenate([n, zero]), pa.int64()),
             "size": pa.array(np.concatenate([np.zeros(len(pair), np.int64), size[member]]), pa.int64()),
         }
@@ -370,7 +389,8 @@ def link(docs: DataFrame) -> DataFrame:
     fields = index.schema
     shared = stage(index.groupBy("part").applyInArrow(_shared(parts), fields), "jaccard-shared")
     sets = shared.where("node IS NOT NULL").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "node", "second")
-    kept = shared.where("blob IS NOT NULL AND part < 0").groupBy("part").applyInArrow(_allocated(parts), fields)
+    # documents and shared entries of a node are in the same part
+    kept = shared.groupBy("part").applyInArrow(_allocated, fields)
     found = kept.groupBy("part").applyInArrow(_pairs, "a long, b long, n long, size long")
     found = stage(found, "jaccard-pairs")
     pairs = found.where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
