@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bookwise.llm import licenses
+from bookwise.llm import licenses, quality_rules as qr
 
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, {1 + 10 * i}, 10))::BIGINT >> {35 - 5 * j}) & 31) + 1)::INT, 1)"
@@ -44,7 +44,36 @@ def _licenses() -> str:
         FROM marked LEFT JOIN near USING (id)"""
 
 
+def _quality_rules() -> str:
+    word = r"[^\x20\x09-\x0D]"
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, regexp_extract_all(text, '{word}+') AS words FROM d),
+        c AS (SELECT id, doc_id, i, word, ('0x' || substr(md5(word), 1, 8))::BIGINT AS code
+              FROM (SELECT id, doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w)),
+        n AS (SELECT *, lead(code) OVER o AS code2, lead(word) OVER o AS word2, lead(word, 2) OVER o AS word3 FROM c WINDOW o AS (PARTITION BY id ORDER BY i)),
+        grams AS (SELECT id, doc_id, code % {qr.BUCKETS} AS b FROM n
+                  UNION ALL SELECT id, doc_id, (code * 1000003 + code2) % {qr.BUCKETS} FROM n WHERE code2 IS NOT NULL),
+        counts AS (SELECT b, count(*) AS raw, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS trusted FROM grams GROUP BY b),
+        sums AS (SELECT sum(raw)::DOUBLE AS raw_all, sum(trusted)::DOUBLE AS trusted_all FROM counts),
+        weights AS (SELECT b, CASE WHEN trusted_all = 0 THEN 0
+                    ELSE round(ln((trusted + {qr.SMOOTHING}) / (raw * (trusted_all / raw_all) + {qr.SMOOTHING})) * {qr.SCALE})::BIGINT END AS w FROM counts, sums),
+        rated AS (SELECT id, sum(w) AS total, count(*) AS grams FROM grams JOIN weights USING (b) GROUP BY id),
+        windows AS (SELECT id, i, count(*) OVER (PARTITION BY id, word, word2, word3) AS k FROM n WHERE word3 IS NOT NULL),
+        again AS (SELECT id, count(DISTINCT j) AS k FROM (SELECT id, unnest([i, i + 1, i + 2]) AS j FROM windows WHERE k > 1) GROUP BY id),
+        base AS (SELECT id, doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+                        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines FROM w),
+        figures AS (SELECT b.*, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(k, 0) AS n_repeat_words,
+                           coalesce(total, 0) AS total, coalesce(grams, 0) AS grams FROM base b LEFT JOIN again USING (id) LEFT JOIN rated USING (id)),
+        judged AS (SELECT *, n_words < {qr.MIN_WORDS} OR 100 * n_repeat_words > {qr.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM figures)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, total / greatest(grams, 1) / {qr.SCALE} AS llr, base_failed,
+               NOT base_failed AND total >= {round(qr.THRESHOLD * qr.SCALE)} * grams AS kept
+        FROM judged"""
+
+
 SQL: dict[str, str] = {
+    "op1_quality_rules": _quality_rules(),
     "op2_license_scan": _licenses(),
     "op7_topk": """
         WITH v AS (

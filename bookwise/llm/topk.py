@@ -13,76 +13,84 @@ from bookwise.llm.common import table
 
 K = 10
 #: Rows of a corpus block and queries of a query block: what one task holds.
-BLOCK_ROWS, BLOCK_QUERIES = 16_384, 2_048
+BLOCK_ROWS, BLOCK_QUERIES = 16_384, 256
 #: Quantised impacts of a dimension.
-LEVELS = 16
-#: Impact thresholds, as shares of the largest impact, at which a proof is tried.
-ROUNDS = (0.5, 0.3, 0.2, 0.12, 0.07, 0.03, 0.0)
+LEVELS = 256
+#: Impact thresholds, as shares of a query's largest impact, at which a proof is tried.
+ROUNDS = (0.03, 0.0)
+#: Classes of a weight against the query's largest, each half of the one before.
+CLASSES = 8
 #: Components are whole numbers below this, so that sums of products fit 64 bits.
 COMPONENT_LIMIT = 1 << 25
 
 
 class ImpactIndex:
-    """Postings of one block. Every dimension is indexed for both signs of a query's weight.
+    """Impacts of one block. Every dimension is indexed for both signs of a query's weight.
 
     For a positive weight the impact of a row is its component less the smallest
     of the block, for a negative weight the largest less its component; impacts
-    are never negative. They are quantised to LEVELS levels; postings are ordered
-    by level, so the rows of a level are one segment.
+    are never negative. They are quantised to LEVELS levels; the rows of a level
+    of a dimension are one posting segment.
     """
 
     def __init__(self, rows: np.ndarray):
         self.rows = rows
         self.low, self.high = rows.min(0), rows.max(0)
-        self.step = np.maximum((self.high - self.low) // LEVELS + 1, 1)
-        self.level, self.order, self.ends = {}, {}, {}
-        for positive in (True, False):
-            impact = rows - self.low if positive else self.high - rows
-            level = (impact // self.step).astype(np.int16)
-            order = np.argsort(-level, axis=0, kind="stable")
-            self.level[positive], self.order[positive] = level, order
-            # ends[d, l]: postings of dimension d with level l or more
-            self.ends[positive] = np.stack([(level >= x).sum(0) for x in range(LEVELS + 1)], 1)
-
-    def top(self, query: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows that may be among the k best, and their exact scores. ``own``: rows that are not candidates."""
-        weight = np.abs(query)
-        dims = np.flatnonzero(weight)
-        base = int((query * np.where(query > 0, self.low, self.high)).sum())
-        sums = np.full(len(self.rows), base, np.int64)
+        impact = np.concatenate([rows - self.low, self.high - rows], 1)
+        self.step = np.maximum(impact.max(0) // LEVELS + 1, 1)
+        self.level = (impact // self.step).astype(np.int16)
+
+    def _bounds(self, weight: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """Least and most each query (rows of ``weight``) can score, with all segments processed whose impact reaches a threshold.
+
+        Score at a time: a segment's impact is weight times quantised impact. The
+        threshold is ``share`` of the query's largest impact; dimensions whose
+        weights are of one class have one level from which their segments are
+        processed, so a class is one product of matrices for all queries. A row met
+        in a segment counts with its level, a row not met yet with 0 and with the
+        most it can have below the segments processed.
+        """
         unit = weight * self.step
-        done = np.full(len(query), LEVELS)  # levels from here up are processed
-        largest = (unit * (LEVELS - 1)).max(initial=0)
-        candidates = np.setdiff1d(np.arange(len(self.rows)), own)
-        if not len(dims) or len(candidates) <= k:
-            return self._exact(candidates, query, k)
+        ratio = unit / np.maximum(unit.max(1, keepdims=True), 1)
+        kind = np.clip(np.floor(-np.log2(np.maximum(ratio, 1e-9))), 0, CLASSES - 1).astype(np.int64)
+        least = np.zeros((len(weight), len(self.rows)))
+        most = np.zeros_like(least)
+        for c in range(CLASSES):
+            own = np.where((kind == c) & (weight > 0), weight, 0).astype(np.float64)
+            dims = np.flatnonzero(own.any(0))
+            if not len(dims):
+                continue
+            # the last class reaches down to weights of nearly nothing: its segments come last
+            floor = 0 if not share else min(math.ceil(share * (LEVELS - 1) * 2**c), LEVELS)
+            level, step = self.level[:, dims], self.step[dims]
+            met = level >= floor
+            known = np.where(met, level * step, 0).astype(np.float64)
+            limit = np.where(met, known + (step - 1), floor * step - 1)
+            least += own[:, dims] @ known.T
+            most += own[:, dims] @ limit.T
+        return least, most
+
+    def top(self, queries: np.ndarray, k: int, own: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the rows that may be among its k best, with exact scores. ``own``: rows that are not candidates."""
+        weight = np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], 1)
+        found: list[np.ndarray] = [np.setdiff1d(np.arange(len(self.rows)), x) for x in own]
+        open_ = np.array([i for i, x in enumerate(found) if len(x) > k], np.int64)
         for share in ROUNDS:
-            # segments (dimension, level) whose impact reaches the threshold, in falling order of impact
-            floor = np.ceil(share * largest / np.maximum(unit, 1)).astype(np.int64)
-            for d in dims[np.argsort(-unit[dims], kind="stable")]:
-                to, side = max(0, min(int(floor[d]), LEVELS)), bool(query[d] > 0)
-                if to < done[d]:
-                    segment = self.order[side][self.ends[side][d, done[d]] : self.ends[side][d, to], d]
-                    sums[segment] += unit[d] * self.level[side][segment, d].astype(np.int64)
-                    done[d] = to
-            # what a row can still gain: quantisation where it was met, the next level where it was not
-            possible = sums[candidates].copy()
-            for side in (True, False):
-                part = dims[(query[dims] > 0) == side]
-                met = self.level[side][np.ix_(candidates, part)] >= done[part]
-                seen, unseen = weight[part] * (self.step[part] - 1), weight[part] * (done[part] * self.step[part] - 1)
-                possible += met @ (seen - unseen) + unseen.sum()
-            sure = np.partition(sums[candidates], len(candidates) - k)[len(candidates) - k]
-            left = candidates[possible >= sure]
-            pending = sum(int(self.ends[bool(query[d] > 0)][d, 0] - self.ends[bool(query[d] > 0)][d, done[d]]) for d in dims)
-            # all that are left out are proven worse; stop once scoring the rest is less work than going on
-            candidates = left
-            if len(candidates) <= k or len(candidates) * len(dims) <= pending:
+            if not len(open_):
                 break
-        return self._exact(candidates, query, k)
-
-    def _exact(self, candidates: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        return candidates, self.rows[candidates] @ query
+            least, most = self._bounds(weight[open_], share)
+            # rounding of the sums must not break the proof
+            slack = np.maximum(most.max(1), 1) * 1e-12
+            going = []
+            for i, low, high, error in zip(open_.tolist(), least, most, slack):
+                candidates = found[i]
+                sure = np.partition(low[candidates], len(candidates) - k)[len(candidates) - k]
+                # all that are left out are proven worse than k others
+                found[i] = candidates[high[candidates] >= sure - error]
+                if len(found[i]) > max(k, len(self.rows) // 16):
+                    going.append(i)
+            open_ = np.array(going, np.int64)
+        return [(rows, self.rows[rows] @ query) for rows, query in zip(found, queries)]
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -134,8 +142,9 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = K, block_rows: int = B
         found: list[list] = [[], [], []]
         if rows.num_rows and asked_.num_rows:
             ids, index = np.asarray(rows["vec_id"]), ImpactIndex(_matrix(rows["v"], width))
-            for query_id, query in zip(asked_["vec_id"].to_pylist(), _matrix(asked_["v"], width)):
-                row, score = index.top(query, k, np.flatnonzero(ids == query_id))
+            query_ids = asked_["vec_id"].to_pylist()
+            own = [np.flatnonzero(ids == q) for q in query_ids]
+            for query_id, (row, score) in zip(query_ids, index.top(_matrix(asked_["v"], width), k, own)):
                 best = np.lexsort((ids[row], -score))[:k]
                 found[0] += [query_id] * len(best)
                 found[1] += ids[row[best]].tolist()
