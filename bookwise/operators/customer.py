@@ -214,9 +214,10 @@ def customers_near(
 
 
 def vocabulary(customer_dim: DataFrame, pg12: DataFrame, penetration: DataFrame) -> DataFrame:
-    """Two rows: names of the biggest customers and the common product groups, cleaned.
+    """Two rows: names of the biggest customers and all common product groups, cleaned.
 
-    Both lists are cut to their report size before they are gathered.
+    The names are cut to their report size before they are gathered; the groups are
+    a dimension's values.
     """
     totals = pg12.groupBy("customer_id").agg(F.sum("sales_12m").alias("sales"))
     by_name = customer_dim.join(totals, "customer_id").groupBy("customer_name").agg(F.sum("sales").alias("sales"))
@@ -225,7 +226,7 @@ def vocabulary(customer_dim: DataFrame, pg12: DataFrame, penetration: DataFrame)
         F.lit("customers").alias("list"), (-F.col("sales")).cast("double").alias("place"), F.col("customer_name").alias("word")
     )
     common = penetration.where(F.col("penetration_pct") >= K.VOCABULARY_MIN_PCT)
-    groups = common.select(F.col("product_group_desc").alias("word")).distinct().orderBy("word").limit(K.SELECT_ROWS)
+    groups = common.select(F.col("product_group_desc").alias("word")).distinct()
     words = names.unionByName(groups.select(F.lit("products").alias("list"), F.lit(0.0).alias("place"), "word"))
     clean = F.trim(F.regexp_replace("word", "[^A-Za-z0-9&' .-]", " "))
     listed = words.where("length(word) > 0").withColumn("clean", clean)

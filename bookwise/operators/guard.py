@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -55,33 +56,42 @@ def scoped_views(t: Tables, who: Scope, as_of=None) -> dict[str, DataFrame]:
 
 
 def _spark_text(sql: str) -> str:
-    """Drop the schema prefix (temp views have none), leaving string literals alone."""
-    pattern = rf"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|\b{K.VIEW_SCHEMA}\."""
-    return re.sub(pattern, lambda m: m[0] if m[0][0] in "'\"" else "", sql, flags=re.IGNORECASE)
+    """Drop the schema prefix (temp views have none), leaving literals and quoted names alone."""
+    quoted = r"""'(?:[^'\\]|\\.|'')*'""" + r'|"(?:[^"\\]|\\.|"")*"'
+    prefix = rf"`{K.VIEW_SCHEMA}`\s*\.\s*|\b{K.VIEW_SCHEMA}\s*\.\s*"
+    pattern = rf"{quoted}|{prefix}|`[^`]*`"
+    dropped = re.compile(rf"^(?:{prefix})$", re.IGNORECASE)
+    return re.sub(pattern, lambda m: "" if dropped.match(m[0]) else m[0], sql, flags=re.IGNORECASE)
 
 
-def _with_names(sql: str) -> set[str]:
-    return set(re.findall(r"(?:with|,)\s*([a-z_][a-z0-9_]*)\s+as\s*\(", sql.lower()))
+def _items(sequence) -> list:
+    return [sequence.apply(i) for i in range(sequence.size())]
 
 
 def _names_outside(session: SparkSession, sql: str, views: set[str]) -> str | None:
-    """Second barrier: every relation Spark itself parsed must be a view or a WITH name."""
-    plan = session.sql(f"EXPLAIN EXTENDED {sql}").first()[0]
-    for marker in ("ScriptTransformation", "UnresolvedIdentifier"):
-        if marker in plan:
-            return marker
-    allowed = views | _with_names(sql)
-    for name in re.findall(r"UnresolvedRelation \[(.*?)\]", plan):
-        if name.lower() not in allowed:
-            return name.replace(", ", ".")
-    return None
+    """Second barrier: every relation of the parsed plan must be a view or a WITH name."""
+    waiting = [session._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+    used, named = [], set(views)
+    while waiting:
+        node = waiting.pop()
+        kind = node.getClass().getSimpleName()
+        if kind in ("ScriptTransformation", "PlanWithUnresolvedIdentifier"):
+            return kind
+        if kind == "UnresolvedRelation":
+            used.append(".".join(_items(node.multipartIdentifier())))
+        inner = [x for x in _items(node.innerChildren().toSeq()) if hasattr(x, "children")]
+        if kind == "UnresolvedWith":
+            named |= {x.alias().lower() for x in inner}
+        waiting += _items(node.children().toSeq()) + inner + _items(node.subqueries().toSeq())
+    return next((name for name in used if name.lower() not in named), None)
 
 
 def guarded_select(session: SparkSession, sql: str, max_rows: int = K.SELECT_ROWS) -> DataFrame:
     """Run one SELECT in an isolated session, 200 rows at most.
 
-    A refused or failing statement comes back as a row with ``error``, not as an
-    exception.
+    The statement runs here, inside the guard: its few rows come back as a local
+    table. A refused statement and one that fails, at analysis or while it runs,
+    come back as a row with ``error``, not as an exception.
     """
 
     def failed(text: str) -> DataFrame:
@@ -101,6 +111,7 @@ def guarded_select(session: SparkSession, sql: str, max_rows: int = K.SELECT_ROW
         outside = _names_outside(session, runnable, known)
         if outside is not None:
             return failed(f"'{outside}' is not allowed; only {K.VIEW_SCHEMA}.* views (or CTEs) may be queried")
-        return session.sql(runnable).limit(max_rows)
-    except PySparkException as error:
-        return failed(str(error))
+        answer = session.sql(runnable).limit(max_rows)
+        return session.createDataFrame(answer.collect(), answer.schema)
+    except (PySparkException, Py4JJavaError) as error:
+        return failed(str(error).strip().split("\n\tat ")[0])

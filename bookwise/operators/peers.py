@@ -12,65 +12,27 @@ from bookwise.functions.columns import clamp, percent, restrict, top_rows
 from bookwise.functions.staging import stage
 from bookwise.operators.views import customer_vector
 
-# Up to this many subjects their vectors are broadcast (rows <= subjects x groups);
-# above it subjects and population meet in blocks of the sizes below.
-BROADCAST_SUBJECTS = 64
-SUBJECT_BLOCK = 2048
-POPULATION_BLOCK = 16384
+# Customers of a block; a task compares one block of subjects with one of the population.
+# Each side is copied once per block of the other: 10 million customers are 153 blocks,
+# so 153 copies of a vector of about 100 bytes, 150 GB a side.
+BLOCK = 65_536
 # dense cells one block comparison may hold at a time
 _CELLS = 4_000_000
+# Weights are whole multiples of 2**-26: products and their sums fit the 53 bits of a
+# double, so a similarity does not depend on the order or company it is computed in.
+_UNITS = 1 << 26
 
 
-def similar_pairs(vectors: DataFrame, subjects: DataFrame | None, n: int = K.LOOKALIKES) -> DataFrame:
+def similar_pairs(vectors: DataFrame, subjects: DataFrame | None, n: int = K.LOOKALIKES, population: DataFrame | None = None) -> DataFrame:
     """The n most similar customers of each subject: (subject_id, customer_id, raw, sales_12m).
 
-    The population is everybody in ``vectors``; ``sales_12m`` is the peer's sales in
-    the groups the subject buys too. Exact at any number of subjects.
-    """
-    if subjects is not None:
-        subjects = subjects.select("customer_id").distinct()
-        few = subjects.limit(BROADCAST_SUBJECTS + 1).count() <= BROADCAST_SUBJECTS
-        if few:
-            return _pairs_by_broadcast(vectors, subjects, n)
-    return _pairs_by_blocks(vectors, subjects, n)
-
-
-def similarity() -> Column:
-    """Similarity on three places, by the same floating-point steps as the block path."""
-    return F.floor(F.col("raw") * 1000 + 0.5) / 1000
-
-
-def _best(pairs: DataFrame, n: int) -> DataFrame:
-    order = [similarity().desc(), F.col("customer_id").asc()]
-    return top_rows(pairs, ["subject_id"], order, n)
-
-
-def _pairs_by_broadcast(vectors: DataFrame, subjects: DataFrame, n: int) -> DataFrame:
-    """Stream the population past the broadcast subject vectors.
-
-    ``vectors`` is already partitioned by customer, the broadcast join keeps that, so
-    the sum per (subject, peer) needs no shuffle; only each task's best n per subject
-    move. The subject side holds at most BROADCAST_SUBJECTS x product groups rows.
-    """
-    me = restrict(vectors, subjects).select(
-        F.col("customer_id").alias("subject_id"), "product_group_id", F.col("w").alias("subject_w")
-    )
-    shared = vectors.join(F.broadcast(me), "product_group_id").where("customer_id <> subject_id")
-    pairs = (
-        shared.groupBy("customer_id", "subject_id")
-        .agg(F.sum(F.col("w") * F.col("subject_w")).alias("raw"), F.sum("sales_12m").alias("sales_12m"))
-        .where(F.col("raw") >= K.MIN_SIMILARITY)
-        .select("subject_id", "customer_id", "raw", F.col("sales_12m").cast("decimal(28,2)").alias("sales_12m"))
-    )
-    return _best(pairs, n)
-
-
-def _pairs_by_blocks(vectors: DataFrame, subjects: DataFrame | None, n: int) -> DataFrame:
-    """Compare blocks of packed vectors; a block keeps only each subject's best n.
+    Peers are the customers of ``population`` (None: everybody in ``vectors``);
+    ``sales_12m`` is the peer's sales in the groups the subject buys too. One exact
+    path for any number of subjects.
 
     One row per customer holds its whole vector (bounded by the product groups).
-    Blocks come from a hash of the unique customer id, so they are even and no pair
-    is ever written out as a row except the survivors.
+    Blocks come from a hash of the unique customer id, so they are even; a block
+    keeps each subject's best n and no other pair is ever written out as a row.
     """
     packed = stage(
         vectors.groupBy("customer_id").agg(
@@ -80,19 +42,19 @@ def _pairs_by_blocks(vectors: DataFrame, subjects: DataFrame | None, n: int) ->
     ).select(
         "customer_id",
         F.col("mix.product_group_id").alias("groups"),
-        F.col("mix.w").alias("w"),
+        F.transform("mix.w", lambda w: F.round(w * _UNITS, 0)).alias("w"),
         # cents as integers: exact sums inside numpy
         F.transform("mix.sales_12m", lambda x: (x * 100).cast("long")).alias("cents"),
     )
-    wanted = restrict(packed, subjects)
-    n_blocks = -(-max(wanted.count(), 1) // SUBJECT_BLOCK)
-    n_chunks = -(-max(packed.count(), 1) // POPULATION_BLOCK)
+    wanted = restrict(packed, None if subjects is None else subjects.select("customer_id").distinct())
+    peers = packed if population is None else packed.join(population.select("customer_id"), "customer_id", "left_semi")
+    n_blocks, n_chunks = (-(-max(df.count(), 1) // BLOCK) for df in (wanted, packed))
 
     def spread(i: int):
         return F.explode(F.sequence(F.lit(0), F.lit(i - 1)))
 
-    population = packed.withColumn("chunk", F.pmod(F.xxhash64("customer_id"), F.lit(n_chunks)).cast("int"))
-    population = population.withColumn("block", spread(n_blocks))
+    peers = peers.withColumn("chunk", F.pmod(F.xxhash64("customer_id"), F.lit(n_chunks)).cast("int"))
+    peers = peers.withColumn("block", spread(n_blocks))
     # fresh aliases: both sides of the cogroup come from the same table
     wanted = wanted.select(*[F.col(c).alias(c) for c in ("customer_id", "groups", "w")])
     wanted = wanted.withColumn("block", F.pmod(F.xxhash64("customer_id", F.lit(7)), F.lit(n_blocks)).cast("int"))
@@ -102,13 +64,19 @@ def _pairs_by_blocks(vectors: DataFrame, subjects: DataFrame | None, n: int) ->
         return _compare_block(subject_pdf, peer_pdf, n)
 
     keys = ["block", "chunk"]
-    pairs = wanted.groupBy(*keys).cogroup(population.groupBy(*keys)).applyInPandas(
+    pairs = wanted.groupBy(*keys).cogroup(peers.groupBy(*keys)).applyInPandas(
         compare, "subject_id string, customer_id string, raw double, cents long"
     )
     pairs = pairs.select(
         "subject_id", "customer_id", "raw", (F.col("cents").cast("decimal(26,0)") / 100).cast("decimal(28,2)").alias("sales_12m")
     )
-    return _best(pairs, n)
+    order = [similarity().desc(), F.col("customer_id").asc()]
+    return top_rows(pairs, ["subject_id"], order, n)
+
+
+def similarity() -> Column:
+    """Similarity on three places, by the same floating-point steps as the blocks."""
+    return F.floor(F.col("raw") * 1000 + 0.5) / 1000
 
 
 def _dense(ids: np.ndarray, lengths: np.ndarray, values: np.ndarray, width: int) -> np.ndarray:
@@ -144,7 +112,7 @@ def _compare_block(subject_pdf: pd.DataFrame, peer_pdf: pd.DataFrame, n: int) ->
     for start in range(0, len(peer_pdf), rows):
         peers = peer_pdf.iloc[start : start + rows]
         peer_ids = pd.Index(peers["customer_id"])
-        raw = subject_w @ _dense(*_flat(peers, "w", vocabulary), width).T
+        raw = subject_w @ _dense(*_flat(peers, "w", vocabulary), width).T / float(_UNITS) ** 2
         shown = np.where(raw >= K.MIN_SIMILARITY, np.floor(raw * 1000 + 0.5), -1).astype(np.int16)
         own = peer_ids.get_indexer(subject_ids)
         shown[np.nonzero(own >= 0)[0], own[own >= 0]] = -1
@@ -190,10 +158,10 @@ def lookalikes(
 ) -> DataFrame:
     """Top n customers with the most alike 12-month mix, per subject.
 
-    Peers come from the whole population in ``pg12``; pass only subjects the caller
-    may see. A caller who does not see all gets NULL peer sales.
+    Peers are the customers of ``customer_dim`` in ``pg12``; pass only subjects the
+    caller may see. A caller who does not see all gets NULL peer sales.
     """
-    pairs = similar_pairs(customer_vector(pg12), subjects, n)
+    pairs = similar_pairs(customer_vector(pg12), subjects, n, customer_dim)
     sales = F.round("sales_12m", 0) if show_sales else F.lit(None).cast("decimal(28,0)")
     return pairs.join(customer_dim.select("customer_id", "customer_name", "customer_class"), "customer_id").select(
         "subject_id",
@@ -262,9 +230,10 @@ def lookalike_gap(
     subjects: DataFrame | None,
     n: int = K.LOOKALIKES,
     min_pct: float = K.GAP_MIN_PCT,
+    customer_dim: DataFrame | None = None,
 ) -> DataFrame:
-    """What each subject's look-alikes buy that it did not buy in 12 months."""
-    pairs = similar_pairs(customer_vector(pg12), subjects, n)
+    """What each subject's look-alikes, customers of ``customer_dim``, buy that it did not buy in 12 months."""
+    pairs = similar_pairs(customer_vector(pg12), subjects, n, customer_dim)
     return gaps_of_pairs(stage(pairs.select("subject_id", "customer_id"), "peers"), pg12, ltd, min_pct)
 
 
@@ -286,6 +255,7 @@ def category_gaps(
     settings: Settings,
     top: int | None = None,
     min_pct: float | None = None,
+    customer_dim: DataFrame | None = None,
 ) -> DataFrame:
     """The best gap of each of a scope's biggest accounts, and how many others it has.
 
@@ -298,7 +268,7 @@ def category_gaps(
     if share is None:
         accounts = accounts.where(F.lit(False))
         share = 0
-    gaps = lookalike_gap(pg12, ltd, accounts, K.LOOKALIKES, share)
+    gaps = lookalike_gap(pg12, ltd, accounts, K.LOOKALIKES, share, customer_dim)
     order = [
         F.col("status").startswith("bought before").desc(),
         F.col("avg_sales_per_buyer").desc_nulls_last(),
@@ -330,7 +300,7 @@ def peer_gap(
     """
     n = clamp(n, K.LOOKALIKES, 5, 200)
     subjects = subjects.select("customer_id").distinct()
-    pairs = stage(similar_pairs(customer_vector(pg12), subjects, n), "peers")
+    pairs = stage(similar_pairs(customer_vector(pg12), subjects, n, customer_dim), "peers")
     order = [similarity().desc(), F.col("customer_id").asc()]
     first = top_rows(pairs, ["subject_id"], order, 8, rank="rank")
     shown = F.round("sales_12m", 0) if show_sales else F.lit(None).cast("decimal(28,0)")

@@ -70,8 +70,8 @@ def statement_reason(sql: Column | str, schema: str = K.VIEW_SCHEMA) -> Column:
     words = "|".join(K.FORBIDDEN_WORDS)
     prefixes = "|".join(K.FORBIDDEN_PREFIXES)
     lower = F.lower(text)
-    with_names = F.regexp_extract_all(lower, F.lit(r"(?U)(?:with|,)\s*([a-z_][a-z0-9_]*)\s+as\s*\("), F.lit(1))
-    targets = F.regexp_extract_all(lower, F.lit(r"(?U)\b(?:from|join)\s+([a-z_][a-z0-9_.]*)"), F.lit(1))
+    with_names = F.regexp_extract_all(lower, F.lit(K.STATEMENT_WITH), F.lit(1))
+    targets = F.regexp_extract_all(lower, F.lit(K.STATEMENT_TARGET), F.lit(1))
     unknown = F.filter(
         targets, lambda t: ~t.startswith(f"{schema}.") & ~F.array_contains(with_names, t)
     )

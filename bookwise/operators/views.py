@@ -170,10 +170,12 @@ def customer_vector(pg12: DataFrame) -> DataFrame:
     """Unit-length purchase mix in long form; only groups with positive sales.
 
     A customer has at most one row per product group, so the window partition is
-    bounded by that dimension however many lines the customer has.
+    bounded by that dimension however many lines the customer has. The norm is an
+    exact sum, so it does not depend on the order of the rows.
     """
     sales = F.col("sales_12m").cast("double")
-    norm = F.sqrt(F.sum(sales * sales).over(Window.partitionBy("customer_id")))
+    exact = F.col("sales_12m").cast("decimal(18,2)")
+    norm = F.sqrt(F.sum(exact * exact).over(Window.partitionBy("customer_id")).cast("double"))
     return pg12.where("sales_12m > 0").select(
         "customer_id", "product_group_id", "sales_12m", F.try_divide(sales, norm).alias("w")
     )

@@ -7,14 +7,16 @@ the ranked result at the end: neither the logins nor the managers multiply the f
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bookwise import constants as K
-from bookwise.context import Settings, months_before
+from bookwise.context import Settings, as_of_column, months_before
 from bookwise.functions.columns import top_rows
 from bookwise.functions.staging import stage
 from bookwise.operators import peers, tasks, triggers, views
-from bookwise.operators.scope import enabled_logins
+from bookwise.operators.scope import enabled_logins, login_directory
 from bookwise.sources.tables import Tables, since
 
 
@@ -213,25 +215,50 @@ def headline(section: Column, total: Column, overdue: Column, count: Column) ->
 
 
 class WeekList:
-    """Sections, totals and rows for all enabled mail logins, sharing one set of scans."""
+    """Sections, totals and rows for enabled mail logins, sharing one set of scans.
+
+    ``logins`` (login) restricts the list; None is everybody. A shared table is
+    written when the first result needs it, and once.
+    """
 
-    def __init__(self, t: Tables, settings: Settings, as_of=None, gap_min_pct: float | None = None):
-        self.as_of = as_of
-        self.logins = enabled_logins(t.user_access).where(F.col("login").like("%@%"))
+    def __init__(self, t: Tables, settings: Settings, as_of=None, gap_min_pct: float | None = None, logins: DataFrame | None = None):
+        self.t, self.settings, self.as_of, self.gap_min_pct = t, settings, as_of, gap_min_pct
+        everybody = enabled_logins(t.user_access).where(F.col("login").like("%@%"))
+        wanted = None if logins is None else logins.select(F.lower(F.trim("login")).alias("login")).distinct()
+        self.logins = everybody if wanted is None else everybody.join(wanted, "login", "left_semi")
+
+    @cached_property
+    def scoped_rows(self) -> DataFrame:
+        t = self.t
         scopes = tasks.scope_customers(self.logins, t.customers)
         # One scan of the history leaves a row per customer and group; one of the last 24
         # months (pruned to their partitions) leaves the days both cadence triggers read.
-        pg = stage(views.customer_pg(t.invoice_sales, as_of), "rollup")
-        recent = since(t.invoice_sales, "invoice_date", months_before(as_of, 24))
+        pg = stage(views.customer_pg(t.invoice_sales, self.as_of), "rollup")
+        recent = since(t.invoice_sales, "invoice_date", months_before(self.as_of, 24))
         days = stage(views.daily_sales(recent), "days")
-        gaps = peers.category_gaps(scopes, views.pg_12m(pg), views.pg_ltd(pg), settings, None, gap_min_pct)
-        rows = in_scopes(trigger_rows(t, days, pg, settings, as_of), scopes).unionByName(category_gap_rows(gaps))
-        self.scoped_rows = stage(rows, "week-rows")
-        self.ranked = rank_rows(self.scoped_rows)
-        everything = views.all_tasks(t.activity_trans, t.task_outbox, views.erp_user(t.erp_users))
+        gaps = peers.category_gaps(
+            scopes, views.pg_12m(pg), views.pg_ltd(pg), self.settings, None, self.gap_min_pct, t.customers
+        )
+        found = trigger_rows(t, days, pg, self.settings, self.as_of)
+        return stage(in_scopes(found, scopes).unionByName(category_gap_rows(gaps)), "week-rows")
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        return rank_rows(self.scoped_rows)
+
+    @cached_property
+    def _everything(self) -> DataFrame:
+        t = self.t
+        return views.all_tasks(t.activity_trans, t.task_outbox, views.erp_user(t.erp_users))
+
+    @cached_property
+    def tasks(self) -> DataFrame:
         # eight rows per login, read by the rows and the overdue counts
-        self.tasks = stage(tasks.open_tasks(self.logins, everything, t.customers), "week-tasks")
-        self.task_totals = tasks.open_task_totals(self.logins, everything, self.tasks, as_of)
+        return stage(tasks.open_tasks(self.logins, self._everything, self.t.customers), "week-tasks")
+
+    @cached_property
+    def task_totals(self) -> DataFrame:
+        return tasks.open_task_totals(self.logins, self._everything, self.tasks, self.as_of)
 
     def sections(self) -> DataFrame:
         """(login, position, section, title, count, total, headline), all six for each login."""
@@ -262,16 +289,23 @@ class WeekList:
         return self.sections().join(self.rows(), ["login", "section"], "left")
 
     def documents(self) -> DataFrame:
-        """One JSON document per login. A login holds at most 6 sections of 12 rows."""
+        """One JSON document per login: scope, day and sections. A login holds at most 6 sections of 12 rows."""
         item = F.struct("rank", "customer_id", "customer_name", "detail", "dollars", "question", "task_no")
         listed = F.array_sort(F.collect_list(F.when(F.col("rank").isNotNull(), item)))
         per_section = self.assembled().groupBy("login", "position", "section", "title", "count", "headline").agg(
             listed.alias("rows")
         )
-        section = F.struct("position", F.col("section").alias("key"), "title", "count", "headline", "rows")
+        blurbs = F.create_map(*[F.lit(x) for pair in K.SECTION_BLURBS.items() for x in pair])
+        section = F.struct(
+            "position", F.col("section").alias("key"), "title", blurbs[F.col("section")].alias("blurb"), "count", "headline", "rows"
+        )
         per_login = per_section.groupBy("login").agg(F.array_sort(F.collect_list(section)).alias("sections"))
-        return per_login.select(
-            "login", F.to_json(F.struct("sections"), {"ignoreNullFields": "false"}).alias("document")
+        t = self.t
+        known = login_directory(t.user_access, t.customers, t.salesreps, views.erp_user(t.erp_users))
+        day = F.date_format(as_of_column(self.as_of), "yyyy-MM-dd").alias("generated_at")
+        document = F.struct(F.col("scope_text").alias("scope"), day, "sections")
+        return per_login.join(known.select("login", "scope_text").distinct(), "login").select(
+            "login", F.to_json(document, {"ignoreNullFields": "false"}).alias("document")
         )
 
     def write(self, path: str) -> None:

@@ -151,16 +151,9 @@ def freshness(t: Tables) -> DataFrame:
 
 @query
 def scope_customer(t: Tables) -> DataFrame:
-    """Visible customers of each login, one after the other."""
-    logins = [row[0] for row in fixture.ACCESS] + ["", "unknown@example.com"]
-    parts = [
-        scope.scope_customer(t.customers, Scope.resolve(t.user_access, login)).select(F.lit(login).alias("login"), "customer_id")
-        for login in logins
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Visible customers of every login, in one join."""
+    scopes = tasks.scope_customers(scope.enabled_logins(t.user_access), t.customers)
+    return scope.enabled_logins(t.user_access).join(scopes, "scope_key").select("login", "customer_id")
 
 
 @query
@@ -177,27 +170,44 @@ def lookalikes(t: Tables) -> DataFrame:
 
 @query
 def lookalikes_all(t: Tables) -> DataFrame:
-    """Look-alikes of every customer: blocks instead of the broadcast."""
+    """Look-alikes of every customer."""
     return peers.lookalikes(_recent(t), _dim(t), None)
 
 
 @query
 def lookalike_gap(t: Tables) -> DataFrame:
     pg12, ltd = _rollups(t)
-    return peers.lookalike_gap(pg12, ltd, _top_subjects(pg12), K.LOOKALIKES, GAP_PCT)
+    return peers.lookalike_gap(pg12, ltd, _top_subjects(pg12), K.LOOKALIKES, GAP_PCT, t.customers)
+
+
+@query
+def lookalike_gap_all(t: Tables) -> DataFrame:
+    """The gaps of every customer."""
+    pg12, ltd = _rollups(t)
+    return peers.lookalike_gap(pg12, ltd, None, K.LOOKALIKES, GAP_PCT, t.customers)
 
 
 @query
 def category_gaps(t: Tables) -> DataFrame:
     pg12, ltd = _rollups(t)
     scopes = tasks.scope_customers(scope.enabled_logins(t.user_access), t.customers)
-    return peers.category_gaps(scopes, pg12, ltd, Settings(), None, GAP_PCT)
+    return peers.category_gaps(scopes, pg12, ltd, Settings(), None, GAP_PCT, t.customers)
 
 
 @query
 def peer_gap(t: Tables) -> DataFrame:
     pg12, ltd = _rollups(t)
-    found = peers.peer_gap(pg12, ltd, _dim(t), _top_subjects(pg12), GAP_PCT)
+    return _listed_peers(peers.peer_gap(pg12, ltd, _dim(t), _top_subjects(pg12), GAP_PCT))
+
+
+@query
+def peer_gap_all(t: Tables) -> DataFrame:
+    """Peers and gaps of every customer that bought in the last 12 months."""
+    pg12, ltd = _rollups(t)
+    return _listed_peers(peers.peer_gap(pg12, ltd, _dim(t), pg12.select("customer_id"), GAP_PCT))
+
+
+def _listed_peers(found: DataFrame) -> DataFrame:
     return found.select(
         "subject_id",
         F.transform("top_lookalikes", lambda x: F.concat_ws("/", x["customer_name"], x["similarity"].cast("decimal(4,3)").cast("string"))).alias("top_lookalikes"),
@@ -435,12 +445,16 @@ def _completes(t: Tables) -> DataFrame:
     )
 
 
-@query
-def task_complete_check(t: Tables) -> DataFrame:
+def _complete_checked(t: Tables) -> DataFrame:
     everything = views.all_tasks(t.activity_trans, t.task_outbox, views.erp_user(t.erp_users))
     return validate.task_complete_check(_completes(t), everything, scope.enabled_logins(t.user_access))
 
 
+@query
+def task_complete_check(t: Tables) -> DataFrame:
+    return _complete_checked(t)
+
+
 @query
 def statement_check(t: Tables) -> DataFrame:
     """A statement per order line of the quotes, in twelve shapes, right and wrong."""
@@ -479,31 +493,41 @@ def guarded_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REGISTRY["guarded_select"] = guarded_select
 
 
+def guarded_select_fails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement that breaks on the data: an error row, no exception."""
+    session = guard.isolated_session(spark, lambda s: guard.scoped_views(fixture.tables(s, sf_dir), ADMIN, AS_OF))
+    answer = guard.guarded_select(session, "SELECT CAST(customer_name AS INT) AS n FROM book.customer")
+    return answer.select(F.lit("guarded").alias("statement"), F.col("error").isNotNull().alias("failed"))
+
+
+_REGISTRY["guarded_select_fails"] = guarded_select_fails
+
+
 @query
 def upsert_by_key(t: Tables) -> DataFrame:
-    """Customer contact rows, updated by their latest quote line."""
-    current = t.customers.select("customer_id", F.col("phys_city").alias("note"), F.lit(None).cast("string").alias("updated_by"))
-    changes = t.open_quotes.select("customer_id", F.col("order_no").alias("note"), "order_date")
+    """Customer contact rows, updated by their latest quote line, whose keys are written in another case."""
+    current = t.customers.select(
+        F.concat(F.lit("c"), "customer_id").alias("key"), F.col("phys_city").alias("note"), F.lit(None).cast("string").alias("updated_by")
+    )
+    changes = t.open_quotes.select(F.concat(F.lit(" C"), "customer_id").alias("key"), F.col("order_no").alias("note"), "order_date")
     order = [F.col("order_date").desc(), F.col("note").desc()]
-    return sinks.upsert(current, changes, ["customer_id"], order, {"updated_by": F.lit("admin@example.com")})
+    return sinks.upsert(current, changes, ["key"], order, {"updated_by": F.lit("admin@example.com")}, fold=True)
 
 
 @query
 def seed_if_absent(t: Tables) -> DataFrame:
-    """Customers with a rep are stored; all customers are offered as seeds."""
-    rows = t.customers.select("customer_id", "customer_name", F.lit("seed").alias("origin"))
+    """Customers with a rep are stored; all customers are offered as seeds, twice."""
+    rows = t.customers.select("customer_id", "customer_name", F.explode(F.array(F.lit("seed two"), F.lit("seed"))).alias("origin"))
     stored = t.customers.where("salesrep_id IS NOT NULL").select("customer_id", "customer_name", F.lit("stored").alias("origin"))
     return sinks.seed_if_absent(stored, rows, ["customer_id"])
 
 
 @query
 def key_remap(t: Tables) -> DataFrame:
-    """Ids move up by one million, odd ones onto an id that is taken."""
+    """Ids move up by one million; odd ones ask for an id that is taken, every eighth for one that another asks for."""
     key = F.col("customer_id").cast("long")
-    mapping = t.customers.select(
-        F.col("customer_id").alias("old"),
-        F.when(key % 2 == 0, key + 1_000_000).otherwise(key - 1).cast("string").alias("new"),
-    )
+    new = F.when(key % 2 == 1, key - 1).when(key % 8 == 0, key + 1_000_002).otherwise(key + 1_000_000)
+    mapping = t.customers.select(F.col("customer_id").alias("old"), new.cast("string").alias("new"))
     return sinks.key_remap(t.customers.select("customer_id", "customer_name"), mapping, "customer_id")
 
 
@@ -525,6 +549,14 @@ def outbox_append(t: Tables) -> DataFrame:
     )
 
 
+@query
+def outbox_completes(t: Tables) -> DataFrame:
+    checked = _complete_checked(t)
+    path = scratch_path(checked.sparkSession, "outbox")
+    sinks.append_outbox(sinks.outbox_completes(validate.accepted(checked)), path)
+    return checked.sparkSession.read.parquet(path).select("created_by", "op", "activity_trans_no", "status", "attempts")
+
+
 @query
 def audit_append(t: Tables) -> DataFrame:
     spark = t.customers.sparkSession

@@ -92,30 +92,60 @@ def append_outbox(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: list[Column], stamps: dict[str, Column]) -> DataFrame:
+def _folded(keys: list[str], fold: bool, df: DataFrame) -> DataFrame:
+    """Keys as stored: lower case without outer blanks, if they are folded."""
+    return df.withColumns({k: F.lower(F.trim(k)) for k in keys}) if fold else df
+
+
+def upsert(
+    current: DataFrame, changes: DataFrame, keys: list[str], order: list[Column], stamps: dict[str, Column], fold: bool = False
+) -> DataFrame:
     """Insert or replace by key: the latest change of a key wins over the stored row.
 
     ``order`` ranks the changes of one key (first wins) and ``stamps`` sets columns on
-    changed rows. Changes collapse to one per key before they meet the table, so a
+    changed rows. ``fold`` compares and stores text keys in lower case, trimmed, on
+    both sides; stored rows that only case tells apart then fold to the one that
+    sorts first. Changes collapse to one per key before they meet the table, so a
     key changed a billion times is still one row, and unchanged rows only pass a
     join. Write the result to a new path.
     """
-    latest = top_rows(changes, keys, order, 1).withColumns(stamps).select(*current.columns)
+    if fold:
+        everything = [F.col(c) for c in current.columns]
+        current = top_rows(_folded(keys, True, current), keys, everything, 1)
+    latest = top_rows(_folded(keys, fold, changes), keys, order, 1).withColumns(stamps).select(*current.columns)
     kept = current.join(latest.select(*keys), keys, "left_anti")
     return kept.select(*current.columns).unionByName(latest)
 
 
 def seed_if_absent(current: DataFrame, seeds: DataFrame, keys: list[str]) -> DataFrame:
-    """Add the seeds whose key is not stored yet; stored rows stay as they are."""
-    new = seeds.dropDuplicates(keys).join(current.select(*keys), keys, "left_anti")
+    """Add the seeds whose key is not stored yet; stored rows stay as they are.
+
+    Of several seeds of one key the one whose columns sort first is added.
+    """
+    first = top_rows(seeds.select(*current.columns), keys, [F.col(c) for c in current.columns], 1)
+    new = first.join(current.select(*keys), keys, "left_anti")
     return current.unionByName(new.select(*current.columns))
 
 
+def usable_renames(current: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
+    """(old, new, usable): the renames that keep the key unique, and those that do not.
+
+    A rename is usable if its old key is stored, its new key is not, no smaller new
+    key is asked for the same old one, and no smaller old key asks for the same new one.
+    """
+    asked = mapping.select("old", "new").where("old IS NOT NULL AND new IS NOT NULL").distinct()
+    stored = current.select(F.col(key).alias("old")).distinct()
+    free = asked.join(stored, "old", "left_semi").join(stored.select(F.col("old").alias("new")), "new", "left_anti")
+    single = top_rows(free, ["old"], [F.col("new").asc()], 1)
+    single = top_rows(single.select("old", "new"), ["new"], [F.col("old").asc()], 1)
+    chosen = single.select("old", "new", F.lit(True).alias("chosen"))
+    return asked.join(chosen, ["old", "new"], "left").select("old", "new", F.coalesce("chosen", F.lit(False)).alias("usable"))
+
+
 def key_remap(current: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
-    """Rename keys by (old, new) pairs, except where the new key is stored already."""
-    usable = mapping.select(F.col("old").alias(key), F.col("new").alias("_new")).dropDuplicates([key])
-    usable = usable.join(current.select(F.col(key).alias("_new")).distinct(), "_new", "left_anti")
-    renamed = current.join(usable, key, "left")
+    """Rename keys by (old, new) pairs, as far as ``usable_renames`` allows; all other rows stay."""
+    good = usable_renames(current, mapping, key).where("usable").select(F.col("old").alias(key), F.col("new").alias("_new"))
+    renamed = current.join(good, key, "left")
     return renamed.withColumn(key, F.coalesce("_new", key)).select(*current.columns)
 
 

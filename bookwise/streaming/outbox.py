@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,24 +17,30 @@ CREATE_REQUEST = (
 )
 
 
-def request_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    return spark.readStream.schema(CREATE_REQUEST).option("maxFilesPerTrigger", max_files).json(path)
+COMPLETE_REQUEST = "login string, activity_trans_no string"
 
 
-def ingest_creates(
-    requests: DataFrame, user_access: DataFrame, erp_user: DataFrame, outbox: str, rejects: str, checkpoint: str
+def request_stream(spark: SparkSession, path: str, max_files: int = 1000, schema: str = CREATE_REQUEST) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(path)
+
+
+def _ingest(
+    requests: DataFrame, check: Callable[[DataFrame], DataFrame], rows: Callable[[DataFrame], DataFrame],
+    outbox: str, rejects: str, checkpoint: str,
 ) -> StreamingQuery:
     """Start the ingest; each run takes what has arrived and stops.
 
     A batch replayed after a failure overwrites its own directory, so no request is
-    appended twice.
+    appended twice. The checks of a batch run once, for both of its writes.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        checked = validate.task_create_check(batch, user_access, erp_user)
-        rows = sinks.outbox_creates(validate.accepted(checked))
-        rows.write.mode("overwrite").parquet(f"{outbox}/batch={batch_id}")
-        validate.rejected(checked).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        checked = check(batch).persist()
+        try:
+            rows(validate.accepted(checked)).write.mode("overwrite").parquet(f"{outbox}/batch={batch_id}")
+            validate.rejected(checked).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        finally:
+            checked.unpersist()
 
     return (
         requests.writeStream.foreachBatch(write)
@@ -40,3 +48,21 @@ def ingest_creates(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def ingest_creates(
+    requests: DataFrame, user_access: DataFrame, erp_user: DataFrame, outbox: str, rejects: str, checkpoint: str
+) -> StreamingQuery:
+    """Task-create requests."""
+    return _ingest(
+        requests, lambda batch: validate.task_create_check(batch, user_access, erp_user), sinks.outbox_creates, outbox, rejects, checkpoint
+    )
+
+
+def ingest_completes(
+    requests: DataFrame, all_tasks: DataFrame, logins: DataFrame, outbox: str, rejects: str, checkpoint: str
+) -> StreamingQuery:
+    """Task-complete requests (login, activity_trans_no); a task must be visible to the login."""
+    return _ingest(
+        requests, lambda batch: validate.task_complete_check(batch, all_tasks, logins), sinks.outbox_completes, outbox, rejects, checkpoint
+    )

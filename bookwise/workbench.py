@@ -35,9 +35,24 @@ class Workbench:
         return scope.scoped(df, self.t.customers, self.scope)
 
     # --- scoped views ------------------------------------------------------------
+    @property
+    def _everyone(self) -> DataFrame:
+        """All customers, whatever the scope: peers may be anybody."""
+        return views.customer_all(self.t.customers, self.t.salesreps)
+
     @cached_property
     def customer_dim(self) -> DataFrame:
-        return self._mine(views.customer_all(self.t.customers, self.t.salesreps))
+        return self._mine(self._everyone)
+
+    # Tools read the visible facts themselves: these still have the month their windows
+    # are pruned by, which the exposed line views do not.
+    @cached_property
+    def _sales(self) -> DataFrame:
+        return self._mine(self.t.invoice_sales)
+
+    @cached_property
+    def _quotes(self) -> DataFrame:
+        return self._mine(self.t.open_quotes)
 
     @cached_property
     def sales_line(self) -> DataFrame:
@@ -112,25 +127,23 @@ class Workbench:
 
     def customer_snapshot(self, subjects: DataFrame | None = None) -> DataFrame:
         return customer.customer_snapshot(
-            self.customer_dim, self.sales_line, self.open_quote_line, self.open_order_line, self.customer_pg_12m,
+            self.customer_dim, self._sales, self._quotes, self._mine(self.t.open_orders), self.customer_pg_12m,
             subjects, self.as_of,
         )
 
     def lookalikes(self, subjects: DataFrame | None = None, n: int = K.LOOKALIKES) -> DataFrame:
-        everyone = views.customer_all(self.t.customers, self.t.salesreps)
         return peers.lookalikes(
-            views.pg_12m(self._rollup_all), everyone, self._visible(subjects), n, self.scope.sees_all
+            views.pg_12m(self._rollup_all), self._everyone, self._visible(subjects), n, self.scope.sees_all
         )
 
     def lookalike_gap(self, subjects: DataFrame | None = None, n: int = K.LOOKALIKES, min_pct: float = K.GAP_MIN_PCT) -> DataFrame:
         pg = self._rollup_all
-        return peers.lookalike_gap(views.pg_12m(pg), views.pg_ltd(pg), self._visible(subjects), n, min_pct)
+        return peers.lookalike_gap(views.pg_12m(pg), views.pg_ltd(pg), self._visible(subjects), n, min_pct, self._everyone)
 
     def peer_gap(self, subjects: DataFrame | None = None, min_pct: float = K.GAP_MIN_PCT, n: int | None = None) -> DataFrame:
         pg = self._rollup_all
-        everyone = views.customer_all(self.t.customers, self.t.salesreps)
         return peers.peer_gap(
-            views.pg_12m(pg), views.pg_ltd(pg), everyone, self._visible(subjects), min_pct, n, self.scope.sees_all
+            views.pg_12m(pg), views.pg_ltd(pg), self._everyone, self._visible(subjects), min_pct, n, self.scope.sees_all
         )
 
     def class_gap(self, subjects: DataFrame | None = None, min_pct: float = K.GAP_MIN_PCT) -> DataFrame:
@@ -142,19 +155,19 @@ class Workbench:
         return peers.class_overview(self.class_pg_penetration, classes, top)
 
     def recent_activity(self, subjects: DataFrame | None = None, months: int | None = None) -> DataFrame:
-        return customer.recent_activity(self.sales_line, subjects, months, self.as_of)
+        return customer.recent_activity(self._sales, subjects, months, self.as_of)
 
     def open_quotes(self, subjects: DataFrame | None = None, max_age_days: int | None = None) -> DataFrame:
-        return customer.open_quotes(self.open_quote_line, subjects, max_age_days, self.as_of)
+        return customer.open_quotes(self._quotes, subjects, max_age_days, self.as_of)
 
     def cancelled_quotes(self, subjects: DataFrame | None = None, months: int | None = None) -> DataFrame:
-        return customer.cancelled_quotes(self.cancelled_quote_line, subjects, months, self.as_of)
+        return customer.cancelled_quotes(self._mine(self.t.cancelled_quotes), subjects, months, self.as_of)
 
     def category_gaps(self, top: int | None = None, min_pct: float | None = None) -> DataFrame:
         mine = self.customer_dim.select(F.lit("mine").alias("scope_key"), "customer_id", "customer_name")
         pg = self._rollup_all
         return peers.category_gaps(
-            mine, views.pg_12m(pg), views.pg_ltd(pg), self.settings, top, min_pct
+            mine, views.pg_12m(pg), views.pg_ltd(pg), self.settings, top, min_pct, self._everyone
         ).drop("scope_key")
 
     def run_select(self, sql: str) -> DataFrame:
@@ -162,16 +175,16 @@ class Workbench:
 
     # --- triggers, tasks, checks ------------------------------------------------------
     def stale_quotes(self) -> DataFrame:
-        return triggers.stale_quotes(self.open_quote_line, self.settings, self.as_of)
+        return triggers.stale_quotes(self._quotes, self.settings, self.as_of)
 
     def going_quiet(self) -> DataFrame:
-        return triggers.going_quiet(self.sales_line, self.settings, self.as_of)
+        return triggers.going_quiet(self._sales, self.settings, self.as_of)
 
     def reorder_due(self) -> DataFrame:
-        return triggers.reorder_due(self.sales_line, self.settings, self.as_of)
+        return triggers.reorder_due(self._sales, self.settings, self.as_of)
 
     def new_accounts(self) -> DataFrame:
-        return triggers.new_accounts(self.sales_line, self.settings, self.as_of)
+        return triggers.new_accounts(self._sales, self.settings, self.as_of)
 
     def task_feed(self, everyone: bool = False) -> DataFrame:
         return tasks.task_feed(self.task, self.scope, everyone)
@@ -180,6 +193,12 @@ class Workbench:
         stamped = requests.withColumn("session_login", F.lit(self.scope.login))
         return validate.task_create_check(stamped, self.t.user_access, views.erp_user(self.t.erp_users))
 
+    def check_task_completes(self, requests: DataFrame) -> DataFrame:
+        """Check requests (activity_trans_no) to complete tasks; accepted ones go to ``sinks.outbox_completes``."""
+        stamped = requests.withColumn("login", F.lit(self.scope.login))
+        everything = views.all_tasks(self.t.activity_trans, self.t.task_outbox, views.erp_user(self.t.erp_users))
+        return validate.task_complete_check(stamped, everything, scope.enabled_logins(self.t.user_access))
+
     @cached_property
     def session(self) -> SparkSession:
         """Isolated session whose temp views are this login's scoped views."""

@@ -11,6 +11,7 @@ import pytest
 from conftest import SF_DIR
 
 import __spark_entry__ as entry_points
+from bookwise.plans import oracles
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -31,7 +32,7 @@ def _plain(value):
     return str(value) if isinstance(value, datetime.datetime) else value
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracles.all_sql()))
 def test_matches_sql(spark, duck, name):
     df = entry_points.queries()[name](spark, SF_DIR)
     columns = sorted(df.columns)
