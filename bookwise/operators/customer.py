@@ -169,7 +169,9 @@ def customers_near(
 
     ``places`` is (place, exclude_customer_id). Zip areas and states are equi-joins.
     A town is a LIKE pattern: without wildcards it is an equality on the lower-cased
-    town, and a pattern meets the distinct towns only, never the customers.
+    town, and a pattern meets the distinct towns only, never the customers. Customers
+    are ranked once per area, before any place is asked for: a state that holds a
+    third of them gives each place limit + 1 rows.
     """
     limit = clamp(limit, K.NEAR_ROWS, 1, 100)
     asked = places.select(
@@ -192,7 +194,13 @@ def customers_near(
         F.struct(F.lit("state").alias("kind"), F.upper("state").alias("key")),
         F.struct(F.lit("town").alias("kind"), F.lower("city").alias("key")),
     )
-    keyed = customer_dim.select("*", F.inline(areas))
+    slim = with_figures(customer_dim.select("customer_id", "zip", "state", "city"), figures)
+    keyed = slim.select("customer_id", "zip", "sales_12m", "last_invoice", F.inline(areas))
+    order = [
+        F.col("sales_12m").desc_nulls_last(), F.col("last_invoice").desc_nulls_last(), F.col("customer_id").asc(),
+    ]
+    # A place leaves out one customer at most, so limit + 1 customers of an area answer every place in it.
+    leading = top_rows(keyed, ["kind", "key"], order, limit + 1)
     towns = customer_dim.select(F.lower("city").alias("town")).where("town IS NOT NULL").distinct()
     meant = (
         asked.where("kind = 'pattern'")
@@ -200,14 +208,11 @@ def customers_near(
         .select("place", "excluded", F.lit("town").alias("kind"), F.col("town").alias("key"))
     )
     wanted = asked.where("kind <> 'pattern'").unionByName(meant)
-    found = keyed.join(wanted, ["kind", "key"]).where("customer_id <> excluded")
+    found = leading.join(wanted, ["kind", "key"]).where("customer_id <> excluded")
     how = F.when(F.col("kind") == "zip", F.when(F.col("zip") == F.col("place"), "same zip").otherwise("nearby zip"))
-    sized = with_figures(found.withColumn("how", F.coalesce(how, F.lit("match"))), figures)
-    order = [
-        F.col("sales_12m").desc_nulls_last(), F.col("last_invoice").desc_nulls_last(), F.col("customer_id").asc(),
-    ]
-    best = top_rows(sized, ["place", "excluded"], order, limit)
-    return best.select(
+    best = top_rows(found.withColumn("how", F.coalesce(how, F.lit("match"))), ["place", "excluded"], order, limit)
+    named = best.drop("zip", "kind", "key").join(customer_dim, "customer_id")
+    return named.select(
         "place", "customer_id", "customer_name", "customer_class", "salesrep_name", "address", "city", "state", "zip",
         "phone", "sales_12m", "last_invoice", "how",
     )
