@@ -15,8 +15,9 @@ the same for all sets of a size band, and the allocation decides what is indexed
 A set is indexed under its own band and under the next one if that can hold a
 partner. Values that one set alone holds never leave the first shuffle. Sets that
 share passages with many others leave those values out; what remains in crowded
-buckets are near copies, which meet one pivot first and, where that leaves them
-in different components, all others. Every pair is verified on its words.
+buckets are near copies, which meet the one set that shares most first and, where
+that leaves them in different components, all others, block by block. Every link
+is verified on its words.
 """
 
 from __future__ import annotations
@@ -50,6 +51,8 @@ CROWDED = 8
 PART_ENTRIES, BYTES_PER_ENTRY = 2_000_000, 8
 #: Index entries a task gathers before it sends them.
 FLUSH = 2_000_000
+#: Members of a family of near copies that a task compares with as many others.
+BLOCK, BLOCK_BYTES = 256, 2 << 20
 #: Pairs of one pivot that are verified in one task.
 PIVOT_PAIRS = 256
 
@@ -147,7 +150,7 @@ _UNIT = np.dtype([("node", "<u8"), ("n", "<u2")])
 _NEXT = 1 << 15
 # An entry that several sets share, and one that is left after the allocation.
 _SHARED = np.dtype([("node", "<u8"), ("sig", "<u4"), ("freq", "<u4"), ("next", "u1")])
-_KEPT = np.dtype([("node", "<u8"), ("sig", "<u4"), ("size", "<u4")])
+_KEPT = np.dtype([("node", "<u8"), ("sig", "<u4"), ("size", "<u4"), ("shared", "<u4")])
 
 
 def _index(docs: DataFrame, parts: int) -> DataFrame:
@@ -300,9 +303,13 @@ def _allocated(rows: pa.Table) -> pa.Table:
     start = np.flatnonzero(np.concatenate([[True], ~same]))
     rank = np.arange(len(entry)) - np.repeat(start, np.diff(np.append(start, len(entry))))
     at = np.searchsorted(node, entry["node"])
+    # a set that shares most of its values is near the middle of its copies
+    runs = np.diff(np.append(start, len(entry)))
+    shared = np.repeat(runs, runs)
     keep = rank >= np.where(entry["next"] == 1, known["skip_next"][at], known["skip"][at])
     kept = np.zeros(int(keep.sum()), _KEPT)
     kept["node"], kept["sig"], kept["size"] = entry["node"][keep], entry["sig"][keep], known["n"][at][keep]
+    kept["shared"] = shared[keep]
     found = list(_by_part(kept, part[keep]))
     return pa.Table.from_batches([_rows(part=[p for p, _ in found], blob=[b for _, b in found])])
 
@@ -314,7 +321,8 @@ def _similar_sizes(a, b):
 def _pairs(key: tuple, rows: pa.Table) -> pa.Table:
     """Group function: candidate pairs (a < b, number of buckets) and the members of crowded buckets."""
     entry = np.concatenate([np.frombuffer(b, _KEPT) for b in rows["blob"].to_pylist()])
-    entry = entry[np.lexsort((entry["node"], entry["sig"]))]
+    # the first set of a bucket is its pivot: the one that shares most
+    entry = entry[np.lexsort((entry["node"], -entry["shared"].astype(np.int64), entry["sig"]))]
     start, length = _runs(entry["sig"])
     node, size = entry["node"].view(np.int64), entry["size"].astype(np.int64)
     left, right = [], []
@@ -371,6 +379,69 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return members.join(pivots, ["a", "task"]).select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
+def _across_components(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join components of crowded buckets. ``members``: node, c (component), lead (one node of a shared bucket).
+
+    Nodes that share crowded buckets, directly or through others, are a family. A
+    family is cut into blocks of about BLOCK nodes or BLOCK_BYTES of text and each pair of blocks is one task:
+    it counts the common shingles of all its pairs by one product of incidence
+    matrices, and returns only links that join two components, a forest of at most
+    2 * BLOCK rows. No pair is written out, and no task holds a whole family.
+    """
+    family = connected(members.select(F.col("node").alias("a"), F.col("lead").alias("b")))
+    own = members.select("node", "c").distinct().join(family, "node")
+    load = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)
+    sized = own.join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
+    blocks = sized.groupBy("component").agg(F.ceil(load).cast("int").alias("blocks"))
+    placed = own.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.where("block <> other OR blocks = 1").select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "c")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        node, label = np.asarray(rows["node"]), np.asarray(rows["c"])
+        whole = [t.as_py() for t in rows["text"]]
+        sets = shingle_sets(whole)
+        size = np.array([len(x) for x in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), size)
+        _, value, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        use = times[value] > 1
+        column = np.cumsum(times > 1)[value] - 1
+        owner, column = owner[use], column[use]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            a, b = np.searchsorted(column, [first, first + 4096])
+            part = np.zeros((len(sets), 4096), np.float32)
+            part[owner[a:b], column[a:b] - first] = 1
+            both += part @ part.T
+        total = size[:, None] + size[None, :]
+        x, y = np.nonzero(np.triu(100 * both >= PERCENT * (total - both), 1))
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+        # a forest: a link counts if it joins what is still apart, and if the words agree
+        parent = {int(c): int(c) for c in label}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        found, words = [], {}
+        for i, j in zip(x.tolist(), y.tolist()):
+            p, q = root(int(label[i])), root(int(label[j]))
+            if p != q:
+                own_, other = (words.setdefault(k, shingles(whole[k])) for k in (i, j))
+                common = len(own_ & other)
+                if 100 * common >= PERCENT * (len(own_) + len(other) - common):
+                    parent[q] = p
+                    found.append((int(node[i]), int(node[j])))
+        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return spread.join(texts, "node").groupBy("component", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def link(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, node, root) for every row of ``docs`` (doc_id, text).
 
@@ -421,15 +492,15 @@ def link(docs: DataFrame) -> DataFrame:
         return df.join(own, column, "left").withColumn(name, F.coalesce("label", column)).drop("label")
 
     across = labelled(labelled(pairs.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    members = labelled(crowd, "node", "c")
-    mixed = members.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
-    members = stage(members.join(mixed, "sig"), "jaccard-crowd")
-    x, y = (members.select("sig", *[F.col(c).alias(c + s) for c in ("node", "c", "size")]) for s in ("1", "2"))
-    met = x.join(y, "sig").where(
-        (F.col("c1") < F.col("c2")) & (100 * F.least("size1", "size2") >= PERCENT * F.greatest("size1", "size2"))
-    ).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
-    rest = stage(across.unionAll(met).distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
-    more = stage(_verified(rest, held), "jaccard-edges")
+    rest = stage(across.distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
+    more = _verified(rest, held)
+    nearer = stage(edges.unionAll(more), "jaccard-edges")
+    known = connected(nearer)
+    members = labelled(crowd.select("node", "sig"), "node", "c")
+    mixed = members.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("node").alias("lead")).where("lo <> hi")
+    members = stage(members.join(mixed.select("sig", "lead"), "sig").select("node", "c", "lead").distinct(), "jaccard-crowd")
+    more = stage(_across_components(members, held), "jaccard-edges")
+    edges = nearer
     nodes = connected(edges.unionAll(more))
 
     placed = classes.join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
