@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from bookwise import constants as K
 from bookwise.context import Scope, Settings, months_before
+from bookwise.functions.staging import stage
 from bookwise.operators import customer, peers, triggers, views
-from bookwise.sources import sinks
+from bookwise.sources import fixture, sinks
 
 AS_OF = "2024-06-30"
 
@@ -219,3 +220,33 @@ def test_compacted_sales_give_the_same_rollups_and_cadence(spark, tables):
     assert rows(views.class_pg_penetration(compact, tables.customers, as_of)) == want
     assert rows(views.penetration_of(views.customer_pg(lines, as_of), tables.customers)) == want
     assert rows(views.pg_12m(views.customer_pg(lines, as_of))) == rows(views.customer_pg_12m(lines, as_of))
+
+
+def test_peers_without_a_dimension_row_do_not_count(spark):
+    lines = sales(spark, *[(c, "2024-05-01", "g", "10") for c in ("A", "B", "C", "D")])
+    pg12, dim = views.customer_pg_12m(lines, AS_OF), customers(spark, ("A", "K", "1"), ("C", "K", "1"), ("D", "K", "1"))
+    full = views.customer_all(dim, make(spark, "salesreps", []))
+    found = peers.lookalikes(pg12, full, ids(spark, "A"), 2)
+    assert rows(found, "customer_id") == [("C",), ("D",)]
+    gap = peers.similar_pairs(views.customer_vector(pg12), ids(spark, "A"), 2, dim)
+    assert rows(gap, "customer_id") == [("C",), ("D",)]
+
+
+def test_similarity_does_not_depend_on_the_other_subjects(spark, tables):
+    pg12 = views.customer_pg_12m(tables.invoice_sales, fixture.AS_OF)
+    vectors = stage(views.customer_vector(pg12), "vectors")
+    everybody = [r[0] for r in vectors.select("customer_id").distinct().orderBy("customer_id").collect()]
+    whole = {tuple(r) for r in peers.similar_pairs(vectors, None, 10).collect()}
+    for n in (1, 64, 65):
+        few = set(everybody[:n])
+        found = {tuple(r) for r in peers.similar_pairs(vectors, ids(spark, *few), 10).collect()}
+        assert found == {r for r in whole if r[0] in few}
+
+
+def test_vocabulary_lists_every_common_group(spark):
+    groups = [f"g{i:03d}" for i in range(230)]
+    lines = sales(spark, *[("1", "2024-05-01", g, "10") for g in groups])
+    pg12, dim = views.customer_pg_12m(lines, AS_OF), customers(spark, ("1", "K", "1"))
+    pen = views.class_pg_penetration(lines, dim, AS_OF, Scope("a", "admin", None))
+    listed = customer.vocabulary(dim, pg12, pen).where("list = 'products'").first()["words"]
+    assert len(listed.split(", ")) == 230
