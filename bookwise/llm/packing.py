@@ -157,10 +157,11 @@ def measured(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     return docs.mapInArrow(measure, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, doc_tokens long, crcs array<long>")
 
 
-def _cut_crcs(docs: DataFrame, cuts: DataFrame, path: str) -> DataFrame:
-    """Checksums of pieces that cut a remainder, from the text again. ``cuts``: doc_id, text_hash, pieces (start, length)."""
+def _cut_crcs(docs: DataFrame, cuts: DataFrame, n_cuts: int, path: str) -> DataFrame:
+    """Checksums of the ``n_cuts`` pieces that cut a remainder, from the text again. ``cuts``: doc_id, text_hash, start, length."""
     key_type = docs.schema["doc_id"].dataType.simpleString()
     wanted = cuts.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "length")).alias("pieces"))
+    wanted = small(wanted, n_cuts)
     same = docs.doc_id.eqNullSafe(wanted.doc_id) & (docs.text_hash == wanted.text_hash)
     # one text for equal rows
     texts = docs.join(wanted, same).select(docs.doc_id, docs.text_hash, "text", "pieces").dropDuplicates(["doc_id", "text_hash"])
@@ -237,9 +238,9 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, seed: int = SEED) ->
         "doc_tokens", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset",
         (F.col("length") < F.col("rem")).alias("cut"),
     )
-    if any(x.length < x.rem for x in intervals):
+    if n_cuts := sum(x.n for x in intervals if x.length < x.rem):
         cut = rest.where("cut")
-        codes = _cut_crcs(texts, cut.select("doc_id", "text_hash", "start", "length"), path)
+        codes = _cut_crcs(texts, cut.select("doc_id", "text_hash", "start", "length"), n_cuts, path)
         keys = [cut[k].eqNullSafe(codes[k]) for k in ("doc_id", "text_hash", "start", "length")]
         mended = cut.join(codes, keys).select(*[cut[c] for c in cut.columns if c != "ids_crc32"], codes.cut_crc.alias("ids_crc32"))
         rest = rest.where("NOT cut").unionByName(mended)
