@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain, count
@@ -14,6 +15,15 @@ import pyarrow.compute as pc
 SLICE_BYTES = 4 << 20
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its task and would hold on to its peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Runs of rows whose texts (null: empty) have about ``limit`` bytes; one longer text is a run of its own."""
     for batch in batches:
@@ -26,6 +36,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text", limit: int
             size += n or 0
         if start < batch.num_rows:
             yield _run(batch.slice(start), at)
+    give_back()
 
 
 def _run(part: pa.RecordBatch, at: int) -> tuple[pa.RecordBatch, list[str]]:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bookwise.functions.staging import stage
-from bookwise.llm.batches import numbered, slices
+from bookwise.llm.batches import give_back, numbered, slices
 from bookwise.llm.common import WORD, small, table, text_or_empty
 from bookwise.llm.components import connected
 
@@ -254,6 +254,7 @@ def _shared(parts: int):
         part = key[0].as_py()
         if part < 0:  # documents
             return rows
+        give_back()
         units, lows = [], []
         for blob in rows["blob"].to_pylist():
             n = int(np.frombuffer(blob, "<u4", 1)[0])
@@ -288,6 +289,7 @@ def _shared(parts: int):
 
 def _allocated(rows: pa.Table) -> pa.Table:
     """Group function: of each set, the values that are left after the costliest it may leave out, by part."""
+    give_back()
     node = np.asarray(rows["node"].combine_chunks().drop_null()).view(np.uint64)
     order = np.argsort(node)
     known = {name: np.asarray(rows[name].combine_chunks().drop_null())[order] for name in ("n", "skip", "skip_next")}
@@ -320,6 +322,7 @@ def _similar_sizes(a, b):
 
 def _pairs(key: tuple, rows: pa.Table) -> pa.Table:
     """Group function: candidate pairs (a < b, number of buckets) and the members of crowded buckets."""
+    give_back()
     entry = np.concatenate([np.frombuffer(b, _KEPT) for b in rows["blob"].to_pylist()])
     # the first set of a bucket is its pivot: the one that shares most
     entry = entry[np.lexsort((entry["node"], -entry["shared"].astype(np.int64), entry["sig"]))]
@@ -375,6 +378,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 if 100 * both >= PERCENT * (len(own) + len(other) - both):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+        give_back()
 
     return members.join(pivots, ["a", "task"]).select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
