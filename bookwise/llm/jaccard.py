@@ -392,7 +392,10 @@ def _across_components(members: DataFrame, texts: DataFrame) -> DataFrame:
     matrices, and returns only links that join two components, a forest of at most
     2 * BLOCK rows. No pair is written out, and no task holds a whole family.
     """
-    family = connected(members.select(F.col("node").alias("a"), F.col("lead").alias("b")))
+    # a node hangs on its smallest lead, its other leads on that one: the same families over fewer edges
+    least = members.groupBy("node").agg(F.min("lead").alias("least"))
+    leads = members.join(least, "node").where("lead <> least").select(F.col("lead").alias("a"), F.col("least").alias("b"))
+    family = connected(least.select(F.col("node").alias("a"), F.col("least").alias("b")).unionAll(leads.distinct()))
     own = members.select("node", "c").distinct().join(family, "node")
     load = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)
     sized = own.join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
