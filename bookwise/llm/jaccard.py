@@ -178,9 +178,9 @@ def _index(docs: DataFrame, parts: int) -> DataFrame:
             skips = np.zeros((2, len(sets)), np.int64)
             new = np.zeros(len(sets), bool)
             new[np.unique(first, return_index=True)[1]] = True
-            indexed = size > 4  # smaller sets are similar to equal ones alone
+            # sets of fewer than 4 are similar to equal ones alone; sets of 4 to sets of 5 as well, which are in the next band
             for later in (0, 1):
-                pick = np.flatnonzero(indexed & (reach > own) if later else indexed)
+                pick = np.flatnonzero((size >= 4) & (reach > own) if later else size > 4)
                 if not len(pick):
                     continue
                 who, signature, skips[later, pick] = _entries(np.concatenate([sets[i] for i in pick]), size[pick], own[pick] + later, ends)

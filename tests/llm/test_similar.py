@@ -84,6 +84,14 @@ def test_odd_texts(spark):
     assert linked(spark, []) == Counter()
 
 
+def test_eight_words_and_one_more_are_linked(spark):
+    eight = "a b c d e f g h"
+    rows = [(5, eight), (3, eight + " i"), (9, "z " + eight), (4, "p q r s t u v w"), (2, "o p q r s t u v w"), (8, "k l m n o p q"), (7, "k l m n o p q r"), (6, "a b c d e f g x")]
+    assert linked(spark, rows) == brute(rows)
+    found = {(d, c) for d, _, c in linked(spark, rows)}
+    assert {(5, 3), (9, 3), (4, 2)} <= found
+
+
 def test_one_of_each_keeps_rows_whole(spark):
     near = " ".join(f"n{i}" for i in range(60))
     rows = [(5, near, 1), (3, near + " x", 2), (3, near + " x", 2), (8, "unlike the others in all", 3), (None, near, 4), (1, None, 5), (1, "", 6), (1, None, 5)]
