@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ LEVELS = 256
 ROUNDS = (0.03, 0.0)
 #: Classes of a weight against the query's largest, each half of the one before.
 CLASSES = 8
-#: Components are whole numbers below this, so that sums of products fit 64 bits.
+#: Indexed components are whole numbers below this, so that sums of products fit 64 bits; vectors with larger ones are scored apart.
 COMPONENT_LIMIT = 1 << 25
 
 
@@ -105,54 +106,126 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def whole_numbers(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): components as floor(1024 * x). Vectors that are null, hold null, non-finite or huge components, or have no id, drop out."""
+    """(vec_id, v, wide): components as floor(1024 * x). Vectors that are null, hold null or non-finite components, or have no id, drop out.
+
+    A vector with a component that reaches COMPONENT_LIMIT has no ``v`` but its components as they are in ``wide``.
+    """
     x = F.transform("embedding", lambda c: F.floor(c.cast("double") * 1024))
-    sound = F.forall("embedding", lambda c: F.coalesce(F.abs(c.cast("double")) * 1024 < COMPONENT_LIMIT, F.lit(False)) & ~F.isnan(c))
+    size = lambda c: F.abs(c.cast("double"))
+    sound = F.forall("embedding", lambda c: F.coalesce(size(c) < math.inf, F.lit(False)) & ~F.isnan(c))
+    huge = F.exists("embedding", lambda c: size(c) * 1024 >= COMPONENT_LIMIT)
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(sound).select(
-        F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<long>").alias("v")
+        F.col("vec_id").cast("long").alias("vec_id"),
+        F.when(~huge, x.cast("array<long>")).alias("v"),
+        F.when(huge, F.col("embedding").cast("array<double>")).alias("wide"),
     )
 
 
+def _exact(x: float) -> int:
+    """floor(1024 * x) of any size."""
+    n, d = x.as_integer_ratio()
+    return n * 1024 // d
+
+
+class Vectors:
+    """Vectors of one table in a task: those below COMPONENT_LIMIT as a matrix, the others as Python integers."""
+
+    def __init__(self, rows: pa.Table, width: int):
+        wide = np.asarray(rows["wide"].is_valid())
+        self.narrow, self.wide = np.flatnonzero(~wide), np.flatnonzero(wide)
+        self.matrix = _matrix(rows["v"].take(pa.array(self.narrow)), width)
+        components = rows["wide"].take(pa.array(self.wide)).to_pylist()
+        self.integers = [[_exact(x) for x in row] + [0] * (width - len(row)) for row in components]
+        # whole numbers, exact as doubles up to overflow
+        self.rounded = np.zeros((len(components), width))
+        for i, row in enumerate(components):
+            self.rounded[i, : len(row)] = [math.floor(x * 1024) if abs(x) < 1e300 else x * 1024 for x in row]
+
+
+def _best_exact(integers, rounded: np.ndarray, query: list[int], near: np.ndarray, k: int, candidates: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of ``candidates`` (row numbers) those that may be among the k best, and their exact scores.
+
+    ``rounded`` and ``near`` are the rows and the query as doubles. Rows that doubles
+    prove worse than k others, with the most that rounding can do, are left out.
+    """
+    if len(candidates) > k:
+        with np.errstate(all="ignore"):
+            rows = rounded[candidates]
+            score, error = rows @ near, (np.abs(rows) @ np.abs(near)) * ((len(near) + 2) * 2.0**-52)
+            if np.isfinite(score).all() and np.isfinite(error).all():
+                sure = np.partition(score - error, len(candidates) - k)[len(candidates) - k]
+                candidates = candidates[score + error >= sure]
+    return candidates.tolist(), [sum(map(mul, integers[i], query)) for i in candidates.tolist()]
+
+
+def _digits(score: int) -> tuple[int | None, int, bytes | None]:
+    """(score, size, digits): scores sort by size, digits and score; only one beyond 64 bits has a size and digits, and it has no score."""
+    if -(1 << 63) <= score < 1 << 63:
+        return score, 0, None
+    size = (abs(score).bit_length() + 7) // 8
+    return (None, size, score.to_bytes(size, "big")) if score > 0 else (None, -size, ((1 << 8 * size) - 1 + score).to_bytes(size, "big"))
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of each query.
 
-    Both tables are (vec_id, v array<long>). Each pair of a query block and a corpus
+    Both tables are (vec_id, v array<long>), and ``wide`` as ``whole_numbers`` gives it if they have it. Each pair of a query block and a corpus
     block is one task, which builds the index of the corpus block and answers its
     queries from it; the k best of every block are merged by rank. Ties go to the
     smaller vec_id. Rows that carry a query's own id are no candidates for it; a
     query id that occurs twice is answered once, from its first vector in sorted
     order, while a candidate id that occurs twice can be listed twice. Vectors of
-    unequal length are padded with zeros; vectors without components score 0.
+    unequal length are padded with zeros; vectors without components score 0. Wide
+    vectors are ranked by exact scores like all others; a score that does not fit 64
+    bits is ranked but returned as null.
     """
-    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    corpus, queries = (x if "wide" in x.columns else x.withColumn("wide", F.lit(None).cast("array<double>")) for x in (corpus, queries))
+    queries = queries.groupBy("vec_id").agg(F.min(F.struct("v", "wide")).alias("first")).select("vec_id", "first.v", "first.wide")
     corpus, queries = stage(corpus, "topk-corpus"), stage(queries, "topk-queries")
-    size = corpus.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("w")).first()
-    asked = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("w")).first()
+    longest = F.coalesce(F.max(F.greatest(F.size("v"), F.size("wide"))), F.lit(0))
+    size = corpus.agg(F.count(F.lit(1)).alias("n"), longest.alias("w")).first()
+    asked = queries.agg(F.count(F.lit(1)).alias("n"), longest.alias("w")).first()
     blocks, turns, width = math.ceil(size["n"] / block_rows) or 1, math.ceil(asked["n"] / block_queries) or 1, max(size["w"], asked["w"])
     left = corpus.select(
-        F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), "vec_id", "v",
+        F.pmod(F.xxhash64("vec_id", "v", "wide"), F.lit(blocks)).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), "vec_id", "v", "wide",
     )
     right = queries.select(
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(turns)).cast("int").alias("turn"), "vec_id", "v",
+        F.pmod(F.xxhash64("vec_id"), F.lit(turns)).cast("int").alias("turn"), "vec_id", "v", "wide",
     )
 
     def answer(rows: pa.Table, asked_: pa.Table) -> pa.Table:
-        found: list[list] = [[], [], []]
+        found: list[list] = [[], [], [], [], []]
         if rows.num_rows and asked_.num_rows:
-            ids, index = np.asarray(rows["vec_id"]), ImpactIndex(_matrix(rows["v"], width))
-            query_ids = asked_["vec_id"].to_pylist()
-            own = [np.flatnonzero(ids == q) for q in query_ids]
-            for query_id, (row, score) in zip(query_ids, index.top(_matrix(asked_["v"], width), k, own)):
-                best = np.lexsort((ids[row], -score))[:k]
-                found[0] += [query_id] * len(best)
-                found[1] += ids[row[best]].tolist()
-                found[2] += score[best].tolist()
-        return pa.table([pa.array(c, pa.int64()) for c in found], ["query_id", "vec_id", "score"])
-
-    near = left.groupBy("block", "turn").cogroup(right.groupBy("block", "turn")).applyInArrow(answer, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            ids, query_ids = np.asarray(rows["vec_id"]), np.asarray(asked_["vec_id"])
+            has, asks = Vectors(rows, width), Vectors(asked_, width)
+            own = [np.flatnonzero(ids[has.narrow] == q) for q in query_ids[asks.narrow]]
+            indexed = len(has.narrow) and len(asks.narrow)
+            near = ImpactIndex(has.matrix).top(asks.matrix, k, own) if indexed else [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(own)
+            matrix, doubles = has.matrix.tolist() if len(asks.wide) else [], has.matrix.astype(np.float64)
+
+            def wide_rows(query_id: int, query: list[int], rounded: np.ndarray) -> list[tuple[int, int]]:
+                row, score = _best_exact(has.integers, has.rounded, query, rounded, k, np.flatnonzero(ids[has.wide] != query_id))
+                return list(zip(score, ids[has.wide[row]].tolist())) if row else []
+
+            def put(query_id: int, scored: list[tuple[int, int]]) -> None:
+                for score, vec_id in sorted(scored, key=lambda x: (-x[0], x[1]))[:k]:
+                    for column, value in zip(found, (query_id, vec_id, *_digits(score))):
+                        column.append(value)
+
+            for query_id, query, (row, score) in zip(query_ids[asks.narrow].tolist(), asks.matrix, near):
+                id_ = ids[has.narrow[row]]
+                best = np.lexsort((id_, -score))[:k]
+                put(query_id, [*zip(score[best].tolist(), id_[best].tolist()), *wide_rows(query_id, query.tolist(), query.astype(np.float64))])
+            for query_id, query, rounded in zip(query_ids[asks.wide].tolist(), asks.integers, asks.rounded):
+                row, score = _best_exact(matrix, doubles, query, rounded, k, np.flatnonzero(ids[has.narrow] != query_id))
+                put(query_id, [*zip(score, ids[has.narrow[np.array(row, np.int64)]].tolist()), *wide_rows(query_id, query, rounded)])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.table([pa.array(c, kind) for c, kind in zip(found, kinds)], ["query_id", "vec_id", "score", "size", "digits"])
+
+    near = left.groupBy("block", "turn").cogroup(right.groupBy("block", "turn")).applyInArrow(answer, "query_id long, vec_id long, score long, size int, digits binary")
+    order = Window.partitionBy("query_id").orderBy(F.desc("size"), F.desc("digits"), F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

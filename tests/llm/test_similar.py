@@ -160,6 +160,20 @@ def test_topk_is_exact(spark):
         assert found == best(rows, 10)
 
 
+def test_topk_keeps_vectors_with_large_components(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(90, 330)]
+    rows += [(400, [40_000.0, 1.0, -2.0, 0.5]), (401, [-32_768.0, 0.25, 3.0]), (402, [3e9, -3e9, 1.5, 0.1]), (500, [3e38, 1.0, -3e38, 0.0]), (501, [-3e38, 2.0, 0.0, 1.0])]
+    rows += [(600 + i, [rng.gauss(0, 1e5) for _ in range(4)]) for i in range(30)]
+    want = Counter({(q, r, i, s if abs(s) < 1 << 63 else None): n for (q, r, i, s), n in best(rows, 10).items()})
+    vectors = topk.whole_numbers(spark.createDataFrame(rows, VECTORS))
+    for block in (64, 16_384):
+        found = Counter(tuple(r) for r in topk.top_k(vectors.where("vec_id % 100 = 0"), vectors, 10, block, 3).collect())
+        assert found == want
+    assert {402, 500} <= {i for _, _, i, _ in want}
+    assert {q for q, _, _, _ in want} == {100, 200, 300, 400, 500, 600}
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.integers(0, 10**6), st.integers(1, 60), st.integers(1, 5), st.sampled_from([3, 1000, 1 << 24]))
 def test_impact_index_leaves_no_member_out(seed, n, k, size):
