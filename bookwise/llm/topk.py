@@ -172,15 +172,16 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = K, block_rows: int = B
     Both tables are (vec_id, v array<long>), and ``wide`` as ``whole_numbers`` gives it if they have it. Each pair of a query block and a corpus
     block is one task, which builds the index of the corpus block and answers its
     queries from it; the k best of every block are merged by rank. Ties go to the
-    smaller vec_id. Rows that carry a query's own id are no candidates for it; a
-    query id that occurs twice is answered once, from its first vector in sorted
-    order, while a candidate id that occurs twice can be listed twice. Vectors of
+    smaller vec_id. Rows that carry a query's own id are no candidates for it. A
+    query id that occurs in several rows is answered from all of them: its ranks are
+    over the scores of all its rows, so that a candidate can be listed once for each.
+    A candidate id that occurs twice can be listed twice as well. Vectors of
     unequal length are padded with zeros; vectors without components score 0. Wide
     vectors are ranked by exact scores like all others; a score that does not fit 64
     bits is ranked but returned as null.
     """
     corpus, queries = (x if "wide" in x.columns else x.withColumn("wide", F.lit(None).cast("array<double>")) for x in (corpus, queries))
-    queries = queries.groupBy("vec_id").agg(F.min(F.struct("v", "wide")).alias("first")).select("vec_id", "first.v", "first.wide")
+    queries = queries.groupBy("vec_id", "v", "wide").agg(F.count(F.lit(1)).alias("copies"))
     corpus, queries = stage(corpus, "topk-corpus"), stage(queries, "topk-queries")
     longest = F.coalesce(F.max(F.greatest(F.size("v"), F.size("wide"))), F.lit(0))
     size = corpus.agg(F.count(F.lit(1)).alias("n"), longest.alias("w")).first()
@@ -192,14 +193,14 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = K, block_rows: int = B
     )
     right = queries.select(
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(turns)).cast("int").alias("turn"), "vec_id", "v", "wide",
+        F.pmod(F.xxhash64("vec_id", "v", "wide"), F.lit(turns)).cast("int").alias("turn"), "vec_id", "v", "wide", F.least("copies", F.lit(k)).alias("copies"),
     )
 
     def answer(rows: pa.Table, asked_: pa.Table) -> pa.Table:
-        found: list[list] = [[], [], [], [], []]
+        found: list[list] = [[], [], [], [], [], []]
         if rows.num_rows and asked_.num_rows:
             ids, query_ids = np.asarray(rows["vec_id"]), np.asarray(asked_["vec_id"])
-            has, asks = Vectors(rows, width), Vectors(asked_, width)
+            has, asks, copies = Vectors(rows, width), Vectors(asked_, width), np.asarray(asked_["copies"])
             own = [np.flatnonzero(ids[has.narrow] == q) for q in query_ids[asks.narrow]]
             indexed = len(has.narrow) and len(asks.narrow)
             near = ImpactIndex(has.matrix).top(asks.matrix, k, own) if indexed else [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(own)
@@ -209,22 +210,24 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = K, block_rows: int = B
                 row, score = _best_exact(has.integers, has.rounded, query, rounded, k, np.flatnonzero(ids[has.wide] != query_id))
                 return list(zip(score, ids[has.wide[row]].tolist())) if row else []
 
-            def put(query_id: int, scored: list[tuple[int, int]]) -> None:
+            def put(query_id: int, n: int, scored: list[tuple[int, int]]) -> None:
                 for score, vec_id in sorted(scored, key=lambda x: (-x[0], x[1]))[:k]:
-                    for column, value in zip(found, (query_id, vec_id, *_digits(score))):
+                    for column, value in zip(found, (query_id, vec_id, *_digits(score), n)):
                         column.append(value)
 
-            for query_id, query, (row, score) in zip(query_ids[asks.narrow].tolist(), asks.matrix, near):
+            for query_id, n, query, (row, score) in zip(query_ids[asks.narrow].tolist(), copies[asks.narrow].tolist(), asks.matrix, near):
                 id_ = ids[has.narrow[row]]
                 best = np.lexsort((id_, -score))[:k]
-                put(query_id, [*zip(score[best].tolist(), id_[best].tolist()), *wide_rows(query_id, query.tolist(), query.astype(np.float64))])
-            for query_id, query, rounded in zip(query_ids[asks.wide].tolist(), asks.integers, asks.rounded):
+                put(query_id, n, [*zip(score[best].tolist(), id_[best].tolist()), *wide_rows(query_id, query.tolist(), query.astype(np.float64))])
+            for query_id, n, query, rounded in zip(query_ids[asks.wide].tolist(), copies[asks.wide].tolist(), asks.integers, asks.rounded):
                 row, score = _best_exact(matrix, doubles, query, rounded, k, np.flatnonzero(ids[has.narrow] != query_id))
-                put(query_id, [*zip(score, ids[has.narrow[np.array(row, np.int64)]].tolist()), *wide_rows(query_id, query, rounded)])
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        return pa.table([pa.array(c, kind) for c, kind in zip(found, kinds)], ["query_id", "vec_id", "score", "size", "digits"])
+                put(query_id, n, [*zip(score, ids[has.narrow[np.array(row, np.int64)]].tolist()), *wide_rows(query_id, query, rounded)])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
+        return pa.table([pa.array(c, kind) for c, kind in zip(found, kinds)], ["query_id", "vec_id", "score", "size", "digits", "copies"])
 
-    near = left.groupBy("block", "turn").cogroup(right.groupBy("block", "turn")).applyInArrow(answer, "query_id long, vec_id long, score long, size int, digits binary")
+    near = left.groupBy("block", "turn").cogroup(right.groupBy("block", "turn")).applyInArrow(answer, "query_id long, vec_id long, score long, size int, digits binary, copies long")
+    # equal rows of a query have equal scores
+    near = near.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     order = Window.partitionBy("query_id").orderBy(F.desc("size"), F.desc("digits"), F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

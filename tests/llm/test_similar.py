@@ -174,6 +174,22 @@ def test_topk_keeps_vectors_with_large_components(spark):
     assert {q for q, _, _, _ in want} == {100, 200, 300, 400, 500, 600}
 
 
+def test_every_row_of_a_repeated_query_id_is_answered(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(60, 140)]
+    rows += [(100, [1.0, -2.0, 5.0]), (100, [-9.0, 0.5, 0.0]), (100, [5e4, 0.0, 1.0]), (200, [3.0, 1.0, 1.0]), (200, [3.0, 1.0, 1.0]), (131, [2.0, 2.0, 2.0])]
+    vectors = topk.whole_numbers(spark.createDataFrame(rows, VECTORS))
+    found = Counter()
+    for q, r, i, s in topk.top_k(vectors.where("vec_id % 100 = 0"), vectors, 10, 32, 2).collect():
+        found[(q, r, i, s)] += 1
+    want = Counter()
+    clean = [(i, [int(np.floor(float(np.float32(x)) * 1024)) for x in v]) for i, v in rows]
+    for q in (100, 200):  # the ranks of an id are over all its rows, as in the SQL
+        scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for p, a in clean if p == q for i, b in clean if i != q)[:10]
+        want.update((q, r + 1, i, -s) for r, (s, i) in enumerate(scores))
+    assert found == want
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.integers(0, 10**6), st.integers(1, 60), st.integers(1, 5), st.sampled_from([3, 1000, 1 << 24]))
 def test_impact_index_leaves_no_member_out(seed, n, k, size):
