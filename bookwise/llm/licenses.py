@@ -28,12 +28,48 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+# Header paragraphs, titles of licence files, and whole licences where they are short.
+_GNU = [
+    ("AGPL-3.0", "Affero ", "3", "19 November 2007"), ("GPL-2.0", "", "2", "June 1991"), ("GPL-3.0", "", "3", "29 June 2007"),
+    ("LGPL-2.1", "Lesser ", "2.1", "February 1999"), ("LGPL-3.0", "Lesser ", "3", "29 June 2007"),
+]
+for _name, _kind, _version, _day in _GNU:
+    TEMPLATES += [(_name, f"GNU {_kind}General Public License Version {_version}, {_day}")] + [
+        (_name, f"This {_work} is free software: you can redistribute it and/or modify it under the terms of the GNU {_kind}General Public License as published by the Free Software Foundation, either version {_version} of the License, or (at your option) any later version.")
+        for _work in ("program", "library")
+    ]
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_MIT_REST = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_REST = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+TEMPLATES += [
+    ("MIT", _MIT), ("MIT", f"{_MIT} {_MIT_REST}"),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_REST}"), ("BSD-3-Clause", f"{_BSD} {_BSD_3} {_BSD_REST}"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+]
+_SPDX = "Apache-2.0 BSD-2-Clause BSD-3-Clause CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 ISC MIT MPL-2.0 Unlicense".split()
+TEMPLATES += [(_name, f"SPDX-License-Identifier: {_name}") for _name in _SPDX]
+TEMPLATES += [(_name, f"SPDX-License-Identifier: {_name}{_end}") for _name, *_ in _GNU for _end in ("", "-only", "-or-later")]
 #: Least cosine of a match.
 THRESHOLD = 0.7
 # Common English words, taken as anchors last.
-COMMON = frozenset("a an and any be by can for found in into is not of or subject that the this to under use v with without work you".split())
+COMMON = frozenset(
+    "a above all an and any are as at be but by can do either even except following for found free from however if in into is it its list met name"
+    " no not of on only or other out so subject such that the their these this to under use v way with without work you your".split()
+)
+# Words without weight, of which long licences and prose alike are full.
+STOP = frozenset("a all an and any are as at be by do for if in is it of on or so that the this to".split())
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 TAG = r"<[^>]*>"
+#: A line end and the lines without terms after it: what parts two paragraphs.
+GAP = r"(?>\r\n|\n|\r)(?:[^a-z0-9\r\n]*+(?>\r\n|\n|\r))+"
+#: Paragraphs a header has at most that is compared as a whole; a licence file is compared as a whole at any length.
+HEADER_PARAGRAPHS = 8
 #: Files that state the license of their directory, by name; an index page (a path that ends in /) does as well.
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|index)(\.[^/]*)?$"
 
@@ -42,11 +78,11 @@ def weights() -> tuple[dict[str, float], float, list[tuple[int, str, str, float]
     """Inverse document frequency of the templates' terms and of unknown terms, and unit template vectors (number, license, term, weight)."""
     terms = [Counter(re.findall(TERM, text.lower())) for _, text in TEMPLATES]
     found = Counter(w for t in terms for w in t)
-    idf = {w: math.log((1 + len(terms)) / (1 + n)) + 1 for w, n in sorted(found.items())}
+    idf = {w: math.log((1 + len(terms)) / (1 + n)) + 1 for w, n in sorted(found.items())} | dict.fromkeys(sorted(STOP), 0.0)
     rows = []
     for i, ((name, _), counts) in enumerate(zip(TEMPLATES, terms)):
         norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in counts.items()))
-        rows += [(i, name, w, n * idf[w] / norm) for w, n in sorted(counts.items())]
+        rows += [(i, name, w, n * idf[w] / norm) for w, n in sorted(counts.items()) if idf[w]]
     return idf, math.log(1 + len(terms)) + 1, rows
 
 
@@ -68,14 +104,27 @@ def anchors(threshold: float = THRESHOLD) -> list[str]:
 
 
 def _matches(texts: DataFrame, key: list[str], threshold: float) -> DataFrame:
-    """Best template of each text: the key, license, similarity. Every block between tags and line ends is compared."""
+    """Best template of each text: the key, license, similarity.
+
+    Compared are every block between tags and line ends, every paragraph of
+    several blocks, the first paragraphs together (2, 3, ... HEADER_PARAGRAPHS),
+    and the whole text where ``whole`` is true.
+    """
     spark = texts.sparkSession
     idf, unknown, vectors = weights()
     known = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
     model = F.broadcast(spark.createDataFrame(vectors, "template int, license string, term string, weight double"))
     hint = r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, anchors(threshold))) + r")(?![a-z0-9])"
-    blocks = F.split(F.lower(F.regexp_replace("body", TAG, "\n")), r"[\r\n]+")
-    hit = texts.where(F.lower("body").rlike(hint)).select(*key, F.explode(F.filter(blocks, lambda b: b.rlike(hint))).alias("block"))
+    plain = texts.where(F.lower("body").rlike(hint)).select(*key, "whole", F.lower(F.regexp_replace("body", TAG, "\n")).alias("plain"))
+    split = plain.withColumn("paragraphs", F.split("plain", GAP))
+    heads = F.transform(F.sequence(F.lit(2), F.lit(HEADER_PARAGRAPHS)), lambda n: F.array_join(F.slice("paragraphs", F.lit(1), n), "\n\n"))
+    units = F.concat(
+        F.split("plain", r"[\r\n]+"),
+        F.filter("paragraphs", lambda p: p.rlike(r"[\r\n]")),
+        F.when(F.size("paragraphs") > 1, heads).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("whole"), F.array("plain")).otherwise(F.array().cast("array<string>")),
+    )
+    hit = split.select(*key, F.explode(F.filter(F.array_distinct(units), lambda b: b.rlike(hint))).alias("block"))
     # equal blocks of one text count once; a block is known by its hash from here on
     terms = hit.select(*key, F.xxhash64("block").alias("block"), F.explode(F.regexp_extract_all("block", F.lit(TERM), F.lit(0))).alias("term"))
     counted = terms.groupBy(*key, "block", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -102,14 +151,16 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     body = F.coalesce("body", F.lit(""))
     rows = files.select("file_id", "path", body.alias("body")).withColumn("code", F.xxhash64("body"))
-    own = stage(_matches(rows.select("file_id", "code", "body"), ["file_id", "code"], threshold), "license-own")
     name = F.element_at(F.split("path", "/"), -1)
+    states_license = (name == "") | name.rlike(LICENSE_FILE)
+    whole = F.coalesce(states_license, F.lit(False)).alias("whole")
+    own = stage(_matches(rows.select("file_id", "code", "body", whole), ["file_id", "code"], threshold), "license-own")
     slim = rows.select("file_id", "path", "code").withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
     slim = slim.withColumn("dir", F.when(F.col("path").isNotNull(), F.col("dir")))
     mine = small(own, own.count())
     same = slim.file_id.eqNullSafe(mine.file_id) & (slim.code == mine.code)
     marked = slim.join(mine, same, "left").select(slim.file_id, slim.code, "path", "dir", "license", "similarity")
-    states = marked.where(F.col("license").isNotNull() & F.col("dir").isNotNull() & ((name == "") | name.rlike(LICENSE_FILE)))
+    states = marked.where(F.col("license").isNotNull() & F.col("dir").isNotNull() & states_license)
     stated = states.groupBy("dir").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "license")).alias("best"))
     stated = stage(stated.select(F.col("dir").alias("above"), F.col("best.license").alias("dir_license"), (-F.col("best.far")).alias("dir_similarity")), "license-dirs")
     # ancestors of the distinct directories only

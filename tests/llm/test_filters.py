@@ -1,5 +1,6 @@
 """Quality rules, quality classifier and license scan."""
 
+import textwrap
 import zlib
 
 import duckdb
@@ -153,3 +154,26 @@ def test_every_template_matches_itself_and_contains_an_anchor(spark):
     texts = spark.createDataFrame([(i, f"d/{i}", text) for i, (_, text) in enumerate(licenses.TEMPLATES)], FILES)
     found = {r["file_id"]: (r["license"], r["similarity"]) for r in licenses.scan(texts).collect()}
     assert found == {i: (name, 1.0) for i, (name, _) in enumerate(licenses.TEMPLATES)}
+
+
+def wrapped(text, width=68, prefix=" * "):
+    return "\n".join(prefix + line for line in textwrap.wrap(text, width))
+
+
+def test_license_files_and_wrapped_headers_are_compared_whole(spark):
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    bsd = [licenses._BSD, licenses._BSD_REST]
+    code = "\n\nint main(void)\n{\n    return 0;\n}\n" * 30
+    cases = [
+        ("a/x.c", "// SPDX-License-Identifier: MIT" + code, "MIT"), ("b/x.c", "# SPDX-License-Identifier: Apache-2.0\r\n" + code, "Apache-2.0"),
+        ("c/x.c", "/*\n * Copyright (C) 2020 Some Body\n *\n" + wrapped(gpl.format(3)) + "\n */" + code, "GPL-3.0"), ("d/x.c", wrapped(gpl.format(2), 60, "# ") + code, "GPL-2.0"),
+        ("e/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone is permitted to copy", "GPL-3.0"),
+        ("f/LICENSE", "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + "\n\n".join(wrapped(t, 70, "") for t in (licenses._MIT, licenses._MIT_REST)), "MIT"),
+        ("g/x.c", "/*\n" + "\n *\n".join(wrapped(t) for t in bsd) + "\n */" + code, "BSD-2-Clause"),
+        ("h/x.c", "/*\r\n" + "\n *\n".join(wrapped(t) for t in (bsd[0], licenses._BSD_3, bsd[1])).replace("\n", "\r\n") + "\r\n */" + code, "BSD-3-Clause"),
+        ("i/x.html", "<p>Licensed under the <a href='x'>Apache License</a>, Version 2.0.</p>", "Apache-2.0"),
+        ("j/x.c", "// SPDX-License-Identifier: Beerware" + code, None), ("k/x.c", "the GNU General Public License" + code, None),
+    ]
+    files = spark.createDataFrame([(i, path, body) for i, (path, body, _) in enumerate(cases)], FILES)
+    found = {r["file_id"]: r["license"] for r in licenses.scan(files).collect()}
+    assert found == {i: license for i, (_, _, license) in enumerate(cases)}
