@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from bookwise.llm import licenses, quality_rules as qr
+from bookwise.llm import divergence, licenses, phrases, quality_rules as qr
+
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, {1 + 10 * i}, 10))::BIGINT >> {35 - 5 * j}) & 31) + 1)::INT, 1)"
@@ -72,7 +74,58 @@ def _quality_rules() -> str:
         FROM judged"""
 
 
+def _collocations() -> str:
+    return f"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_FOLDED}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM d),
+        totals AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+        sizes AS (SELECT unnest(range(1, {phrases.LONGEST + 1})) AS k),
+        g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+              FROM p, sizes WHERE len(w) >= k),
+        f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= {phrases.LEAST}),
+        c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+        inner_ AS (SELECT lang, f, unnest(list_concat(list_transform(range(1, k - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' ')), [])) AS phrase
+                   FROM c, (SELECT unnest(range(2, {phrases.LONGEST})) AS size) WHERE size < k),
+        most AS (SELECT lang, phrase, max(f) AS most FROM inner_ GROUP BY ALL),
+        kept AS (SELECT c.* FROM c LEFT JOIN most USING (lang, phrase) WHERE most IS NULL OR 100 * most < {phrases.SUBSUMED_PERCENT} * f),
+        cuts AS (SELECT lang, phrase, f AS a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS tail
+                 FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)),
+        scored AS (SELECT s.lang, s.phrase, a, cut, h.f AS l, t.f AS r, n, (1000::HUGEINT * a * n) // (h.f::HUGEINT * t.f) AS score
+                   FROM cuts s JOIN f h ON h.lang = s.lang AND h.phrase = head JOIN f t ON t.lang = s.lang AND t.phrase = tail JOIN totals o ON o.lang = s.lang),
+        weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r,
+               n::BIGINT AS n, score::BIGINT AS score
+        FROM weakest QUALIFY rank <= {phrases.FIRST}"""
+
+
+def _divergence() -> str:
+    share = f"1 + (1000000000::HUGEINT * (coalesce(n, 0) + {divergence.SMOOTHING})) // (total + {divergence.SMOOTHING} * v)"
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all({_FOLDED}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        t AS (SELECT id, lang, source, unnest(terms) AS term FROM d),
+        k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT id) >= {divergence.MIN_DOCUMENTS}),
+        v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+        gt AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        lt AS (SELECT lang, sum(total) AS total FROM gt GROUP BY lang),
+        gp AS (SELECT lang, source, term, coalesce(n, 0) AS n, {share} AS p FROM gt JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+        lp AS (SELECT lang, term, {share} AS q FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) JOIN lt USING (lang) JOIN v USING (lang)),
+        apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+                  FROM gp a JOIN gp b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        rows AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+                 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                 LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+                 UNION ALL
+                 SELECT lang, source, 'term', term, (p - q)::BIGINT FROM gp JOIN lp USING (lang, term) WHERE n > 0 AND p > q)
+        SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+        FROM rows QUALIFY part = 'pair' OR rank <= {divergence.TERMS}"""
+
+
 SQL: dict[str, str] = {
+    "op12_collocations": _collocations(),
+    "op13_divergence": _divergence(),
     "op1_quality_rules": _quality_rules(),
     "op2_license_scan": _licenses(),
     "op7_topk": """

@@ -35,4 +35,4 @@ def test_matches_sql(spark, name):
 
 def test_all_queries_are_registered():
     names = [q for q in entry_points.queries() if q.startswith("op") and q[2:].split("_")[0].isdigit()]
-    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 11)) and "pipeline" in entry_points.queries()
+    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 14)) and "pipeline" in entry_points.queries()
