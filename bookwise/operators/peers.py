@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bookwise import constants as K
 from bookwise.context import Settings
@@ -12,15 +12,50 @@ from bookwise.functions.columns import clamp, percent, restrict, top_rows
 from bookwise.functions.staging import stage
 from bookwise.operators.views import customer_vector
 
-# Customers of a block; a task compares one block of subjects with one of the population.
-# Each side is copied once per block of the other: 10 million customers are 153 blocks,
-# so 153 copies of a vector of about 100 bytes, 150 GB a side.
-BLOCK = 65_536
-# dense cells one block comparison may hold at a time
-_CELLS = 4_000_000
+# Members of a product group's list that a task compares with as many others. A longer list is
+# cut into blocks; beyond BLOCKS of them the blocks grow, so no vector is copied more often
+# than BLOCKS times for each group of its prefix.
+BLOCK = 4_096
+BLOCKS = 64
+# A pair is one 32-bit number: thousandths above the peer's place in its block.
+_ID_BITS = 21
+# dense cells a task holds at a time
+_CELLS = 1 << 20
 # Weights are whole multiples of 2**-26: products and their sums fit the 53 bits of a
 # double, so a similarity does not depend on the order or company it is computed in.
 _UNITS = 1 << 26
+# What rounding the weights can add to a similarity, generously.
+_SLACK = 1e-5
+
+
+def packed_vectors(vectors: DataFrame) -> DataFrame:
+    """(customer_id, places, w, cents, leads): a customer's whole mix, its rarest product group first.
+
+    ``places`` numbers the groups by how few customers buy them, the same for
+    everybody. ``leads`` is the prefix under which a customer is indexed: the groups
+    from which on its weights still have a norm of MIN_SIMILARITY. What two customers
+    share beyond the prefix of either cannot reach that similarity, and the rarest
+    group they share comes first, so similar customers have it in both prefixes.
+    NULL groups match nothing, as in an equi-join.
+    """
+    known = vectors.where("product_group_id IS NOT NULL")
+    buyers = known.groupBy("product_group_id").agg(F.count(F.lit(1)).alias("buyers"))
+    # one row per product group, a dimension
+    rarity = buyers.select("product_group_id", F.row_number().over(Window.orderBy("buyers", "product_group_id")).alias("place"))
+    rest = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("customer_id").orderBy(F.desc("place")))
+    entry = F.struct(
+        "place",
+        F.round(F.col("w") * _UNITS, 0).alias("w"),
+        # cents as integers: exact sums inside numpy
+        (F.col("sales_12m") * 100).cast("long").alias("cents"),
+        (F.sqrt("rest") >= K.MIN_SIMILARITY - _SLACK).alias("leads"),
+    )
+    placed = known.join(rarity, "product_group_id").withColumn("rest", rest)
+    mix = placed.groupBy("customer_id").agg(F.array_sort(F.collect_list(entry)).alias("mix"))
+    return mix.select(
+        "customer_id", F.col("mix.place").alias("places"), F.col("mix.w").alias("w"), F.col("mix.cents").alias("cents"),
+        F.transform(F.filter("mix", lambda e: e["leads"]), lambda e: e["place"]).alias("leads"),
+    )
 
 
 def similar_pairs(vectors: DataFrame, subjects: DataFrame | None, n: int = K.LOOKALIKES, population: DataFrame | None = None) -> DataFrame:
@@ -30,41 +65,41 @@ def similar_pairs(vectors: DataFrame, subjects: DataFrame | None, n: int = K.LOO
     ``sales_12m`` is the peer's sales in the groups the subject buys too. One exact
     path for any number of subjects.
 
-    One row per customer holds its whole vector (bounded by the product groups).
-    Blocks come from a hash of the unique customer id, so they are even; a block
-    keeps each subject's best n and no other pair is ever written out as a row.
+    Subjects and peers meet in the lists of an inverted index on product groups, where
+    each stands under the groups of its prefix only. A long list is cut into blocks,
+    and one task compares one block of subjects with one of peers; it keeps the best
+    n of each subject and writes no other pair. A pair that meets in several lists
+    counts in that of the rarest group both buy.
     """
-    packed = stage(
-        vectors.groupBy("customer_id").agg(
-            F.collect_list(F.struct("product_group_id", "w", "sales_12m")).alias("mix")
-        ),
-        "vectors",
-    ).select(
-        "customer_id",
-        F.col("mix.product_group_id").alias("groups"),
-        F.transform("mix.w", lambda w: F.round(w * _UNITS, 0)).alias("w"),
-        # cents as integers: exact sums inside numpy
-        F.transform("mix.sales_12m", lambda x: (x * 100).cast("long")).alias("cents"),
-    )
+    packed = stage(packed_vectors(vectors), "vectors")
     wanted = restrict(packed, None if subjects is None else subjects.select("customer_id").distinct())
     peers = packed if population is None else packed.join(population.select("customer_id"), "customer_id", "left_semi")
-    n_blocks, n_chunks = (-(-max(df.count(), 1) // BLOCK) for df in (wanted, packed))
+    # fresh aliases: both sides of the cogroup come from the same table
+    wanted = wanted.select(*[F.col(c).alias(c) for c in packed.columns]).withColumn("lead", F.explode("leads")).drop("leads", "cents")
+    peers = peers.withColumn("lead", F.explode("leads")).drop("leads")
 
-    def spread(i: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(i - 1)))
+    blocks = F.greatest(F.least(F.ceil(F.col("members") / BLOCK), F.lit(BLOCKS)), F.ceil(F.col("members") / (1 << _ID_BITS - 1)))
 
-    peers = peers.withColumn("chunk", F.pmod(F.xxhash64("customer_id"), F.lit(n_chunks)).cast("int"))
-    peers = peers.withColumn("block", spread(n_blocks))
-    # fresh aliases: both sides of the cogroup come from the same table
-    wanted = wanted.select(*[F.col(c).alias(c) for c in ("customer_id", "groups", "w")])
-    wanted = wanted.withColumn("block", F.pmod(F.xxhash64("customer_id", F.lit(7)), F.lit(n_blocks)).cast("int"))
-    wanted = wanted.withColumn("chunk", spread(n_chunks))
+    def sides(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("lead").agg(F.count(F.lit(1)).alias("members")).select("lead", blocks.cast("int").alias(name))
+
+    # one row per product group; groups that only one side leads with meet nobody
+    lists = stage(sides(wanted, "rows").join(sides(peers, "columns"), "lead"), "peer-lists")
 
-    def compare(subject_pdf: pd.DataFrame, peer_pdf: pd.DataFrame) -> pd.DataFrame:
-        return _compare_block(subject_pdf, peer_pdf, n)
+    def block(count: str):
+        return F.pmod(F.xxhash64("customer_id", "lead"), F.col(count)).cast("int")
 
-    keys = ["block", "chunk"]
-    pairs = wanted.groupBy(*keys).cogroup(peers.groupBy(*keys)).applyInPandas(
+    def spread(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    wanted = wanted.join(lists, "lead").withColumn("row", block("rows")).withColumn("column", spread("columns")).drop("rows", "columns")
+    peers = peers.join(lists, "lead").withColumn("column", block("columns")).withColumn("row", spread("rows")).drop("rows", "columns")
+
+    def compare(subject_rows: pa.Table, peer_rows: pa.Table) -> pa.Table:
+        return _compare_block(subject_rows, peer_rows, n)
+
+    keys = ["lead", "row", "column"]
+    pairs = wanted.groupBy(*keys).cogroup(peers.groupBy(*keys)).applyInArrow(
         compare, "subject_id string, customer_id string, raw double, cents long"
     )
     pairs = pairs.select(
@@ -79,74 +114,82 @@ def similarity() -> Column:
     return F.floor(F.col("raw") * 1000 + 0.5) / 1000
 
 
-def _dense(ids: np.ndarray, lengths: np.ndarray, values: np.ndarray, width: int) -> np.ndarray:
-    out = np.zeros((len(lengths), width), dtype=values.dtype)
-    out[np.repeat(np.arange(len(lengths)), lengths), ids] = values
-    return out
-
-
-def _flat(pdf: pd.DataFrame, column: str, vocabulary: pd.Index):
-    """Vocabulary positions, entries per row and values; unknown groups drop out."""
-    lengths = pdf["groups"].map(len).to_numpy()
-    ids = vocabulary.get_indexer(np.concatenate(pdf["groups"].to_numpy()))
-    values = np.concatenate(pdf[column].to_numpy())
-    known = ids >= 0
-    owner = np.repeat(np.arange(len(pdf)), lengths)[known]
-    return ids[known], np.bincount(owner, minlength=len(pdf)), values[known]
-
-
-def _compare_block(subject_pdf: pd.DataFrame, peer_pdf: pd.DataFrame, n: int) -> pd.DataFrame:
-    """Best n peers of each subject inside one block, by thousandths then id."""
-    kinds = {"subject_id": object, "customer_id": object, "raw": float, "cents": np.int64}
-    empty = pd.DataFrame({name: pd.Series(dtype=kind) for name, kind in kinds.items()})
-    if subject_pdf.empty or peer_pdf.empty:
-        return empty
-    # NULL groups match nothing, as in an equi-join
-    vocabulary = pd.Index(pd.unique(np.concatenate(subject_pdf["groups"].to_numpy()))).dropna()
-    width = max(len(vocabulary), 1)
-    rows = max(_CELLS // max(width, len(subject_pdf)), 1)
-    subject_ids = pd.Index(subject_pdf["customer_id"])
-    subject_w = _dense(*_flat(subject_pdf, "w", vocabulary), width)
-    peer_pdf = peer_pdf.sort_values("customer_id")
-    found = []
-    for start in range(0, len(peer_pdf), rows):
-        peers = peer_pdf.iloc[start : start + rows]
-        peer_ids = pd.Index(peers["customer_id"])
-        raw = subject_w @ _dense(*_flat(peers, "w", vocabulary), width).T / float(_UNITS) ** 2
-        shown = np.where(raw >= K.MIN_SIMILARITY, np.floor(raw * 1000 + 0.5), -1).astype(np.int16)
-        own = peer_ids.get_indexer(subject_ids)
-        shown[np.nonzero(own >= 0)[0], own[own >= 0]] = -1
-        keep = shown >= 0
-        if len(peers) > n:
-            nth = -np.partition(-shown, n - 1, axis=1)[:, n - 1 : n]
-            above, tied = shown > nth, (shown == nth) & keep
-            # columns are in id order, so the first ties are the ones to keep
-            room = n - above.sum(axis=1, keepdims=True)
-            keep = above | (tied & (np.cumsum(tied, axis=1) <= room))
-        s, p = np.nonzero(keep)
-        if not len(s):
-            continue
-        cents = _dense(*_flat(peers, "cents", vocabulary), width)
-        overlap = np.concatenate(
-            [
-                np.where(subject_w[s[i : i + rows]] > 0, cents[p[i : i + rows]], 0).sum(axis=1)
-                for i in range(0, len(s), rows)
-            ]
-        )
-        found.append(
-            pd.DataFrame(
-                {
-                    "subject_id": subject_ids[s], "customer_id": peer_ids[p], "raw": raw[s, p], "cents": overlap,
-                    "shown": shown[s, p],
-                }
-            )
-        )
-    if not found:
-        return empty
-    best = pd.concat(found, ignore_index=True)
-    best = best.sort_values(["subject_id", "shown", "customer_id"], ascending=[True, False, True])
-    best = best[best.groupby("subject_id").cumcount() < n]
-    return best[["subject_id", "customer_id", "raw", "cents"]]
+class _Mixes:
+    """The vectors of one side of a block as flat arrays, to be unfolded a run of rows at a time."""
+
+    def __init__(self, rows: pa.Table, order: np.ndarray, places: np.ndarray, values: tuple[str, ...]):
+        lists = rows["places"].combine_chunks()
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        self.starts, self.sizes = offsets[:-1][order], np.diff(offsets)[order]
+        self.starts = self.starts - offsets[0]
+        place = lists.flatten().to_numpy()
+        self.column = np.minimum(np.searchsorted(places, place), len(places) - 1)
+        self.known = places[self.column] == place
+        self.values = {v: rows[v].combine_chunks().flatten().to_numpy() for v in values}
+        self.width = len(places)
+
+    def dense(self, rows: slice | np.ndarray, value: str) -> np.ndarray:
+        sizes = self.sizes[rows]
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.repeat(self.starts[rows] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+        at, row = at[self.known[at]], row[self.known[at]]
+        out = np.zeros((len(sizes), self.width), self.values[value].dtype)
+        out[row, self.column[at]] = self.values[value][at]
+        return out
+
+
+def _compare_block(subject_rows: pa.Table, peer_rows: pa.Table, n: int) -> pa.Table:
+    """Best n peers of each subject inside one block, by thousandths then id.
+
+    Subjects are taken a run at a time and peers along them, with a running best n:
+    a task holds n entries per subject of the run beside one product of _CELLS.
+    """
+    out: dict[str, list] = {"subject_id": [], "customer_id": [], "raw": [], "cents": []}
+    kinds = {"subject_id": pa.string(), "customer_id": pa.string(), "raw": pa.float64(), "cents": pa.int64()}
+    if subject_rows.num_rows and peer_rows.num_rows:
+        lead = subject_rows["lead"][0].as_py()
+        subject_ids = np.array(subject_rows["customer_id"].to_pylist(), object)
+        peer_ids = np.array(peer_rows["customer_id"].to_pylist(), object)
+        by_id = np.array(sorted(range(len(peer_ids)), key=lambda i: peer_ids[i].encode()), np.int64)
+        peer_ids = peer_ids[by_id]
+        own_place = {c: i for i, c in enumerate(peer_ids)}
+        # only groups some subject buys can add to a similarity
+        places = np.unique(subject_rows["places"].combine_chunks().flatten().to_numpy())
+        subjects = _Mixes(subject_rows, np.arange(len(subject_ids)), places, ("w",))
+        peers = _Mixes(peer_rows, by_id, places, ("w", "cents"))
+        last = np.int32((1 << _ID_BITS) - 1)
+        at_lead = int(np.searchsorted(places, lead))
+        height = max(1, min(len(subject_ids), _CELLS // max(len(places), 2 * n), 1024))
+        length = max(1, _CELLS // max(height, len(places)))
+        for low in range(0, len(subject_ids), height):
+            mine = subjects.dense(slice(low, low + height), "w")
+            best = np.full((len(mine), n), -1, np.int32)
+            own = np.array([own_place.get(c, -1) for c in subject_ids[low : low + height]], np.int64)
+            for start in range(0, len(peer_ids), length):
+                theirs = peers.dense(slice(start, start + length), "w")
+                raw = mine @ theirs.T / float(_UNITS) ** 2
+                # the higher thousandths first, then the smaller id: one number per pair
+                key = (raw * 1000 + 0.5).astype(np.int32) << _ID_BITS | (last - np.arange(start, start + len(theirs), dtype=np.int32))
+                key[raw < K.MIN_SIMILARITY] = -1
+                here = np.flatnonzero((own >= start) & (own < start + len(theirs)))
+                key[here, own[here] - start] = -1
+                best = np.concatenate([best, key], axis=1)
+                best = np.partition(best, best.shape[1] - n, axis=1)[:, -n:]
+            s, k = np.nonzero(best >= 0)
+            p = last - (best[s, k] & last)
+            step = max(1, _CELLS // max(1, len(places)))
+            for i in range(0, len(s), step):
+                si, pi = s[i : i + step], p[i : i + step]
+                chosen, row = np.unique(pi, return_inverse=True)
+                theirs, cents = peers.dense(chosen, "w"), peers.dense(chosen, "cents")
+                met = (mine[si] > 0) & (theirs[row] > 0)
+                rarest = np.flatnonzero(met.argmax(axis=1) == at_lead)
+                si, pi, met, row = si[rarest], pi[rarest], met[rarest], row[rarest]
+                out["subject_id"] += list(subject_ids[low + si])
+                out["customer_id"] += list(peer_ids[pi])
+                out["raw"] += ((mine[si] * theirs[row]).sum(axis=1) / float(_UNITS) ** 2).tolist()
+                out["cents"] += np.where(mine[si] > 0, cents[row], 0).sum(axis=1).tolist()
+    return pa.table({name: pa.array(out[name], kind) for name, kind in kinds.items()})
 
 
 def lookalikes(

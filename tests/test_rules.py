@@ -1,8 +1,11 @@
 """Literal micro-tables for the rules that are easy to get wrong."""
 
 import datetime as dt
+import math
+import random
 from decimal import Decimal as D
 
+import pyarrow as pa
 import pytest
 from helpers import customers, ids, make, only, rows, sales
 from pyspark.sql import functions as F
@@ -243,6 +246,66 @@ def test_similarity_does_not_depend_on_the_other_subjects(spark, tables):
         assert found == {r for r in whole if r[0] in few}
 
 
+def sparse_sales(seed, customers_, groups, bought):
+    """Random baskets: a group that everybody buys, some common ones and many rare ones."""
+    rng = random.Random(seed)
+    lines = []
+    for c in range(customers_):
+        for g in {0, *(int(groups * rng.random() ** 2) for _ in range(rng.randrange(bought)))}:
+            lines.append((f"c{c:04d}", f"g{g:03d}", D(rng.randrange(1, 500)) if g else D(rng.randrange(1, 30))))
+    return lines
+
+
+def brute_pairs(lines, subjects, n):
+    mixes = {}
+    for c, g, x in lines:
+        mixes.setdefault(c, {})[g] = x
+    weights = {c: {g: round(float(x) / float(sum(v * v for v in m.values())) ** 0.5 * 2**26) for g, x in m.items()} for c, m in mixes.items()}
+    out = set()
+    for a in subjects:
+        found = []
+        for b in mixes:
+            raw = sum(w * weights[b].get(g, 0) for g, w in weights[a].items()) / 2.0**52
+            if a != b and raw >= K.MIN_SIMILARITY:
+                found.append((-math.floor(raw * 1000 + 0.5), b, raw, sum(x for g, x in mixes[b].items() if g in mixes[a])))
+        out |= {(a, b, raw, x) for _, b, raw, x in sorted(found)[:n]}
+    return out
+
+
+@pytest.mark.parametrize("block, cells, groups, bought", [(4096, 1 << 20, 60, 12), (40, 500, 60, 12), (64, 1 << 20, 400, 25)])
+def test_similar_pairs_equal_brute_force(spark, monkeypatch, block, cells, groups, bought):
+    monkeypatch.setattr(peers, "BLOCK", block)
+    monkeypatch.setattr(peers, "_CELLS", cells)
+    lines = sparse_sales(block, 250, groups, bought)
+    vectors = views.customer_vector(spark.createDataFrame(lines, "customer_id string, product_group_id string, sales_12m decimal(18,2)"))
+    everybody = sorted({c for c, _, _ in lines})
+    ours = {(r[0], r[1], r[2], r[3]) for r in peers.similar_pairs(vectors, None, 7).collect()}
+    assert ours == brute_pairs(lines, everybody, 7)
+    few = {(r[0], r[1], r[2], r[3]) for r in peers.similar_pairs(vectors, ids(spark, *everybody[::40]), 7).collect()}
+    assert few == {r for r in ours if r[0] in everybody[::40]}
+
+
+def test_prefixes_leave_out_most_pairs_and_no_similar_one(spark):
+    lines = sparse_sales(1, 400, 900, 30)
+    vectors = views.customer_vector(spark.createDataFrame(lines, "customer_id string, product_group_id string, sales_12m decimal(18,2)"))
+    leads = {r["customer_id"]: set(r["leads"]) for r in peers.packed_vectors(vectors).collect()}
+    meet = {(a, b) for a in leads for b in leads if a < b and leads[a] & leads[b]}
+    similar = {(a, b) for a, b, _, _ in brute_pairs(lines, sorted(leads), 400) if a < b}
+    every = len(leads) * (len(leads) - 1) // 2
+    # everybody buys one group, so every pair shares something
+    assert similar <= meet and 0 < len(similar) and len(meet) < 0.7 * every
+
+
+def test_a_list_is_many_tasks_and_a_subject_keeps_n_rows_in_each(spark, monkeypatch):
+    monkeypatch.setattr(peers, "BLOCK", 50)
+    lines = [(f"c{i:04d}", "g", D(5)) for i in range(400)]
+    vectors = views.customer_vector(spark.createDataFrame(lines, "customer_id string, product_group_id string, sales_12m decimal(18,2)"))
+    mixes = pa.table({"lead": [1] * 60, "customer_id": [f"c{i:04d}" for i in range(60)], "places": [[1]] * 60, "w": [[float(1 << 26)]] * 60, "cents": [[500]] * 60})
+    assert peers._compare_block(mixes, mixes, 4).num_rows == 60 * 4
+    assert peers.similar_pairs(vectors, None, 4).groupBy("subject_id").count().where("count <> 4").isEmpty()
+    assert peers.similar_pairs(vectors, None, 4).where("subject_id = 'c0399'").select("customer_id").orderBy("customer_id").first()[0] == "c0000"
+
+
 def test_vocabulary_lists_every_common_group(spark):
     groups = [f"g{i:03d}" for i in range(230)]
     lines = sales(spark, *[("1", "2024-05-01", g, "10") for g in groups])
