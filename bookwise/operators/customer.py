@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from bookwise import constants as K
 from bookwise.context import as_of_column, months_before
 from bookwise.functions.columns import clamp, distinct_values, restrict, top_rows
+from bookwise.functions.contains import matching_literal, matching_wildcards, piece_index
 from bookwise.sources.tables import since
 
 
@@ -201,11 +202,13 @@ def customers_near(
     ]
     # A place leaves out one customer at most, so limit + 1 customers of an area answer every place in it.
     leading = top_rows(keyed, ["kind", "key"], order, limit + 1)
-    towns = customer_dim.select(F.lower("city").alias("town")).where("town IS NOT NULL").distinct()
+    towns = piece_index(customer_dim.select(F.lower("city").alias("town")), "town")
+    patterns = asked.where("kind = 'pattern'").withColumnRenamed("place", "query")
+    # the index finds towns that contain the pattern; the pattern has to cover the whole town
+    near = matching_literal(towns, patterns.select("query").distinct()).unionByName(matching_wildcards(towns, patterns.select("query").distinct()))
     meant = (
-        asked.where("kind = 'pattern'")
-        .join(towns, F.expr("town ILIKE place"))
-        .select("place", "excluded", F.lit("town").alias("kind"), F.col("town").alias("key"))
+        patterns.join(near.distinct(), "query").where(F.expr("text ILIKE query"))
+        .select(F.col("query").alias("place"), "excluded", F.lit("town").alias("kind"), F.col("text").alias("key"))
     )
     wanted = asked.where("kind <> 'pattern'").unionByName(meant)
     found = leading.join(wanted, ["kind", "key"]).where("customer_id <> excluded")

@@ -2,84 +2,86 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, functions as F
 
 from bookwise import constants as K
 from bookwise.functions.columns import top_rows
+from bookwise.functions.contains import PieceIndex, is_plain, least_length, longest_literal, matching_literal, piece_index
 from bookwise.functions.names import first_word, jaccard, overlap, phonetic_key, trigrams
 from bookwise.functions.staging import stage
 from bookwise.operators.customer import with_figures
 
+#: Customers of a sound that one task scores together; a commoner sound is spread over more.
+SOUND_BLOCK = 2_000
 
-def _asked(queries: DataFrame) -> DataFrame:
-    return queries.select(F.trim("query").alias("query")).where("query IS NOT NULL").distinct()
 
+@dataclass(frozen=True)
+class NameIndex:
+    """What a search reads, staged once for a customer dimension and its figures.
+
+    ``leaders`` (customer_name, customer_id, sales_12m) are the customers of each name
+    that can be among the first ten of a search. ``by_piece`` and ``by_length`` hold
+    the first ten customers whose name has a piece of one or two characters, or has
+    at least a length: short queries and wildcards are answered from there.
+    """
+
+    dim: DataFrame
+    figures: DataFrame
+    names: PieceIndex
+    leaders: DataFrame
+    by_piece: DataFrame
+    by_length: DataFrame
 
-def _pieces(text: Column, size: int) -> Column:
-    """Distinct runs of ``size`` characters; empty for a shorter text."""
-    starts = F.sequence(F.lit(1), F.length(text) - (size - 1))
-    cut = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
-    return F.when(F.length(text) >= size, cut).otherwise(F.array().cast("array<string>"))
 
+def _biggest_first():
+    return [F.col("sales_12m").desc_nulls_last(), F.col("customer_name").asc(), F.col("customer_id").asc()]
 
-def _pattern() -> Column:
-    # a backslash before an ordinary character stands for that character
-    literal = F.regexp_replace("query", r"(\\[%_\\])|\\(.)", "$1$2")
-    return F.concat(F.lit("%"), literal, F.lit("%"))
 
+def name_index(dim: DataFrame, figures: DataFrame) -> NameIndex:
+    slim = with_figures(dim.select("customer_id", "customer_name"), figures).drop("last_invoice")
+    leaders = stage(top_rows(slim.where("customer_name IS NOT NULL"), ["customer_name"], _biggest_first(), K.EXACT_ROWS), "leaders")
+    names = piece_index(leaders, "customer_name")
+    short = names.postings.where("length(piece) < 3").select("piece", F.col("text").alias("customer_name")).join(leaders, "customer_name")
+    by_piece = stage(top_rows(short, ["piece"], _biggest_first(), K.EXACT_ROWS), "top-by-piece")
+    # the first ten of each length, offered to every smaller length
+    sized = top_rows(leaders.withColumn("size", F.length("customer_name")), ["size"], _biggest_first(), K.EXACT_ROWS)
+    reach = sized.withColumn("least", F.explode(F.sequence(F.lit(0), F.col("size")))).drop("size")
+    by_length = stage(top_rows(reach, ["least"], _biggest_first(), K.EXACT_ROWS), "top-by-length")
+    return NameIndex(dim, figures, names, leaders, by_piece, by_length)
 
-def _longest_literal() -> Column:
-    """Longest stretch of the query without a wildcard, lower-cased; NULL if there is none."""
-    runs = F.regexp_extract_all("query", F.lit(r"((?:[^%_\\]|\\.)+)"), F.lit(1))
-    plain = F.transform(runs, lambda run: F.lower(F.regexp_replace(run, r"\\(.)", "$1")))
-    return F.try_element_at(F.array_sort(plain, lambda a, b: F.length(b) - F.length(a)), F.lit(1))
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select(F.trim("query").alias("query")).where("query IS NOT NULL").distinct()
 
 
-def _exact_matches(dim: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query, customer_id) by id or by ``name ILIKE %query%``, without a cross join.
+def _exact_leaders(index: NameIndex, asked: DataFrame) -> DataFrame:
+    """(query, customer_name, customer_id, sales_12m): by id or by ``name ILIKE %query%``, at least the first ten of each query."""
+    columns = ["query", "customer_name", "customer_id", "sales_12m"]
+    known = index.dim.select("customer_id", "customer_name")
+    ids = with_figures(asked.join(known.withColumn("query", F.col("customer_id")), "query"), index.figures)
+    kinds = asked.withColumn("literal", longest_literal())
+    short = is_plain() & (F.length("literal") < 3)
+    brief = kinds.where(short).withColumnRenamed("literal", "piece").join(index.by_piece, "piece")
+    wild = kinds.where("literal IS NULL").withColumn("least", least_length()).join(index.by_length, "least")
+    rest = matching_literal(index.names, kinds.where(F.col("literal").isNotNull() & ~short).select("query"))
+    named = rest.withColumnRenamed("text", "customer_name").join(index.leaders, "customer_name")
+    found = ids.select(*columns)
+    for df in (brief, wild, named):
+        found = found.unionByName(df.select(*columns))
+    return found.distinct()
 
-    A name that contains the query contains each piece of its literal text, so names
-    meet queries on one piece (the rarest of three characters, or all of a shorter
-    literal) and the pattern is checked after that. A query of wildcards alone asks
-    for a minimal length, so it meets names on their length.
+
+def find_customer(dim: DataFrame, figures: DataFrame, queries: DataFrame, index: NameIndex | None = None) -> DataFrame:
+    """Exact path: the ten biggest customers whose name contains the query, or whose id it is.
+
+    Matches carry name, id and sales until ten are left; only those meet the dimension.
     """
-    names = dim.select("customer_id", "customer_name")
-    by_id = asked.join(names.select(F.col("customer_id").alias("query"), "customer_id"), "query").select(
-        "query", "customer_id"
-    )
-    lowered = F.lower("customer_name")
-    literal = asked.select("query", _pattern().alias("pattern"), _longest_literal().alias("literal"))
-    frequency = names.select(F.explode(_pieces(lowered, 3)).alias("piece")).groupBy("piece").agg(
-        F.count(F.lit(1)).alias("names")
-    )
-    rarest = (
-        literal.select("query", "pattern", F.explode(_pieces(F.col("literal"), 3)).alias("piece"))
-        .join(frequency, "piece", "left")
-        .groupBy("query", "pattern")
-        .agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "piece"))["piece"].alias("piece"))
-    )
-    short = literal.where("length(literal) < 3").select("query", "pattern", F.col("literal").alias("piece"))
-    probes = rarest.unionByName(short)
-    name_pieces = names.select(
-        "customer_id", "customer_name", F.explode(F.flatten(F.array(*[_pieces(lowered, n) for n in (1, 2, 3)]))).alias("piece")
-    )
-    by_piece = probes.join(name_pieces, "piece").where(F.expr("customer_name ILIKE pattern"))
-
-    wild = literal.where("literal IS NULL").withColumn("shortest", F.length(F.regexp_replace("query", "[^_]", "")))
-    sized = names.withColumn("size", F.length("customer_name"))
-    # distinct lengths on both sides: a short list each, whatever the number of names
-    fitting = wild.select("shortest").distinct().join(sized.select("size").distinct(), F.col("size") >= F.col("shortest"))
-    by_length = wild.join(fitting, "shortest").join(sized, "size").where(F.expr("customer_name ILIKE pattern"))
-    found = [df.select("query", "customer_id") for df in (by_id, by_piece, by_length)]
-    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
-
-
-def find_customer(dim: DataFrame, figures: DataFrame, queries: DataFrame) -> DataFrame:
-    """Exact path: the ten biggest customers whose name contains the query, or whose id it is."""
-    found = _exact_matches(dim, _asked(queries)).join(dim, "customer_id")
-    order = [F.col("sales_12m").desc_nulls_last(), F.col("customer_name").asc(), F.col("customer_id").asc()]
-    best = top_rows(with_figures(found, figures), ["query"], order, K.EXACT_ROWS)
-    return best.select(
+    index = index or name_index(dim, figures)
+    best = top_rows(_exact_leaders(index, _asked(queries)), ["query"], _biggest_first(), K.EXACT_ROWS)
+    named = with_figures(best.select("query", "customer_id").join(index.dim, "customer_id"), index.figures)
+    return named.select(
         "query", "customer_id", "customer_name", "customer_class", "salesrep_name", "address", "city", "state", "zip",
         "phone", "sales_12m", "last_invoice",
     )
@@ -115,36 +117,59 @@ def _trigram_matches(names: DataFrame, asked: DataFrame) -> DataFrame:
     return candidates.where(similarity > K.MIN_NAME_SIMILARITY).select("query", "customer_id").distinct()
 
 
+def sounds(texts: DataFrame, column: str) -> DataFrame:
+    """(word, sound): the phonetic code of every distinct first word of ``column``."""
+    words = texts.select(first_word(column).alias("word")).where("word IS NOT NULL").distinct()
+    return words.select("word", phonetic_key("word").alias("sound"))
+
+
+def _sounding_alike(names: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query, customer_id) of names whose first word sounds like the query's.
+
+    Codes are made per distinct word. The customers of a common sound are cut into
+    blocks of about SOUND_BLOCK, so no sound is one task however many share it.
+    """
+    words = stage(sounds(names, "customer_name"), "sounds")
+    heard = names.select("customer_id", first_word("customer_name").alias("word")).join(words, "word").drop("word")
+    sizes = heard.groupBy("sound").agg(F.ceil(F.count(F.lit(1)) / SOUND_BLOCK).cast("int").alias("blocks"))
+    sizes = stage(sizes, "sound-sizes")
+    said = asked.select("query", first_word("query").alias("word")).join(sounds(asked, "query"), "word")
+    said = said.join(sizes, "sound").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = heard.join(sizes, "sound").withColumn("block", F.pmod(F.xxhash64("customer_id"), F.col("blocks")).cast("int"))
+    return said.join(spread.drop("blocks"), ["sound", "block"]).select("query", "customer_id")
+
+
 def fuzzy_customer(dim: DataFrame, figures: DataFrame, queries: DataFrame) -> DataFrame:
-    """Names that look or sound like each query, best eight; every row carries a note."""
+    """Names that look or sound like each query, best eight; every row carries a note.
+
+    Pairs carry id, similarity and sales until eight are left; only those meet the dimension.
+    """
     asked = _asked(queries).where(F.length("query") >= K.FUZZY_MIN_LENGTH)
     asked = asked.withColumn("query_trigrams", trigrams("query"))
-    names = dim.withColumn("name_trigrams", trigrams("customer_name"))
-    alike = _trigram_matches(names, asked)
-    sound = asked.select("query", phonetic_key(first_word("query")).alias("sound"))
-    heard = names.select("customer_id", phonetic_key(first_word("customer_name")).alias("sound"))
-    pairs = alike.unionByName(sound.join(heard, "sound").select("query", "customer_id")).distinct()
+    names = dim.select("customer_id", "customer_name", trigrams("customer_name").alias("name_trigrams"))
+    names = stage(with_figures(names, figures).drop("last_invoice"), "fuzzy-names")
+    pairs = _trigram_matches(names, asked).unionByName(_sounding_alike(names, asked)).distinct()
     common = overlap(F.col("query_trigrams"), F.col("name_trigrams"))
     whole = F.size("query_trigrams") + F.size("name_trigrams") - common
     shown = F.round(F.try_divide(common.cast("decimal(10,0)"), whole.cast("decimal(10,0)")), 2)
     scored = (
         pairs.join(asked, "query")
         .join(names, "customer_id")
-        .withColumn("name_similarity", F.coalesce(shown, F.lit(0).cast("decimal(3,2)")))
+        .select("query", "customer_id", "sales_12m", F.coalesce(shown, F.lit(0).cast("decimal(3,2)")).alias("name_similarity"))
     )
     order = [
         F.col("name_similarity").desc(), F.col("sales_12m").desc_nulls_last(), F.col("customer_id").asc(),
     ]
-    best = top_rows(with_figures(scored, figures), ["query"], order, K.FUZZY_ROWS)
-    return best.select(
+    best = top_rows(scored, ["query"], order, K.FUZZY_ROWS)
+    return best.join(dim, "customer_id").select(
         "query", "customer_id", "customer_name", "customer_class", "salesrep_name", "city", "state", "sales_12m",
         "name_similarity", F.lit(K.FUZZY_NOTE).alias("note"),
     )
 
 
-def search_customer(dim: DataFrame, figures: DataFrame, queries: DataFrame) -> DataFrame:
+def search_customer(dim: DataFrame, figures: DataFrame, queries: DataFrame, index: NameIndex | None = None) -> DataFrame:
     """Exact rows for each query, fuzzy rows where there are none (``note`` tells which)."""
-    exact = stage(find_customer(dim, figures, queries), "exact-names")
+    exact = stage(find_customer(dim, figures, queries, index), "exact-names")
     missed = _asked(queries).join(exact.select("query").distinct(), "query", "left_anti")
-    fuzzy = fuzzy_customer(dim, figures, missed)
+    fuzzy = fuzzy_customer(dim, figures, stage(missed, "missed"))
     return exact.unionByName(fuzzy, allowMissingColumns=True)

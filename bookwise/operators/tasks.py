@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from bookwise import constants as K
 from bookwise.context import Scope, as_of_column
 from bookwise.functions.columns import top_rows
+from bookwise.functions.contains import piece_index, rarest_piece
 
 
 def _due_order() -> list[Column]:
@@ -99,10 +100,14 @@ def _resolve_people(asked: DataFrame, people: DataFrame) -> DataFrame:
     rest = who.join(exact.select("login", "who"), ["login", "who"], "left_anti")
     words = F.filter(F.split(F.lower("who"), " "), lambda w: w != "")
     hay = F.concat_ws("\n", F.lower(F.coalesce("person_name", F.lit(""))), F.lower("person"))
-    fits = F.forall("words", lambda w: F.contains(F.col("hay"), w))
+    listed = candidates.withColumn("text", hay)
+    index = piece_index(listed, "text")
+    # a person who fits has every piece of every word: people meet requests on the rarest one
+    probes = rarest_piece(rest.withColumn("words", words), ["login", "who", "words"], F.col("words"), index)
+    fits = F.forall("words", lambda w: F.contains(F.col("lowered"), w))
     by_words = (
-        rest.withColumn("words", words)
-        .join(candidates.withColumn("hay", hay), fits)
+        probes.join(index.postings, "piece").where(fits).select("login", "who", "text")
+        .join(listed, "text")
         .groupBy("login", "who")
         .agg(F.count(F.lit(1)).alias("hits"), F.min("person").alias("person"), F.min("person_name").alias("person_name"))
     )
@@ -132,7 +137,9 @@ def resolve_requests(
     )
     first_type = task_type.agg(F.min(F.struct("sort", "activity_id", "label")).alias("first"))
     typed = clean.join(task_type.select("activity_id", "label"), "activity_id", "left")
-    typed = typed.join(first_type, F.col("label").isNull(), "left").select(
+    # the first type is one row; requests without a known type meet it on a constant
+    unknown = F.when(F.col("label").isNull(), F.lit(1))
+    typed = typed.withColumn("unknown", unknown).join(first_type.withColumn("unknown", F.lit(1)), "unknown", "left").select(
         *[c for c in clean.columns if c != "activity_id"],
         F.when(F.col("label").isNull(), F.col("first.activity_id")).otherwise(F.col("activity_id")).alias("activity_id"),
         F.coalesce("label", "first.label").alias("type_label"),

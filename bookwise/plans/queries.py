@@ -309,23 +309,26 @@ def find_customer(t: Tables) -> DataFrame:
     return search.find_customer(_dim(t), _figures(t), asked)
 
 
-def _part_names(t: Tables) -> DataFrame:
-    """Item names as a search corpus: the fixture customers have no word-like names."""
-    items = t.invoice_sales.groupBy(F.col("item_desc").alias("customer_name")).agg(
-        F.min("item_id").alias("customer_id"), F.sum("extended_price").alias("year_sales"), F.max("invoice_date").alias("last_invoice")
+def _word_names(t: Tables) -> DataFrame:
+    """The customers under names with words: what their dearest line was for, and a number."""
+    dearest = t.invoice_sales.groupBy("customer_id").agg(
+        F.max(F.struct("extended_price", "item_desc"))["item_desc"].alias("item"), F.max("customer_name").alias("old_name"),
+        F.sum("extended_price").alias("year_sales"), F.max("invoice_date").alias("last_invoice"),
     )
-    return stage(items, "items")
+    name = F.concat("item", F.lit(" "), F.right("old_name", F.lit(5))).alias("customer_name")
+    return stage(dearest.select("customer_id", name, "item", "year_sales", "last_invoice"), "word-names")
 
 
-def _dim_of(items: DataFrame) -> DataFrame:
+def _dim_of(names: DataFrame) -> DataFrame:
     empty = ["customer_class", "salesrep_name", "address", "city", "state", "zip", "phone"]
-    return items.select("customer_id", "customer_name", *[F.lit(None).cast("string").alias(c) for c in empty])
+    return names.select("customer_id", "customer_name", *[F.lit(None).cast("string").alias(c) for c in empty])
 
 
 @query
 def find_customer_trigram(t: Tables) -> DataFrame:
     """The trigram arm alone: every item name, misspelt, against all item names."""
-    items = _part_names(t)
+    items = t.invoice_sales.groupBy(F.col("item_desc").alias("customer_name")).agg(F.min("item_id").alias("customer_id"))
+    items = stage(items, "items")
     asked = items.select(F.concat(F.col("customer_name"), F.lit("x")).alias("query"))
     names = _dim_of(items).withColumn("name_trigrams", search.trigrams("customer_name"))
     queries = asked.withColumn("query_trigrams", search.trigrams("query"))
@@ -334,10 +337,12 @@ def find_customer_trigram(t: Tables) -> DataFrame:
 
 @query
 def find_customer_fuzzy(t: Tables) -> DataFrame:
-    items = _part_names(t)
-    asked = items.select(F.translate("customer_name", "aeiou", "eioua").alias("query"))
-    figures = items.select("customer_id", "year_sales", "last_invoice")
-    return search.search_customer(_dim_of(items), figures, asked)
+    """Names as they are misheard, other vowels in all words, against all customers' names."""
+    names = _word_names(t)
+    asked = names.select(F.translate("item", "aeiou", "eioua").alias("query")).distinct()
+    figures = names.select("customer_id", "year_sales", "last_invoice")
+    found = search.search_customer(_dim_of(names), figures, asked)
+    return found.select("query", "customer_id", "customer_name", F.col("sales_12m").cast("double").alias("sales_12m"), F.col("name_similarity").cast("double").alias("name_similarity"), "note")
 
 
 @query

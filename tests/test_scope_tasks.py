@@ -5,6 +5,8 @@ import json
 import tempfile
 from functools import partial
 
+import random
+
 import pytest
 from conftest import SF_DIR
 from helpers import customers, ids, make, only, rows
@@ -404,3 +406,20 @@ def test_tools_prune_months(spark, tables):
     for df in (b.recent_activity(), b.open_quotes(), b.cancelled_quotes(), b.going_quiet(), b.reorder_due(), b.stale_quotes()):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert any("fact_month" in x for x in plan.split("PartitionFilters")[1:]), plan[:500]
+
+
+def test_people_are_found_by_all_words_as_in_a_scan(spark):
+    rng = random.Random(4)
+    first, last = ["Ann", "Anna", "Bo", "Čeněk", "Dee Dee", "X", ""], ["Lee", "Leeds", "O'Hara", "Smith", "Smithson", "Q"]
+    people = [(f"u{i}@{rng.choice(['a', 'mail', 'x'])}.example", None if i % 97 == 0 else f"{rng.choice(first)} {rng.choice(last)}{i % 1000}") for i in range(10_000)]
+    asked = ["ann", "lee12", "smith 7", "o'hara999", "x q", "u12@", "u1234@a", "mail u55", "z", "nobody", "dee dee lee3", "ČENĚK leeds5", "7 7 7", "@", "u9999@"]
+    who = spark.createDataFrame([("me@example.com", w) for w in asked], "login string, who string")
+    found = tasks._resolve_people(who, spark.createDataFrame(people, "login string, name string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    theirs = {}
+    for w in asked:
+        fits = [(p, n) for p, n in people if all(x in f"{(n or '').lower()}\n{p}" for x in w.lower().split(" ") if x)]
+        if fits:
+            theirs[w] = (len(fits), min(p for p, _ in fits))
+    assert {r["who"]: (r["hits"], r["person"]) for r in found.collect()} == theirs and len(theirs) > 10

@@ -7,6 +7,7 @@ from helpers import make, only, rows
 from pyspark.sql import functions as F
 
 from bookwise import constants as K
+from bookwise.functions.contains import matching_literal, matching_wildcards, pattern, piece_index
 from bookwise.functions.names import first_word, phonetic_key, trigrams
 from bookwise.operators import customer, search, views
 
@@ -59,14 +60,50 @@ def test_lookup_by_id(spark, dim, figures):
     assert found["customer_name"] == "BUIST INCORPORATED" and found["note"] is None and found["sales_12m"] == 0
 
 
-def test_exact_path_equals_a_pattern_scan(spark, dim, figures):
-    queries = ["pipe", "DELTA", "oak_ridge", "70%", "a", "ab", "", "%", "_", "k%supply", "'", "valley", "Mixed Case Piping and more", "é", "t b", "back\\\\slash", "sl\\ash"]
-    ours = set(rows(search._exact_matches(dim, search._asked(ask(spark, *queries)))))
-    names = dim.select("customer_id", "customer_name").crossJoin(ask(spark, *queries).withColumn("p", search._pattern()))
-    theirs = names.where(F.expr("customer_name ILIKE p OR customer_id = query")).select("query", "customer_id")
+QUERIES = ["pipe", "DELTA", "oak_ridge", "70%", "a", "ab", "", "%", "_", "____________________", "k%supply", "'", "valley", "Mixed Case Piping and more", "é", "t b", "back\\\\slash", "sl\\ash", "E", "%a%", "_&_", "104"]
+
+
+def test_contained_queries_equal_a_pattern_scan(spark, dim):
+    index = piece_index(dim, "customer_name")
+    asked = search._asked(ask(spark, *QUERIES))
+    ours = set(rows(matching_literal(index, asked).unionByName(matching_wildcards(index, asked)).distinct()))
+    theirs = index.texts.crossJoin(asked.withColumn("p", pattern())).where(F.expr("text ILIKE p")).select("query", "text")
     assert ours == set(rows(theirs)) and len(ours) > 60
 
 
+def test_exact_path_equals_a_pattern_scan(spark, dim, figures):
+    asked = search._asked(ask(spark, *QUERIES))
+    ours = set(rows(search.find_customer(dim, figures, asked).select("query", "customer_id")))
+    names = customer.with_figures(dim, figures).crossJoin(asked.withColumn("p", pattern())).where(F.expr("customer_name ILIKE p OR customer_id = query"))
+    found = {}
+    for r in names.collect():
+        found.setdefault(r["query"], []).append((-r["sales_12m"], r["customer_name"].encode(), r["customer_id"]))
+    theirs = {(q, x[2]) for q, v in found.items() for x in sorted(v)[: K.EXACT_ROWS]}
+    assert ours == theirs and {q for q, _ in ours} >= {"", "%", "_", "a", "104"} and len(ours) > 60
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_search_is_a_product(spark, dim, figures):
+    places = spark.createDataFrame([("S%M", None), ("%", "100"), ("nj", None)], "place string, exclude_customer_id string")
+    plans = [
+        plan_of(search.find_customer(dim, figures, ask(spark, *QUERIES))), plan_of(search.fuzzy_customer(dim, figures, ask(spark, "suply", "Boost"))),
+        plan_of(customer.customers_near(dim, figures, places, 5)),
+    ]
+    assert not [p for p in plans if "CartesianProduct" in p or "NestedLoop" in p]
+
+
+def test_common_sounds_are_spread(spark, monkeypatch):
+    names = spark.createDataFrame([(str(i), "Boost" if i % 2 else "") for i in range(60)] + [("x", None)], "customer_id string, customer_name string")
+    monkeypatch.setattr(search, "SOUND_BLOCK", 7)
+    found = search._sounding_alike(names, spark.createDataFrame([("buist here",), ("",), ("zzz",)], "query string"))
+    ours = {(r[0], r[1]) for r in found.collect()}
+    assert ours == {("buist here", str(i)) for i in range(1, 60, 2)} | {("", str(i)) for i in range(0, 60, 2)}
+    assert "hashpartitioning(sound" in plan_of(found) and "block" in plan_of(found)
+
+
 def test_trigram_arm_equals_brute_force(spark, dim):
     queries = ["Buist Inc", "lake suply", "greenvalley", "mech", "oak ridge", "delta proces est", "pip", "north"]
     asked = ask(spark, *queries).withColumn("query_trigrams", trigrams("query"))
