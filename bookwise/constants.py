@@ -61,6 +61,7 @@ TOP_GROUPS = 12
 TOP_ITEMS = 4
 TASK_FEED_ROWS = 200
 SELECT_ROWS = 200
+SELECT_SECONDS = 30
 SECTION_ROWS = 8
 GAP_SECTION_ROWS = 12
 VOCABULARY_NAMES = 250

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import re
+import threading
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
@@ -86,12 +90,40 @@ def _names_outside(session: SparkSession, sql: str, views: set[str]) -> str | No
     return next((name for name in used if name.lower() not in named), None)
 
 
-def guarded_select(session: SparkSession, sql: str, max_rows: int = K.SELECT_ROWS) -> DataFrame:
-    """Run one SELECT in an isolated session, 200 rows at most.
+@contextmanager
+def time_limit(session: SparkSession, seconds: float) -> Iterator[Callable[[], bool]]:
+    """Cancel the Spark jobs of the block once it has run for ``seconds``; yields whether that happened.
+
+    Every job the block starts carries a tag of its own. From the limit on jobs of
+    that tag are cancelled until the block ends, so none that starts late stays behind.
+    """
+    context, tag, done, late = session.sparkContext, f"statement-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def watch() -> None:
+        if not done.wait(seconds):
+            late.set()
+            while True:
+                context.cancelJobsWithTag(tag)
+                if done.wait(0.1):
+                    break
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    context.addJobTag(tag)
+    watcher.start()
+    try:
+        yield late.is_set
+    finally:
+        done.set()
+        watcher.join()
+        context.removeJobTag(tag)
+
+
+def guarded_select(session: SparkSession, sql: str, max_rows: int = K.SELECT_ROWS, seconds: float = K.SELECT_SECONDS) -> DataFrame:
+    """Run one SELECT in an isolated session, 200 rows and 30 seconds at most.
 
     The statement runs here, inside the guard: its few rows come back as a local
-    table. A refused statement and one that fails, at analysis or while it runs,
-    come back as a row with ``error``, not as an exception.
+    table. A refused statement, one that fails, at analysis or while it runs, and one
+    that takes too long come back as a row with ``error``, not as an exception.
     """
 
     def failed(text: str) -> DataFrame:
@@ -105,6 +137,7 @@ def guarded_select(session: SparkSession, sql: str, max_rows: int = K.SELECT_ROW
         return failed(reason)
     if not re.search(r"\blimit\s+\d+\s*$", text, re.IGNORECASE):
         text = f"{text}\nLIMIT {max_rows}"
+    expired = lambda: False
     try:
         runnable = _spark_text(text)
         known = {t.name.lower() for t in session.catalog.listTables() if t.isTemporary}
@@ -112,6 +145,10 @@ def guarded_select(session: SparkSession, sql: str, max_rows: int = K.SELECT_ROW
         if outside is not None:
             return failed(f"'{outside}' is not allowed; only {K.VIEW_SCHEMA}.* views (or CTEs) may be queried")
         answer = session.sql(runnable).limit(max_rows)
-        return session.createDataFrame(answer.collect(), answer.schema)
+        with time_limit(session, seconds) as expired:
+            found = answer.collect()
+        return session.createDataFrame(found, answer.schema)
     except (PySparkException, Py4JJavaError) as error:
+        if expired():
+            return failed(f"the statement took more than {seconds:g} seconds")
         return failed(str(error).strip().split("\n\tat ")[0])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -52,11 +53,65 @@ def load(spark: SparkSession, root: str) -> Tables:
     return Tables(**{name: partial(read_table, spark, root, name) for name in schemas.TABLES})
 
 
+#: Names the version of a table that readers see.
+POINTER = "_current"
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def current_path(spark: SparkSession, root: str, name: str) -> str:
+    """The directory of the table's current version; the table's own directory where it has no versions."""
+    table = f"{root.rstrip('/')}/{name}"
+    pointer, files = _files(spark, f"{table}/{POINTER}")
+    if not files.exists(pointer):
+        return table
+    stream = files.open(pointer)
+    try:
+        return f"{table}/{bytes(stream.readAllBytes()).decode()}"
+    finally:
+        stream.close()
+
+
+def _point_to(spark: SparkSession, root: str, name: str, version: str) -> None:
+    """Switch readers to ``version``: one rename, which replaces the pointer whole or not at all."""
+    target, files = _files(spark, f"{root.rstrip('/')}/{name}/{POINTER}")
+    fresh, _ = _files(spark, f"{root.rstrip('/')}/{name}/_pointer-{uuid.uuid4().hex}")
+    stream = files.create(fresh, True)
+    try:
+        stream.write(bytearray(version.encode()))
+    finally:
+        stream.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    context = hadoop.FileContext.getFileContext(files.makeQualified(target).toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    context.rename(files.makeQualified(fresh), files.makeQualified(target), options)
+
+
+def drop_old_versions(spark: SparkSession, root: str, name: str, keep: int = 2) -> int:
+    """Delete what readers no longer need: all versions but the current one and the ``keep`` - 1 newest others.
+
+    Run it when every reader of older versions is done. Leftovers of a replace that
+    failed are versions as well and go the same way.
+    """
+    table, files = _files(spark, f"{root.rstrip('/')}/{name}")
+    current = current_path(spark, root, name).rsplit("/", 1)[1]
+    found = [s for s in files.listStatus(table) if s.isDirectory() and s.getPath().getName().startswith("version-")]
+    others = sorted((s for s in found if s.getPath().getName() != current), key=lambda s: -s.getModificationTime())
+    for status in others[max(0, keep - 1) :]:
+        files.delete(status.getPath(), True)
+    return len(others[max(0, keep - 1) :])
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """One version of the table: the pointer is read once, here, so a later replace does not touch this reader."""
     schema = schemas.TABLES[name]
     if name in schemas.FACTS:
-        schema = type(schema)(schema.fields).add(MONTH, "date")
-    return spark.read.schema(schema).parquet(f"{root.rstrip('/')}/{name}")
+        schema = type(schema)(list(schema.fields)).add(MONTH, "date")
+    return spark.read.schema(schema).parquet(current_path(spark, root, name))
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
@@ -70,22 +125,29 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def replace_table(df: DataFrame, root: str, name: str, files: int | None = None) -> None:
-    """Full replace of one table, as each sync does.
+def replace_table(df: DataFrame, root: str, name: str, files: int | None = None) -> str:
+    """Full replace of one table, as each sync does; returns the new version's directory.
+
+    The new version is written beside the old ones and becomes current by one rename
+    when it is complete: readers see all of the old or all of the new table, and a
+    replace that dies leaves the old one as it was. ``drop_old_versions`` cleans up.
 
     Facts are laid out by month and, inside a month, clustered by customer, so a
     date window prunes directories and a customer filter prunes row groups. The
     line hash in the range key lets one hot customer span many files.
     """
-    path = f"{root.rstrip('/')}/{name}"
+    version = f"version-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}/{version}"
     typed = conform(df, name)
     if name not in schemas.FACTS:
-        typed.write.mode("overwrite").parquet(path)
-        return
-    dated = typed.withColumn(MONTH, F.trunc(schemas.FACTS[name], "MM"))
-    keys = [F.col(MONTH), F.col("customer_id"), F.xxhash64("order_no", "line_no", "item_id")]
-    spread = dated.repartitionByRange(*([files] if files else []), *keys)
-    spread.sortWithinPartitions(MONTH, "customer_id").write.mode("overwrite").partitionBy(MONTH).parquet(path)
+        typed.write.parquet(path)
+    else:
+        dated = typed.withColumn(MONTH, F.trunc(schemas.FACTS[name], "MM"))
+        keys = [F.col(MONTH), F.col("customer_id"), F.xxhash64("order_no", "line_no", "item_id")]
+        spread = dated.repartitionByRange(*([files] if files else []), *keys)
+        spread.sortWithinPartitions(MONTH, "customer_id").write.partitionBy(MONTH).parquet(path)
+    _point_to(df.sparkSession, root, name, version)
+    return path
 
 
 def since(fact: DataFrame, date_col: str, first_day: Column) -> DataFrame:

@@ -2,11 +2,12 @@
 
 import datetime as dt
 import json
+import os
+import random
 import tempfile
+import time
 from functools import partial
 
-import random
-
 import pytest
 from conftest import SF_DIR
 from helpers import customers, ids, make, only, rows
@@ -423,3 +424,57 @@ def test_people_are_found_by_all_words_as_in_a_scan(spark):
         if fits:
             theirs[w] = (len(fits), min(p for p, _ in fits))
     assert {r["who"]: (r["hits"], r["person"]) for r in found.collect()} == theirs and len(theirs) > 10
+
+
+def test_a_statement_over_its_time_ends_as_an_error_and_leaves_no_job(bench_of, spark):
+    b = bench_of("admin@example.com")
+    slow = "SELECT count(*) AS n FROM book.sales_line a JOIN book.sales_line c ON a.customer_id > c.customer_id OR length(a.item_desc) > length(c.item_desc) + a.line_no"
+    start = time.monotonic()
+    found = guard.guarded_select(b.session, slow, seconds=1)
+    assert only(found)["error"] == "the statement took more than 1 seconds" and time.monotonic() - start < 60
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+    assert b.run_select("SELECT count(*) AS n FROM book.customer").first()["n"] == b.customer_dim.count()
+    assert not spark.sparkContext.getJobTags()
+
+
+def test_requests_pass_once_by_event_time_and_late_ones_are_kept(spark, tables):
+    root = tempfile.mkdtemp(prefix="stream-")
+    line = {"session_login": "rep3@example.com", "created_by": "rep3@example.com", "assigned_to": "rep5@example.com", "customer_id": "12"}
+
+    def deliver(name, *sent):
+        os.makedirs(root + "/in", exist_ok=True)
+        with open(f"{root}/in/{name}.json", "w") as f:
+            f.writelines(json.dumps({**line, "request_id": i, "subject": f"{i} {name}", "sent_at": at and f"2024-06-30T{at}:00Z"}) + "\n" for i, at in sent)
+        query = stream.ingest_creates(
+            stream.request_stream(spark, root + "/in", schema=stream.TIMED_CREATE_REQUEST), tables.user_access,
+            views.erp_user(tables.erp_users), root + "/outbox", root + "/rejects", root + "/checkpoint", delay="1 hour",
+        )
+        query.awaitTermination()
+        assert query.exception() is None
+
+    deliver("a", ("r1", "10:00"), ("r2", "12:00"), ("r2", "12:00"), (None, "11:30"))
+    deliver("b", ("r2", "12:00"), ("r3", "11:30"), ("r4", "10:30"))  # the watermark is at 11:00
+    deliver("c", ("r3", "11:45"), ("r1", "10:00"), ("r5", "15:00"), ("r6", None))
+    deliver("d", ("r2", "12:00"), ("r7", "14:30"))
+    assert sorted(r["subject"].split(" ")[0] for r in spark.read.parquet(root + "/outbox").collect()) == ["None", "r1", "r2", "r3", "r5", "r7"]
+    late = [(r["request_id"], r["reasons"]) for r in spark.read.parquet(root + "/rejects").collect()]
+    assert sorted(x for x, _ in late) == ["r1", "r2", "r4", "r6"] and all(y == [stream.TOO_LATE] for _, y in late)
+
+
+def test_a_replace_is_seen_whole_or_not_at_all(spark, tables):
+    root, first, second = tempfile.mkdtemp(prefix="erp-"), tables.customers.limit(5), tables.customers.limit(9)
+    old = source.replace_table(first, root, "customers")
+    before = source.load(spark, root).customers
+    new = source.replace_table(second, root, "customers")
+    assert old != new and before.count() == 5 and source.load(spark, root).customers.count() == 9
+
+    broken = first.withColumn("customer_name", F.when(F.rand() >= 0, F.raise_error(F.lit("lost"))).otherwise(F.col("customer_name")))
+    with pytest.raises(Exception, match="lost"):
+        source.replace_table(broken, root, "customers")
+    assert source.current_path(spark, root, "customers") == new and source.load(spark, root).customers.count() == 9
+    assert source.drop_old_versions(spark, root, "customers", keep=1) >= 1
+    assert source.load(spark, root).customers.count() == 9 and not os.path.exists(old)
+
+    # a table written without versions is read as it is
+    tables.customers.limit(3).write.parquet(root + "/plain/customers")
+    assert source.load(spark, root + "/plain").customers.count() == 3
