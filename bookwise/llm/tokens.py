@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +16,9 @@ MODEL = "byte_bpe_50k.json"
 LIMIT = 1024
 #: Bytes of text encoded together, and the length beyond which a text is cut at safe boundaries.
 BATCH_BYTES = 1 << 20
+#: tiktoken's pattern search gives up on some longer runs of white space; texts that have one go to the tokenizers library.
+LONGEST_BLANK = 100_000
+_LONG_BLANK = re.compile(rf"\s{{{LONGEST_BLANK}}}")
 #: The split pattern of byte-level BPE files that do not state their own (a fixed value of that format).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -72,28 +76,45 @@ def load_encoder(path: str):
 
         ranks, specials = found
         encoding = tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=specials)
-        return (lambda texts: [encoding.encode_to_numpy(t, allowed_special="all") for t in texts]), True
+
+        def encode(text: str):
+            if len(text) >= LONGEST_BLANK and _LONG_BLANK.search(text):
+                return library_encoder(path)([text])[0]
+            return encoding.encode_to_numpy(text, allowed_special="all")
+
+        return (lambda texts: [encode(t) for t in texts]), True
+    return library_encoder(path), False
+
+
+@functools.lru_cache(maxsize=2)
+def library_encoder(path: str):
+    """The tokenizers library over its own file: a function from a list of texts to a list of id lists."""
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
     own.no_padding()
     own.no_truncation()
-    return (lambda texts: [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]), False
+    return lambda texts: [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+
+
+def byte_length(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
 
 
 def safe_parts(text: str, limit: int = BATCH_BYTES) -> list[str]:
-    """``text`` in parts of about ``limit`` characters, cut only before a space between two other characters.
+    """``text`` in parts of about ``limit`` bytes, cut only before a space between two other characters.
 
     Byte-level BPE starts a new word at such a space whatever stands around it, so
     the parts' tokens are the text's tokens. Without such a space there is no cut.
     """
-    parts, start, at = [], 0, limit
+    step = limit if text.isascii() else max(1, limit // 4)  # characters that surely have no more bytes
+    parts, start, at = [], 0, step
     while 0 < (at := text.find(" ", at)) < len(text) - 1:
         if text[at - 1].isspace() or text[at + 1].isspace():
             at += 1
             continue
         parts.append(text[start:at])
-        start, at = at, at + limit
+        start, at = at, at + step
     return [*parts, text[start:]]
 
 
@@ -111,10 +132,10 @@ def encode_all(path: str, texts: list[str], limit: int = BATCH_BYTES) -> Iterato
 
     first = 0
     for i, text in enumerate(texts):
-        for part in safe_parts(text, limit) if cuttable and len(text) > limit else [text]:
+        for part in safe_parts(text, limit) if cuttable and byte_length(text) > limit else [text]:
             waiting.append(part)
             owners.append(i - first)
-            size += len(part)
+            size += byte_length(part)
         if size >= limit or i == len(texts) - 1:
             flush()
             yield from done
@@ -142,7 +163,7 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", batch_bytes
             table_ = pa.Table.from_batches([batch])
             texts = [t or "" for t in table_.column(text_col).to_pylist()]
             tokens = [sum(map(len, parts)) for parts in encode_all(path, texts, batch_bytes)]
-            sizes = [len(t.encode()) for t in texts]
+            sizes = [byte_length(t) for t in texts]
             out = table_.select(others)
             out = out.append_column("n_bytes", pa.array(sizes, pa.int64())).append_column("n_tokens", pa.array(tokens, pa.int64()))
             yield from out.to_batches()

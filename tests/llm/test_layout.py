@@ -258,6 +258,26 @@ ODD = [
 ]
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\t", " \n\t\r\n", "a", "é"])
+def test_very_long_runs_equal_the_library(run):
+    n = 1_200_000 // len(run)
+    texts = [run * n, "word" + run * n + "word"]
+    encode, _ = tokens.load_encoder(tokens.tokenizer_path())
+    for text, ids in zip(texts, encode(texts)):
+        assert list(ids) == tokens.library_encoder(tokens.tokenizer_path())([text])[0]
+
+
+def test_batches_and_parts_are_bounded_by_bytes(monkeypatch):
+    path, sizes = tokens.tokenizer_path(), []
+    encode, cuttable = tokens.load_encoder(path)
+    monkeypatch.setattr(tokens, "load_encoder", lambda p: ((lambda texts: sizes.append(sum(len(t.encode()) for t in texts)) or encode(texts)), cuttable))
+    texts = ["漢字 " * 2000, "漢字かな" * 30, "short", "é à " * 3000] * 3
+    ours = [sum(map(len, parts)) for parts in tokens.encode_all(path, texts, 4096)]
+    assert ours == [len(encode([t])[0]) for t in texts]
+    assert max(len(p.encode()) for t in texts for p in tokens.safe_parts(t, 4096)) <= 4096 + 16
+    assert max(sizes[1:]) <= 18_000 + 4096
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=80))
 def test_fast_encoder_equals_the_library(text):
