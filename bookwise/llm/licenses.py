@@ -113,7 +113,10 @@ def _matches(texts: DataFrame, key: list[str], threshold: float) -> DataFrame:
     spark = texts.sparkSession
     idf, unknown, vectors = weights()
     known = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
-    model = F.broadcast(spark.createDataFrame(vectors, "template int, license string, term string, weight double"))
+    by_term: dict[str, list] = {}
+    for template, license_, term, weight in vectors:
+        by_term.setdefault(term, []).append((template, license_, weight))
+    model = F.broadcast(spark.createDataFrame(list(by_term.items()), "term string, templates array<struct<template:int,license:string,weight:double>>"))
     hint = r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, anchors(threshold))) + r")(?![a-z0-9])"
     plain = texts.where(F.lower("body").rlike(hint)).select(*key, "whole", F.lower(F.regexp_replace("body", TAG, "\n")).alias("plain"))
     split = plain.withColumn("paragraphs", F.split("plain", GAP))
@@ -127,13 +130,20 @@ def _matches(texts: DataFrame, key: list[str], threshold: float) -> DataFrame:
     hit = split.select(*key, F.explode(F.filter(F.array_distinct(units), lambda b: b.rlike(hint))).alias("block"))
     # equal blocks of one text count once; a block is known by its hash from here on
     terms = hit.select(*key, F.xxhash64("block").alias("block"), F.explode(F.regexp_extract_all("block", F.lit(TERM), F.lit(0))).alias("term"))
-    counted = terms.groupBy(*key, "block", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # one exchange brings a block's terms together; counts, norm and products follow in the same tasks
+    unit = [*key, "block"]
+    counted = terms.repartition(*unit).groupBy(*unit, "term").agg(F.count(F.lit(1)).alias("tf"))
     # a block that occurs k times has k times the counts: the cosine is the same
     valued = counted.join(known, "term", "left").withColumn("value", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
-    norms = valued.groupBy(*key, "block").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    dots = valued.join(model, "term").groupBy(*key, "block", "template", "license").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
-    same = [dots[k].eqNullSafe(norms[k]) for k in (*key, "block")]
-    scored = dots.join(norms, same).select(*[dots[k] for k in key], "template", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity"))
+    # template -1 stands for the squared norm
+    square = F.struct(F.lit(-1).alias("template"), F.lit(None).cast("string").alias("license"), F.col("value").alias("weight"))
+    parts = F.concat(F.array(square), F.coalesce("templates", F.array().cast("array<struct<template:int,license:string,weight:double>>")))
+    summed = valued.join(model, "term", "left").select(*unit, "value", F.inline(parts)).groupBy(*unit, "template", "license").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
+    # at most one row per template
+    norm = F.max(F.when(F.col("template") == -1, F.sqrt("dot"))).alias("norm")
+    dots = F.collect_list(F.when(F.col("template") >= 0, F.struct("template", "license", "dot"))).alias("dots")
+    scored = summed.groupBy(*unit).agg(norm, dots).select(*key, "norm", F.inline("dots"))
+    scored = scored.select(*key, "template", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity"))
     good = scored.where(F.col("similarity") >= threshold)
     best = F.max(F.struct("similarity", (-F.col("template")).alias("low"), "license")).alias("best")
     return good.groupBy(*key).agg(best).select(*key, "best.license", "best.similarity")
@@ -171,7 +181,9 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.max(F.struct("depth", "above", "dir_license", "dir_similarity")).alias("near")
     )
     nearest = nearest.select("dir", F.col("near.above").alias("from_dir"), "near.dir_license", "near.dir_similarity")
-    out = marked.join(nearest, "dir", "left")
+    nearest = stage(nearest, "license-nearest")
+    # counted, as a host may hold any share of the files
+    out = marked.join(small(nearest, nearest.count()), "dir", "left")
     header = F.col("license").isNotNull()
     return out.select(
         "file_id", "path",

@@ -14,7 +14,7 @@ _BASE32 = " || ".join(
 
 
 def _licenses() -> str:
-    """The scan over whole pages: no anchors, every block is compared."""
+    """The scan over whole pages: no anchors, every line, paragraph, header and license file is compared."""
     idf, unknown, vectors = licenses.weights()
     known = ", ".join(f"('{w}', {x!r}::DOUBLE)" for w, x in idf.items())
     model = ", ".join(f"({i}, '{n}', '{w}', {x!r}::DOUBLE)" for i, n, w, x in vectors)
@@ -22,7 +22,14 @@ def _licenses() -> str:
         WITH known(term, idf) AS (VALUES {known}), model(template, license, term, weight) AS (VALUES {model}),
         p AS (SELECT row_number() OVER () AS id, page_id, nullif(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '') AS path,
                      coalesce(html, '') AS body FROM pages),
-        blocks AS (SELECT DISTINCT id, unnest(regexp_split_to_array(lower(regexp_replace(body, '<[^>]*>', chr(10), 'g')), '[\\r\\n]+')) AS block FROM p),
+        plain AS (SELECT id, path, replace(replace(lower(regexp_replace(body, '<[^>]*>', chr(10), 'g')), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS plain FROM p),
+        cut AS (SELECT *, regexp_split_to_array(plain, '\\n([^a-z0-9\\n]*\\n)+') AS paragraphs,
+                       coalesce(path LIKE '%/' OR regexp_matches(regexp_extract(path, '[^/]*$'), '{licenses.LICENSE_FILE}'), FALSE) AS whole FROM plain),
+        blocks AS (SELECT DISTINCT id, block FROM (
+                     SELECT id, unnest(string_split(plain, chr(10))) AS block FROM cut
+                     UNION ALL SELECT id, unnest(paragraphs) FROM cut
+                     UNION ALL SELECT id, array_to_string(paragraphs[:k], chr(10)) FROM cut, (SELECT unnest(range(2, {licenses.HEADER_PARAGRAPHS + 1})) AS k) WHERE len(paragraphs) > 1
+                     UNION ALL SELECT id, plain FROM cut WHERE whole)),
         terms AS (SELECT id, block, unnest(regexp_extract_all(block, '[a-z0-9]+(?:\\.[0-9]+)*')) AS term FROM blocks),
         counted AS (SELECT id, block, term, count(*) AS tf FROM terms GROUP BY ALL),
         valued AS (SELECT c.*, tf * coalesce(idf, {unknown!r}) AS value FROM counted c LEFT JOIN known USING (term)),
@@ -35,7 +42,7 @@ def _licenses() -> str:
         marked AS (SELECT p.id, page_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, license, similarity FROM p LEFT JOIN best USING (id)),
         stated AS (SELECT dir AS above, arg_min(license, (-similarity, license)) AS dir_license, max(similarity) AS dir_similarity FROM marked
                    WHERE license IS NOT NULL AND path IS NOT NULL
-                     AND (path LIKE '%/' OR regexp_matches(regexp_extract(path, '[^/]*$'), '(?i)^(licen[cs]e|copying|notice|index)(\\.[^/]*)?$'))
+                     AND (path LIKE '%/' OR regexp_matches(regexp_extract(path, '[^/]*$'), '{licenses.LICENSE_FILE}'))
                    GROUP BY dir),
         near AS (SELECT m.id, arg_max(above, length(above)) AS from_dir, arg_max(dir_license, length(above)) AS dir_license,
                         arg_max(dir_similarity, length(above)) AS dir_similarity

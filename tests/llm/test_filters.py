@@ -3,6 +3,8 @@
 import textwrap
 import zlib
 
+from collections import Counter
+
 import duckdb
 import numpy as np
 import pytest
@@ -160,11 +162,11 @@ def wrapped(text, width=68, prefix=" * "):
     return "\n".join(prefix + line for line in textwrap.wrap(text, width))
 
 
-def test_license_files_and_wrapped_headers_are_compared_whole(spark):
+def license_cases():
     gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
     bsd = [licenses._BSD, licenses._BSD_REST]
     code = "\n\nint main(void)\n{\n    return 0;\n}\n" * 30
-    cases = [
+    return [
         ("a/x.c", "// SPDX-License-Identifier: MIT" + code, "MIT"), ("b/x.c", "# SPDX-License-Identifier: Apache-2.0\r\n" + code, "Apache-2.0"),
         ("c/x.c", "/*\n * Copyright (C) 2020 Some Body\n *\n" + wrapped(gpl.format(3)) + "\n */" + code, "GPL-3.0"), ("d/x.c", wrapped(gpl.format(2), 60, "# ") + code, "GPL-2.0"),
         ("e/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone is permitted to copy", "GPL-3.0"),
@@ -174,6 +176,25 @@ def test_license_files_and_wrapped_headers_are_compared_whole(spark):
         ("i/x.html", "<p>Licensed under the <a href='x'>Apache License</a>, Version 2.0.</p>", "Apache-2.0"),
         ("j/x.c", "// SPDX-License-Identifier: Beerware" + code, None), ("k/x.c", "the GNU General Public License" + code, None),
     ]
+
+
+def test_license_files_and_wrapped_headers_are_compared_whole(spark):
+    cases = license_cases()
     files = spark.createDataFrame([(i, path, body) for i, (path, body, _) in enumerate(cases)], FILES)
     found = {r["file_id"]: r["license"] for r in licenses.scan(files).collect()}
     assert found == {i: license for i, (_, _, license) in enumerate(cases)}
+
+
+def test_license_sql_compares_the_same_units(spark, tmp_path):
+    from bookwise.llm import oracles
+
+    rows_ = [(i, f"https://{path}", body) for i, (path, body, _) in enumerate(license_cases())]
+    rows_ += [(50, "https://e/sub/y.c", "int x;"), (51, "https://z/", "Released under the MIT License.\r\n\r\nmore"), (52, None, None), (53, "https://z/deep/er/q", "")]
+    spark.createDataFrame(rows_, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    result = con.execute(oracles.SQL["op2_license_scan"])
+    names = [d[0] for d in result.description]
+    theirs = Counter(tuple(r[names.index(c)] for c in ("page_id", "license", "similarity", "how", "from_dir")) for r in result.fetchall())
+    ours = licenses.op2_license_scan(spark, str(tmp_path)).select("page_id", "license", "similarity", "how", "from_dir").collect()
+    assert Counter(map(tuple, ours)) == theirs and sum(r["how"] == "inherited" for r in ours) >= 2
