@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,37 +39,47 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STRIPES = "lang string, prefix string, slot int, next array<string>, n array<long>"
 
 
-def tokens(texts: list[str]) -> list[bytes]:
-    """The words of all texts end to end; a break stands for the end of a piece."""
-    joined = f" {BREAK.decode()} ".join(texts).encode().translate(_FOLD)
-    return joined.replace(BREAK, b" " + BREAK + b" ").split() + [BREAK]
+def tokens(texts: list[str]) -> pa.Array:
+    """The words of all texts end to end, as bytes; a break stands for the end of a piece."""
+    joined = f" {BREAK.decode()} ".join([*texts, ""])
+    letters = np.frombuffer(joined.encode().translate(_FOLD), np.uint8)
+    blank, stop = letters == ord(" "), letters == BREAK[0]
+    first = ~blank
+    first[1:] &= blank[:-1] | stop[:-1] | stop[1:]
+    offsets = np.append(np.flatnonzero(first[~blank]), len(letters) - np.count_nonzero(blank)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(letters[~blank])])
 
 
 class Corpus:
-    """Words of a task's texts of one language as numbers; the break is number 0."""
+    """Words of a task's texts of one language; numbered, the break is number 0."""
 
     def __init__(self, lang: str):
-        self.lang, self.numbers, self.runs = lang, {BREAK: 0}, []
-        self.size = self.bytes = 0
+        self.lang, self.runs, self.size, self.bytes = lang, [pa.array([BREAK], pa.binary())], 0, 0
 
     def add(self, texts: list[str]) -> None:
-        words, numbers = tokens(texts), self.numbers
-        run = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
-        # repeated breaks say nothing
-        self.runs.append(run[np.concatenate([[True], (run[1:] != 0) | (run[:-1] != 0)])])
+        self.runs.append(tokens(texts))
         self.size += len(self.runs[-1])
-        self.bytes += sum(map(len, words))
+        self.bytes += sum(map(len, texts))
 
+    @functools.cached_property
+    def _numbered(self) -> pa.DictionaryArray:
+        return pa.concat_arrays(self.runs).dictionary_encode()
+
+    @functools.cached_property
     def ids(self) -> np.ndarray:
-        return np.concatenate([[0], *self.runs, [0]])
+        """The numbers of all words, a break at either end and no two breaks in a row."""
+        ids = np.append(self._numbered.indices.to_numpy().astype(np.int64), 0)
+        return ids[np.concatenate([[True], (ids[1:] != 0) | (ids[:-1] != 0)])]
 
+    @functools.cached_property
     def words(self) -> list[bytes]:
-        return list(self.numbers)
+        return self._numbered.dictionary.to_pylist()
 
+    @functools.cached_property
     def codes(self) -> np.ndarray:
         """A 64-bit hash of every word, different in every language."""
         seed = xxhash.xxh64_intdigest(self.lang.encode())
-        return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.numbers), np.uint64, len(self.numbers))
+        return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))
 
 
 def spots(codes: list[np.ndarray]) -> np.ndarray:
@@ -96,20 +107,20 @@ def grams(corpus: Corpus, lengths: range, known: np.ndarray | None) -> Iterator[
     all its occurrences. Longer phrases are made of frequent ones alone: all their
     runs of ``lengths[0]`` - 1 words are in the filter ``known``.
     """
-    ids, size = corpus.ids(), len(corpus.numbers)
+    ids, size = corpus.ids, len(corpus.words)
     if known is None:
         at = np.flatnonzero(ids[:-1])
         pairs, n = np.unique(ids[at] * size + ids[at + 1], return_counts=True)
         yield [pairs // size, pairs % size], n
         return
     short = lengths[0] - 1
-    codes = corpus.codes()[ids]
-    count = len(ids) - short + 1
-    windows = [codes[i : i + count] for i in range(short)]
+    codes = corpus.codes[ids]
+    n_windows = len(ids) - short + 1
+    windows = [codes[i : i + n_windows] for i in range(short)]
     bit = spots(windows)
     fits = (known[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
     for i in range(short):
-        fits &= ids[i : i + count] != 0
+        fits &= ids[i : i + n_windows] != 0
     for length in lengths:
         fits = fits[:-1] & fits[1:]
         at = np.flatnonzero(fits)
@@ -121,8 +132,7 @@ def grams(corpus: Corpus, lengths: range, known: np.ndarray | None) -> Iterator[
 
 def stripes(corpus: Corpus, columns: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
     """Counts of phrases as stripes: next words and counts under (prefix, slot)."""
-    words = corpus.words()
-    slot = (corpus.codes() % np.uint64(SLOTS)).astype(np.int64)[columns[-1]]
+    slot = (corpus.codes % np.uint64(SLOTS)).astype(np.int64)[columns[-1]]
     order = np.lexsort((columns[-1], slot, *columns[-2::-1]))
     columns, slot, n = [c[order] for c in columns], slot[order], n[order]
     new = np.ones(len(n), bool)
@@ -131,7 +141,7 @@ def stripes(corpus: Corpus, columns: list[np.ndarray], n: np.ndarray) -> pa.Reco
         new[1:] |= c[1:] != c[:-1]
     first = np.flatnonzero(new)
     offsets = pa.array(np.append(first, len(n)).astype(np.int32))
-    names = pa.array([b"" if w == BREAK else w for w in words], pa.binary()).cast(pa.string())
+    names = pa.array([b"", *corpus.words[1:]], pa.binary()).cast(pa.string())
     prefix = [names.take(pa.array(c[first])) for c in columns[:-1]]
     return pa.RecordBatch.from_arrays(
         [

@@ -73,12 +73,12 @@ def test_collocations_flush_and_merge_in_small_steps(spark, monkeypatch):
     columns, n = next(phrases.grams(corpus, range(2, 3), None))
     batch = phrases.stripes(corpus, columns, n)
     keys = list(zip(batch.column("prefix").to_pylist(), batch.column("slot").to_pylist()))
-    assert len(keys) == len(set(keys)) and sum(map(sum, batch.column("n").to_pylist())) == int((corpus.ids() != 0).sum())
+    assert len(keys) == len(set(keys)) and sum(map(sum, batch.column("n").to_pylist())) == int((corpus.ids != 0).sum())
     twice = phrases.merged([batch, batch], 1, True)
     total = defaultdict(int)
     for p, x, c in zip(*(twice.column(i).to_pylist() for i in ("prefix", "next", "n"))):
         total[p] += c if x is None else 0
-    words = Counter(corpus.words()[i].decode() for i in corpus.ids() if i)
+    words = Counter(corpus.words[i].decode() for i in corpus.ids if i)
     assert total == {w: 2 * c for w, c in words.items()}
     monkeypatch.setattr(phrases, "MERGE", 10)
     order = sorted(range(batch.num_rows), key=lambda i: keys[i])
