@@ -163,11 +163,21 @@ def mixed_documents(docs: DataFrame, n_shards: int = SHARDS, block: int = 65_536
     keys = ["doc_id", "source", "size", "text_hash"]
     known = docs.select("doc_id", "source", "text").transform(identity).select(*keys)
     places = mix(known, n_shards).where(F.size("placements") > 0).select(*keys, "twin", "placements")
-    tagged = docs.select(F.struct(*columns).alias("row"), "doc_id", "source", "text").transform(identity)
-    order = Window.partitionBy(*keys).orderBy(F.xxhash64("row"))
-    tagged = tagged.select("row", *keys, (F.row_number().over(order) - 1).alias("twin"))
+    tagged = docs.select(F.struct(*columns).alias("row"), "doc_id", "source", "text").transform(identity).select("row", *keys)
+    # only rows whose key repeats are numbered, by a sort of those alone
+    again = stage(known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys), "mix-again")
+    n_again = again.count()
+    if n_again:
+        several = small(again.withColumn("several", F.lit(True)), n_again)
+        marked = tagged.join(several, [tagged[k].eqNullSafe(several[k]) for k in keys], "left").select("row", *[tagged[k] for k in keys], "several")
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("row"))
+        twins_ = marked.where("several").select("row", *keys, (F.row_number().over(order) - 1).alias("twin"))
+        tagged = marked.where("several IS NULL").select("row", *keys, F.lit(0).alias("twin")).unionByName(twins_)
+    else:
+        tagged = tagged.withColumn("twin", F.lit(0))
     same = [tagged[k].eqNullSafe(places[k]) for k in (*keys, "twin")]
-    taken = tagged.join(places, same).select("row", F.explode("placements").alias("to"))
+    # hashed on the places, so that no side is sorted with its texts
+    taken = tagged.join(places.hint("shuffle_hash"), same).select("row", F.explode("placements").alias("to"))
     spread = taken.select("row", F.col("to.shard").alias("shard"), F.col("to.position").alias("position"))
     spread = spread.withColumn("block", F.floor(F.col("position") / block))
     return spread.repartition("shard", "block").sortWithinPartitions("shard", "position").select("row.*")

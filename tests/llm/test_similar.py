@@ -227,3 +227,25 @@ def test_pipeline_stages(spark):
     assert mixed.columns == columns and set(mixed.collect()) <= set(after)
     packed = corpus_pipeline.STAGES[4][1](spark, mixed, SF_DIR)
     assert packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
+
+
+ODD_ROWS = "doc_id long, text string, lang string, source string, n_chars long, n_words string, score string, shard string, size string, twin string"
+
+
+def test_every_stage_takes_odd_rows_and_an_empty_table(spark):
+    text = "the of and in on " * 30 + "a long enough text of its own with words that differ " * 3
+    rows = [(1, None), (2, ""), (3, " \t\n "), (4, text), (4, text), (None, text + "x"), (5, "short"), (None, None), (6, "word " * 40_000), (7, " " * 1_100_000 + "end")]
+    odd = spark.createDataFrame([(i, t, None if i == 2 else "en", None if i == 3 else "s1", 0, "a", "b", "c", "d", "e") for i, t in rows], ODD_ROWS)
+    empty = spark.createDataFrame([], ODD_ROWS)
+    for k, (name, stage_) in enumerate(corpus_pipeline.STAGES):
+        last = k == len(corpus_pipeline.STAGES) - 1
+        found = stage_(spark, odd, SF_DIR)
+        assert last or found.columns == odd.columns
+        ids = Counter(r["doc_id"] for r in found.select("doc_id").collect())
+        if name == "ngram_jaccard":
+            assert ids == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, None: 1}
+        if name == "quality_rules":
+            assert not {1, 2, 3, 5, 7} & set(ids) and ids[4] in (0, 2)
+        if last:
+            assert set(ids) == {i for i, _ in rows}
+        assert stage_(spark, empty, SF_DIR).count() == 0
