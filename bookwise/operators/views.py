@@ -122,9 +122,8 @@ def customer_pg(sales: DataFrame, as_of=None) -> DataFrame:
     goods = not_other_charge()
     recent = F.col("invoice_date") >= months_before(as_of, 12)
     lines, none = _lines(sales), F.lit(0).cast("bigint")
-    return (
-        sales.groupBy("customer_id", "product_group_id", "product_group_desc")
-        .agg(
+    return reduce_pg(
+        sales.groupBy("customer_id", "product_group_id", "product_group_desc").agg(
             F.sum(F.when(recent & goods, F.col("extended_price"))).alias("sales_12m"),
             F.sum(F.when(recent & goods, lines).otherwise(none)).alias("lines_12m"),
             F.sum(F.when(recent, lines).otherwise(none)).alias("any_lines_12m"),
@@ -134,7 +133,13 @@ def customer_pg(sales: DataFrame, as_of=None) -> DataFrame:
             F.max(F.when(goods, F.col("invoice_date"))).alias("last_invoice_date"),
             F.min("invoice_date").alias("first_line_date"),
         )
-        .repartition("customer_id")
+    )
+
+
+def reduce_pg(named: DataFrame) -> DataFrame:
+    """``customer_pg`` from its sums per customer, group and group name."""
+    return (
+        named.repartition("customer_id")
         .groupBy("customer_id", "product_group_id")
         .agg(
             F.max(F.when(F.col("lines_12m") > 0, F.col("product_group_desc"))).alias("desc_12m"),

@@ -12,16 +12,20 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from bookwise import constants as K
-from bookwise.context import Scope, Settings
+from bookwise.context import Scope, Settings, months_before
 from bookwise.functions.staging import scratch_path, stage
 from bookwise.operators import customer, guard, peers, scope, search, tasks, triggers, validate, views
+from bookwise.operators.monthly import MonthlyHistory
 from bookwise.operators.weeklist import WeekList
 from bookwise.sources import fixture, sinks
+from bookwise.sources.keyed import KeyedTable
 from bookwise.sources.tables import Tables
 
 AS_OF = fixture.AS_OF
 GAP_PCT = 10
 TOP = 10
+#: Buckets of the stored keyed tables.
+BUCKETS = 32
 _REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 ADMIN = Scope("admin@example.com", "admin", None)
@@ -508,32 +512,95 @@ def guarded_select_fails(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REGISTRY["guarded_select_fails"] = guarded_select_fails
 
 
-@query
-def upsert_by_key(t: Tables) -> DataFrame:
-    """Customer contact rows, updated by their latest quote line, whose keys are written in another case."""
+def _contacts(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Customer contact rows, and their quote lines as changes, whose keys are written in another case."""
     current = t.customers.select(
         F.concat(F.lit("c"), "customer_id").alias("key"), F.col("phys_city").alias("note"), F.lit(None).cast("string").alias("updated_by")
     )
     changes = t.open_quotes.select(F.concat(F.lit(" C"), "customer_id").alias("key"), F.col("order_no").alias("note"), "order_date")
+    return current, changes
+
+
+def _seeds(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Customers with a rep are stored; all customers are offered as seeds, twice."""
+    rows = t.customers.select("customer_id", "customer_name", F.explode(F.array(F.lit("seed two"), F.lit("seed"))).alias("origin"))
+    return t.customers.where("salesrep_id IS NOT NULL").select("customer_id", "customer_name", F.lit("stored").alias("origin")), rows
+
+
+def _renames(t: Tables) -> DataFrame:
+    """Ids move up by one million; odd ones ask for an id that is taken, every eighth for one that another asks for."""
+    key = F.col("customer_id").cast("long")
+    new = F.when(key % 2 == 1, key - 1).when(key % 8 == 0, key + 1_000_002).otherwise(key + 1_000_000)
+    return t.customers.select(F.col("customer_id").alias("old"), new.cast("string").alias("new"))
+
+
+@query
+def upsert_by_key(t: Tables) -> DataFrame:
+    """Each contact by its latest quote line."""
+    current, changes = _contacts(t)
     order = [F.col("order_date").desc(), F.col("note").desc()]
     return sinks.upsert(current, changes, ["key"], order, {"updated_by": F.lit("admin@example.com")}, fold=True)
 
 
+@query
+def keyed_upsert(t: Tables) -> DataFrame:
+    """The same on a stored table, in two changes: older quotes, then newer ones."""
+    current, changes = _contacts(t)
+    stored = KeyedTable.create(current, scratch_path(t.customers.sparkSession, "keyed"), "contacts", ["key"], BUCKETS, fold=True)
+    order = [F.col("order_date").desc(), F.col("note").desc()]
+    newer = F.coalesce(F.col("order_date") >= months_before(AS_OF, 6), F.lit(False))
+    for step in (~newer, newer):
+        stored.upsert(changes.where(step), order, {"updated_by": F.lit("admin@example.com")})
+    return stored.read()
+
+
 @query
 def seed_if_absent(t: Tables) -> DataFrame:
-    """Customers with a rep are stored; all customers are offered as seeds, twice."""
-    rows = t.customers.select("customer_id", "customer_name", F.explode(F.array(F.lit("seed two"), F.lit("seed"))).alias("origin"))
-    stored = t.customers.where("salesrep_id IS NOT NULL").select("customer_id", "customer_name", F.lit("stored").alias("origin"))
+    stored, rows = _seeds(t)
     return sinks.seed_if_absent(stored, rows, ["customer_id"])
 
 
+@query
+def keyed_seed(t: Tables) -> DataFrame:
+    """The same on a stored table, offered twice."""
+    current, rows = _seeds(t)
+    stored = KeyedTable.create(current, scratch_path(t.customers.sparkSession, "keyed"), "customers", ["customer_id"], BUCKETS)
+    for _ in range(2):
+        stored.seed(rows)
+    return stored.read()
+
+
 @query
 def key_remap(t: Tables) -> DataFrame:
-    """Ids move up by one million; odd ones ask for an id that is taken, every eighth for one that another asks for."""
-    key = F.col("customer_id").cast("long")
-    new = F.when(key % 2 == 1, key - 1).when(key % 8 == 0, key + 1_000_002).otherwise(key + 1_000_000)
-    mapping = t.customers.select(F.col("customer_id").alias("old"), new.cast("string").alias("new"))
-    return sinks.key_remap(t.customers.select("customer_id", "customer_name"), mapping, "customer_id")
+    return sinks.key_remap(t.customers.select("customer_id", "customer_name"), _renames(t), "customer_id")
+
+
+@query
+def keyed_rename(t: Tables) -> DataFrame:
+    """The same on a stored table."""
+    current = t.customers.select("customer_id", "customer_name")
+    stored = KeyedTable.create(current, scratch_path(t.customers.sparkSession, "keyed"), "customers", ["customer_id"], BUCKETS)
+    stored.rename(_renames(t))
+    return stored.read()
+
+
+def _kept_up(t: Tables) -> DataFrame:
+    """The rollup of a history that was built three months ago and refreshed since."""
+    root = scratch_path(t.invoice_sales.sparkSession, "monthly")
+    past = F.coalesce(F.col("invoice_date") < months_before(AS_OF, 3), F.lit(True))
+    history = MonthlyHistory.build(t.invoice_sales.where(past), root)
+    history.refresh(t.invoice_sales)
+    return stage(history.customer_pg(t.invoice_sales, AS_OF), "rollup-monthly")
+
+
+@query
+def monthly_pg_12m(t: Tables) -> DataFrame:
+    return views.pg_12m(_kept_up(t))
+
+
+@query
+def monthly_pg_ltd(t: Tables) -> DataFrame:
+    return views.pg_ltd(_kept_up(t))
 
 
 @query

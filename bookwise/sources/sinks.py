@@ -92,7 +92,7 @@ def append_outbox(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def _folded(keys: list[str], fold: bool, df: DataFrame) -> DataFrame:
+def folded(keys: list[str], fold: bool, df: DataFrame) -> DataFrame:
     """Keys as stored: lower case without outer blanks, if they are folded."""
     return df.withColumns({k: F.lower(F.trim(k)) for k in keys}) if fold else df
 
@@ -111,8 +111,8 @@ def upsert(
     """
     if fold:
         everything = [F.col(c) for c in current.columns]
-        current = top_rows(_folded(keys, True, current), keys, everything, 1)
-    latest = top_rows(_folded(keys, fold, changes), keys, order, 1).withColumns(stamps).select(*current.columns)
+        current = top_rows(folded(keys, True, current), keys, everything, 1)
+    latest = top_rows(folded(keys, fold, changes), keys, order, 1).withColumns(stamps).select(*current.columns)
     kept = current.join(latest.select(*keys), keys, "left_anti")
     return kept.select(*current.columns).unionByName(latest)
 

@@ -57,28 +57,34 @@ def load(spark: SparkSession, root: str) -> Tables:
 POINTER = "_current"
 
 
-def _files(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The path with the file system it lies in."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def current_path(spark: SparkSession, root: str, name: str) -> str:
-    """The directory of the table's current version; the table's own directory where it has no versions."""
-    table = f"{root.rstrip('/')}/{name}"
-    pointer, files = _files(spark, f"{table}/{POINTER}")
+def pointed(spark: SparkSession, root: str, name: str) -> str | None:
+    """What the table's pointer says; None without a pointer."""
+    pointer, files = file_system(spark, f"{root.rstrip('/')}/{name}/{POINTER}")
     if not files.exists(pointer):
-        return table
+        return None
     stream = files.open(pointer)
     try:
-        return f"{table}/{bytes(stream.readAllBytes()).decode()}"
+        return bytes(stream.readAllBytes()).decode()
     finally:
         stream.close()
 
 
-def _point_to(spark: SparkSession, root: str, name: str, version: str) -> None:
+def current_path(spark: SparkSession, root: str, name: str) -> str:
+    """The directory of the table's current version; the table's own directory where it has no versions."""
+    table, version = f"{root.rstrip('/')}/{name}", pointed(spark, root, name)
+    return table if version is None else f"{table}/{version}"
+
+
+def point_to(spark: SparkSession, root: str, name: str, version: str) -> None:
     """Switch readers to ``version``: one rename, which replaces the pointer whole or not at all."""
-    target, files = _files(spark, f"{root.rstrip('/')}/{name}/{POINTER}")
-    fresh, _ = _files(spark, f"{root.rstrip('/')}/{name}/_pointer-{uuid.uuid4().hex}")
+    target, files = file_system(spark, f"{root.rstrip('/')}/{name}/{POINTER}")
+    fresh, _ = file_system(spark, f"{root.rstrip('/')}/{name}/_pointer-{uuid.uuid4().hex}")
     stream = files.create(fresh, True)
     try:
         stream.write(bytearray(version.encode()))
@@ -97,7 +103,7 @@ def drop_old_versions(spark: SparkSession, root: str, name: str, keep: int = 2)
     Run it when every reader of older versions is done. Leftovers of a replace that
     failed are versions as well and go the same way.
     """
-    table, files = _files(spark, f"{root.rstrip('/')}/{name}")
+    table, files = file_system(spark, f"{root.rstrip('/')}/{name}")
     current = current_path(spark, root, name).rsplit("/", 1)[1]
     found = [s for s in files.listStatus(table) if s.isDirectory() and s.getPath().getName().startswith("version-")]
     others = sorted((s for s in found if s.getPath().getName() != current), key=lambda s: -s.getModificationTime())
@@ -146,7 +152,7 @@ def replace_table(df: DataFrame, root: str, name: str, files: int | None = None)
         keys = [F.col(MONTH), F.col("customer_id"), F.xxhash64("order_no", "line_no", "item_id")]
         spread = dated.repartitionByRange(*([files] if files else []), *keys)
         spread.sortWithinPartitions(MONTH, "customer_id").write.partitionBy(MONTH).parquet(path)
-    _point_to(df.sparkSession, root, name, version)
+    point_to(df.sparkSession, root, name, version)
     return path
 
 
