@@ -24,6 +24,8 @@ LABELLED = 2048
 NEIGHBOURS = 15
 #: Documents multiplied with the labelled vectors at once.
 BLOCK = 256
+#: Steps to 1 a cosine is rounded to before neighbours are compared.
+GRID = 1 << 16
 
 
 def held_out(doc_id: Column) -> Column:
@@ -75,12 +77,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = LABELLED) ->
     """(doc_id, quality, text) of at most ``most`` labelled documents outside the held-out third.
 
     A document with several labels takes part with their mean, rounded; labels
-    other than 0 and 1 and labels without a document do not take part.
+    other than 0 and 1 and labels without a document do not take part. Of several
+    rows of an id the text with the smallest hash takes part, then the one that sorts
+    first, so the sample does not depend on how the table is laid out.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("quality"))
     first = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").dropDuplicates(["doc_id"])
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select("doc_id", F.struct(F.xxhash64(text).alias("hash"), text.alias("text")).alias("one")).join(F.broadcast(first), "doc_id")
+    return found.groupBy("doc_id", "quality").agg(F.min("one").alias("one")).select("doc_id", "quality", "one.text")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
@@ -120,16 +126,23 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 def vote(rows: np.ndarray, model: dict[str, np.ndarray], neighbours: int = NEIGHBOURS) -> np.ndarray:
     """Share of label 1 among the nearest labelled vectors, weighted by squared positive cosine.
 
-    Without similar neighbours (an empty text) the share of label 1 in the sample;
-    without a sample 0.5.
+    Cosines are rounded to a grid and ties go to the vector that comes first, the one
+    of the smaller doc_id. Without similar neighbours (an empty text) the share of
+    label 1 in the sample; without a sample 0.5.
     """
     votes = model["votes"]
     if not len(votes):
         return np.full(len(rows), 0.5)
-    similar = _unit(rows @ model["project"]) @ model["vectors"].T
     k = min(neighbours, len(votes))
-    nearest = np.argpartition(-similar, k - 1, axis=1)[:, :k]
-    weight = np.square(np.maximum(np.take_along_axis(similar, nearest, 1), 0)).astype(np.float64)
+    # a block of one size whatever the number of rows: products are summed alike
+    block = np.zeros((max(BLOCK, len(rows)), rows.shape[1]), np.float32)
+    block[: len(rows)] = rows
+    similar = (_unit(block @ model["project"]) @ model["vectors"].T)[: len(rows)]
+    steps = np.rint(similar * GRID).astype(np.int64)
+    # one number tells nearness and place, so no two are equal
+    place = steps * len(votes) - np.arange(len(votes))
+    nearest = np.sort(np.argpartition(-place, k - 1, axis=1)[:, :k], axis=1)
+    weight = np.square(np.maximum(np.take_along_axis(steps, nearest, 1), 0) / GRID)
     total = weight.sum(1)
     return np.where(total > 1e-9, (weight * votes[nearest]).sum(1) / np.maximum(total, 1e-9), votes.mean())
 
@@ -153,7 +166,8 @@ def keep(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
 def classify(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """``docs`` without text, with ``score`` (0 to 1) and ``predicted``; every whole text is scored.
 
-    The text alone decides: a null text is an empty one, equal texts score alike.
+    The text alone decides: a null text is an empty one, equal texts score alike
+    (but for a cosine that lies on the border of two grid steps to the last bit).
     """
     others = [c for c in docs.columns if c != "text"]
     if clash := {"score", "predicted"} & set(others):

@@ -120,6 +120,28 @@ def test_votes_are_exact_nearest_neighbours():
     assert qc.vote(np.zeros((1, 6), np.float32), model)[0] == pytest.approx(12 / 25)
 
 
+def test_repeated_ids_give_one_model_however_they_lie(spark):
+    rows = [(i % 40, f"text {i} " + "good words here " * (i % 5) if i % 3 else "bad bad bad " * (i % 7)) for i in range(160)] + [(3, None), (3, "")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(2, 1), (None, 1)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = qc.fit(docs.repartition(1), labels)
+    other = qc.fit(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(7, "text"), labels)
+    assert all(np.array_equal(one[k], other[k]) for k in one)
+
+
+def test_equal_texts_score_alike_in_any_block():
+    rng = np.random.default_rng(2)
+    rows, known = rng.random((300, 30), np.float32), rng.random((50, 8), np.float32)
+    model = {"project": rng.random((30, 8), np.float32), "vectors": qc._unit(known), "votes": (np.arange(50) % 2).astype(np.float32)}
+    together = qc.vote(rows[:256], model)
+    assert all(qc.vote(rows[i : i + 1], model)[0] == together[i] for i in range(256))
+
+
+def test_neighbour_ties_go_to_the_first():
+    model = {"project": np.eye(2, dtype=np.float32), "vectors": np.repeat(np.float32([[1, 0]]), 6, 0), "votes": np.float32([1, 1, 1, 0, 0, 0])}
+    assert qc.vote(np.float32([[1, 0]]), model, neighbours=3)[0] == 1
+
+
 def test_odd_texts_are_scored(spark):
     docs = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "ab"), (3, "xyz " * 400_000)], DOCS)
     labels = spark.createDataFrame([(2, 1), (3, 0), (3, 1), (5, None)], "doc_id long, quality int")
