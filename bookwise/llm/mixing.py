@@ -69,8 +69,9 @@ def mix(
 ) -> DataFrame:
     """Where each unit goes: the columns of ``units`` with twin, source_size, target, copies, taken and placements.
 
-    ``units`` has ``source`` and ``size`` (words) and whatever identifies a row;
-    rows equal in all columns are told apart by ``twin``. ``placements`` is an
+    ``units`` has ``source`` and ``size`` (words) and whatever identifies a row, under
+    any names but those of the result, which are refused; rows equal in all columns
+    are told apart by ``twin``. ``placements`` is an
     array of (shard, position), one for each copy taken, empty for none.
 
     1. Every source takes each of its rows floor(target / size) times. The rest of
@@ -89,10 +90,13 @@ def mix(
     empty table gives no rows. The result depends on rows, seed and parameters alone.
     """
     spark = units.sparkSession
-    columns = units.columns
-    rows = twins(units.withColumn("size", F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("long")))
+    if clash := {"twin", "source_size", "target", "copies", "taken", "placements"} & {c.lower() for c in units.columns}:
+        raise ValueError(f"columns of the result: {sorted(clash)}")
+    sized = units.withColumn("size", F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("long"))
+    # the caller's columns travel as one, so that none of them meets a name used here
+    rows = twins(sized.select(F.struct(*[F.col(f"`{c}`") for c in units.columns]).alias("unit"), "source", "size"))
     for k, name in enumerate(("pick", "pick2")):
-        rows = rows.withColumn(name, F.xxhash64(F.lit(seed + k), *columns, "twin"))
+        rows = rows.withColumn(name, F.xxhash64(F.lit(seed + k), "unit", "twin"))
     rows = stage(rows, "mix-rows")
 
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
@@ -109,7 +113,7 @@ def mix(
     )
     sources = small(sources, len(plan))
 
-    run = rows.join(sources, _same_source("source", "of_source")).drop("of_source").withColumn("inside", F.lit(False))
+    run = rows.join(sources, _same_source("source", "of_source")).drop("of_source", "source").withColumn("inside", F.lit(False))
     for _ in range(FILLS):
         run = stage(_fill(run, len(plan)), "mix-run")
     gaps = small(_reached(run), len(plan))
@@ -123,7 +127,7 @@ def mix(
     more = (F.col("rest") > 0) & (F.col("inside") | F.coalesce(extra, F.lit(False)))
     chosen = run.join(small(near, len(plan)), "sid", "left").withColumn("copies", F.col("full") + more.cast("int"))
     chosen = stage(
-        chosen.select(*columns, "twin", "sid", "source_size", "target", "copies", "pick", "pick2"), "mix-chosen"
+        chosen.select("unit", "size", "twin", "sid", "source_size", "target", "copies", "pick", "pick2"), "mix-chosen"
     )
 
     quotas = dict(chosen.groupBy("sid").agg(F.sum("copies")).collect())
@@ -138,13 +142,14 @@ def mix(
     dealt = ranked(copies, ["sid"], ["deal", "deal2"], groups=len(plan))
     dealt = dealt.join(small(ends, len(plan)), "sid").withColumn("shard", part_of(F.col("ends"), F.col("rank"))).drop("ends", "rank")
     placed = ranked(dealt, ["shard"], ["place", "place2"], groups=n_shards, rank="position")
-    keys = [*columns, "twin", "sid", "source_size", "target", "copies"]
+    keys = ["unit", "size", "twin", "source_size", "target", "copies"]
     left_out = chosen.where(F.col("copies") == 0).select(*keys, F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("position"))
     both = placed.select(*keys, "shard", "position").unionByName(left_out)
     spot = F.when(F.col("shard").isNotNull(), F.struct("shard", "position"))
-    return both.groupBy(*keys).agg(F.sort_array(F.collect_list(spot)).alias("placements")).withColumn(
-        "taken", F.size("placements") * F.col("size")
-    ).drop("sid")
+    found = both.groupBy(*keys).agg(F.sort_array(F.collect_list(spot)).alias("placements"))
+    return found.select(
+        "unit.*", "twin", "source_size", "target", "copies", "placements", (F.size("placements") * F.col("size")).alias("taken")
+    )
 
 
 def identity(docs: DataFrame) -> DataFrame:

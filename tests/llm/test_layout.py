@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from bookwise.llm import draws, mixing, packing, sharding, tokens, warc
 
@@ -117,6 +118,20 @@ def test_mix_meets_targets_and_places_each_copy_once(spark):
     assert Counter(str(r) for r in found) == Counter(str(r) for r in again)
 
 
+def test_mix_takes_columns_of_any_name(spark):
+    names = ["sid", "rest", "copies_", "pick", "pick2", "slice", "inside", "unit", "full", "rank", "block", "miss", "a.b"]
+    units = spark.createDataFrame([(i, "ab"[i % 2], 1 + i % 7) for i in range(60)], UNITS)
+    plain = {r["doc_id"]: r["taken"] for r in mixing.mix(units, n_shards=3).collect()}
+    wide = mixing.mix(units.withColumns({n: F.lit(5) for n in names}), n_shards=3)
+    assert set(names) < set(wide.columns) and len(plain) == 60
+    found = wide.collect()
+    assert len(found) == 60 and all(r["sid"] == r["slice"] == r["a.b"] == 5 for r in found)
+    assert sum(r["copies"] for r in found) == sum(len(r["placements"]) for r in found) > 0
+    for name in ("taken", "Twin", "placements"):
+        with pytest.raises(ValueError, match="columns of the result"):
+            mixing.mix(units.withColumn(name, F.lit(1)))
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(spark.createDataFrame([], UNITS)).count() == 0
     empty = mixing.mix(spark.createDataFrame([(1, "a", 0), (2, None, None)], UNITS)).collect()
