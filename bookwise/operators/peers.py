@@ -394,32 +394,38 @@ def class_gap(
     subjects: DataFrame | None,
     min_pct: float = K.GAP_MIN_PCT,
 ) -> DataFrame:
-    """Groups the subject's market class buys and it did not; no class, no rows."""
+    """Groups the subject's market class buys and it did not; no class, no rows.
+
+    The groups of a class are put in order once, as one list; each subject walks its
+    class's list past the groups it bought and keeps the first TOOL_ROWS. Lists hold
+    product groups only, so no table of customers x groups is built, shuffled or ranked.
+    """
     me = restrict(customer_dim, subjects).where("customer_class IS NOT NULL")
     me = me.select(F.col("customer_id").alias("subject_id"), "customer_class")
-    own = restrict(pg12, subjects).select(F.col("customer_id").alias("subject_id"), "product_group_id")
-    before = restrict(ltd, subjects).select(
-        F.col("customer_id").alias("subject_id"),
-        "product_group_id",
-        "sales_ltd",
-        F.col("last_invoice_date").alias("my_last_purchase"),
-        F.lit(True).alias("bought"),
+    shown = ["product_group_id", "product_group_desc", "penetration_pct", "buyers_12m", "active_customers", "avg_sales_per_buyer"]
+    asked = penetration.where(F.col("penetration_pct") >= F.lit(str(min_pct)).cast("decimal(12,4)"))
+    entry = F.struct((-F.col("penetration_pct")).alias("o1"), F.col("product_group_id").alias("o2"), F.struct(*shown).alias("gap"))
+    listed = asked.groupBy("customer_class").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["gap"]).alias("gaps"))
+    # one row per class, staged so that its size is known before the join is planned
+    listed = stage(listed, "class-lists")
+    own = restrict(pg12, subjects).groupBy(F.col("customer_id").alias("subject_id")).agg(F.collect_set("product_group_id").alias("own"))
+    known = F.struct("product_group_id", F.struct("sales_ltd", "last_invoice_date").alias("ltd"))
+    before = (
+        restrict(ltd, subjects).where("product_group_id IS NOT NULL")
+        .groupBy(F.col("customer_id").alias("subject_id")).agg(F.map_from_entries(F.collect_list(known)).alias("before"))
     )
-    keys = ["subject_id", "product_group_id"]
-    gaps = (
-        penetration.where(F.col("penetration_pct") >= F.lit(str(min_pct)).cast("decimal(12,4)"))
-        .join(me, "customer_class")
-        .join(own, keys, "left_anti")
-        .join(before, keys, "left")
-        .select(
-            *keys, "product_group_desc", "penetration_pct", "buyers_12m", "active_customers", "avg_sales_per_buyer",
-            F.coalesce("sales_ltd", F.lit(0).cast("decimal(28,2)")).alias("my_lifetime_sales"),
-            "my_last_purchase",
-            F.when(F.col("bought").isNull(), K.NEVER_BOUGHT).otherwise(K.BOUGHT_BEFORE).alias("status"),
-        )
+    missed = F.filter("gaps", lambda g: ~F.coalesce(F.array_contains(F.col("own"), g["product_group_id"]), F.lit(False)))
+    found = (
+        me.join(listed, "customer_class").join(own, "subject_id", "left").join(before, "subject_id", "left")
+        .select("subject_id", "before", F.explode(F.slice(missed, 1, K.TOOL_ROWS)).alias("gap"))
+        .select("subject_id", "gap.*", F.try_element_at("before", F.col("gap.product_group_id")).alias("past"))
+    )
+    return found.select(
+        "subject_id", *shown,
+        F.coalesce("past.sales_ltd", F.lit(0).cast("decimal(28,2)")).alias("my_lifetime_sales"),
+        F.col("past.last_invoice_date").alias("my_last_purchase"),
+        F.when(F.col("past").isNull(), K.NEVER_BOUGHT).otherwise(K.BOUGHT_BEFORE).alias("status"),
     )
-    order = [F.col("penetration_pct").desc_nulls_first(), F.col("product_group_id").asc()]
-    return top_rows(gaps, ["subject_id"], order, K.TOOL_ROWS)
 
 
 def class_overview(penetration: DataFrame, classes: DataFrame, top: int | None = None) -> DataFrame:

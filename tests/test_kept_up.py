@@ -159,3 +159,23 @@ def test_a_refresh_reads_changed_months_alone(spark, tables):
     plan = months._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "fact_month" in plan.split("PartitionFilters: [")[1].split("]")[0]
     _same(history, facts, "2001-08-01")
+
+
+# --- plans without a hot key or a product of customers and groups --------------------
+def test_class_gap_ranks_no_table_of_customers_and_groups(spark, tables):
+    from bookwise.operators import peers
+
+    dim = views.customer_all(tables.customers, tables.salesreps)
+    pg = views.customer_pg(tables.invoice_sales, "2001-08-01")
+    found = peers.class_gap(dim, views.penetration_of(pg, dim), views.pg_12m(pg), views.pg_ltd(pg), None, 10)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "LeftAnti" not in plan and "Generate explode" in plan
+
+
+def test_tasks_of_no_customer_stay_out_of_the_name_join(spark, tables):
+    from bookwise.context import Scope
+
+    tasks = views.task(tables.activity_trans, tables.task_outbox, views.erp_user(tables.erp_users),
+                       views.customer_all(tables.customers, tables.salesreps), Scope("admin@example.com", "admin", None))
+    plan = tasks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and "isnull(" in plan
