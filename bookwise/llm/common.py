@@ -29,6 +29,25 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def frequent(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """(key): the values that 1,000 rows and one in 100,000 of the ``rows`` rows hold; at most 100,000 values, whatever the data."""
+    often = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return often.where(F.col("n") > max(1_000, rows // 100_000)).select(key)
+
+
+def lookup(df: DataFrame, other: DataFrame, key: str, often: DataFrame, how: str = "inner") -> DataFrame:
+    """``df`` joined to ``other``, which has one slim row per ``key``; the keys in ``often``, as ``frequent`` gives them, do not shuffle.
+
+    Rows of a frequent key stay where they are and meet a broadcast of at most
+    100,000 rows; all others meet by Spark's own choice. ``how`` is inner or left.
+    """
+    few = F.broadcast(often.withColumn("often", F.lit(True)))
+    marked = df.join(few, key, "left")
+    hot = F.broadcast(other.join(F.broadcast(often), key, "left_semi"))
+    rare = marked.where("often IS NULL").drop("often").join(other, key, how)
+    return rare.unionAll(marked.where("often").drop("often").join(hot, key, how))
+
+
 def twins(df: DataFrame) -> DataFrame:
     """``df`` with column ``twin``, which numbers rows that agree in every column.
 

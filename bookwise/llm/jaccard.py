@@ -6,7 +6,9 @@ the same for all sets of a size band, and the allocation decides what is indexed
 
 * Short bands have ceil((H + 1) / 2) segments. Similar sets have one segment in
   which they differ by one element at most, so each segment is indexed as it is
-  and with every one of its elements deleted.
+  and with every one of its elements deleted. Nothing is indexed that is empty:
+  where all that two sets have in common in that segment is emptiness, both hold
+  at most one element there, and all such sets are cut anew by another hash.
 * Longer bands have m > H segments. Similar sets agree in m - H segments or more.
   By cost, a set leaves out the m - H - 1 segments that most other sets share:
   empty ones first, then by how many sets hold the same value. All sets rank
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bookwise.functions.staging import stage
 from bookwise.llm.batches import give_back, numbered, slices
-from bookwise.llm.common import WORD, small, table, text_or_empty
+from bookwise.llm.common import WORD, frequent, lookup, small, table, text_or_empty
 from bookwise.llm.components import connected
 
 WIDTH = 5
@@ -43,6 +45,8 @@ PERCENT = 80
 GROWTH = 1.6
 #: Bands up to this size are indexed with one-deletion neighbourhoods.
 SHORT = 36
+#: Times a set of a short band is cut anew before it is indexed with its empty values: some 15% of the sets need each further time.
+TURNS = 16
 #: Elements per segment at the upper end of a longer band.
 PER_SEGMENT = 3
 #: Buckets up to this size give all their pairs at once.
@@ -116,19 +120,24 @@ def shingles(text: str) -> set[bytes]:
     return {b" ".join(words[i : i + WIDTH]) for i in range(len(words) - WIDTH + 1)}
 
 
-def _entries(values: np.ndarray, sizes: np.ndarray, band: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index entries of sets under one band each: (set number, signature), and how many more values each set may leave out."""
+def _entries(values: np.ndarray, sizes: np.ndarray, band: np.ndarray, ends: np.ndarray, turn: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index entries of sets under one band each: (set number, signature), and how many more values each set may leave out.
+
+    ``turn`` numbers the cuts into segments; sets of short bands with a segment of
+    one element or none get the entries of the next cut as well.
+    """
     owner = np.repeat(np.arange(len(sizes)), sizes)
     end = ends[band]
     count = segments(end)
     start = np.concatenate([[0], np.cumsum(count)])
-    where = start[owner] + ((values >> np.uint64(20)) % count[owner].astype(np.uint64)).astype(np.int64)
+    place = _mix(values + np.uint64(turn)) if turn else values
+    where = start[owner] + ((place >> np.uint64(20)) % count[owner].astype(np.uint64)).astype(np.int64)
     mixed = _mix(values)
     sums, filled = np.zeros(start[-1], np.uint64), np.bincount(where, minlength=start[-1])
     np.add.at(sums, where, mixed)
     seg_owner = np.repeat(np.arange(len(sizes)), count)
     seg = np.arange(start[-1]) - start[seg_owner]
-    tag = _mix(seg.astype(np.uint64) + (band[seg_owner].astype(np.uint64) << np.uint64(40)))
+    tag = _mix(seg.astype(np.uint64) + (np.uint64(turn) << np.uint64(32)) + (band[seg_owner].astype(np.uint64) << np.uint64(40)))
     short = end <= SHORT
     # the largest partner: 1.25 times the size, and in this band
     partner = np.minimum(end, sizes * 5 // 4)
@@ -140,9 +149,20 @@ def _entries(values: np.ndarray, sizes: np.ndarray, band: np.ndarray, ends: np.n
     keep = ~(empty & (nth < skip[seg_owner]))
     skip = skip - np.minimum(skip, np.bincount(seg_owner[empty], minlength=len(sizes)))
     part = short[owner]
+    thin = short[seg_owner] & (filled <= 1)
+    if turn < TURNS:
+        keep &= ~thin | (filled > 0)
+        part &= filled[where] > 1
     deleted = sums[where[part]] - mixed[part] + tag[where[part]]
+    who = np.concatenate([seg_owner[keep], owner[part]])
     signature = _mix(np.concatenate([(sums + tag)[keep], deleted]))
-    return np.concatenate([seg_owner[keep], owner[part]]), signature, skip
+    again = np.unique(seg_owner[thin])
+    if turn < TURNS and len(again):
+        chosen = np.zeros(len(sizes), bool)
+        chosen[again] = True
+        more, further, _ = _entries(values[chosen[owner]], sizes[again], band[again], ends, turn + 1)
+        who, signature = np.concatenate([who, again[more]]), np.concatenate([signature, further])
+    return who, signature, skip
 
 
 # A set in a blob: its node, and how many entries follow; the top bit marks the next band.
@@ -154,9 +174,10 @@ _KEPT = np.dtype([("node", "<u8"), ("sig", "<u4"), ("size", "<u4"), ("shared", "
 
 
 def _index(docs: DataFrame, parts: int) -> DataFrame:
-    """One row per document, by the part of its node (below 0), and blobs of index entries by part.
+    """One row per document, one per set by the part of its node (below 0), and blobs of index entries by part.
 
-    A task emits the entries of a set once however many copies it holds. A blob is
+    A task emits a set and its entries once however many copies it holds, and deals
+    its documents out over parts of their own, so that copies do not meet. A blob is
     the number of its sets, a _UNIT for each, then the low halves of their
     signatures; the high halves pick the part. Entries wait until FLUSH of them are
     there, so that a blob is large beside its table of sets.
@@ -187,11 +208,16 @@ def _index(docs: DataFrame, parts: int) -> DataFrame:
                 fresh = (new & ~np.isin(first, met))[pick[who]]
                 to = ((signature >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
                 waiting.append((first[pick[who]][fresh], np.full(int(fresh.sum()), later, np.uint16), to[fresh], signature.astype(np.uint32)[fresh]))
-            met = np.union1d(met, first[new])
             yield _rows(
-                part=-1 - (first % np.uint64(parts)).astype(np.int64), doc_id=part.column("doc_id"), text_key=part.column("text_key"),
-                n=size, node=first.view(np.int64), second=second.view(np.int64), skip=skips[0], skip_next=skips[1],
+                part=-1 - parts - ((first + np.arange(len(first), dtype=np.uint64)) % np.uint64(parts)).astype(np.int64),
+                doc_id=part.column("doc_id"), text_key=part.column("text_key"), n=size, node=first.view(np.int64), second=second.view(np.int64),
             )
+            new &= ~np.isin(first, met)
+            yield _rows(
+                part=-1 - (first[new] % np.uint64(parts)).astype(np.int64), n=size[new], node=first[new].view(np.int64),
+                skip=skips[0][new], skip_next=skips[1][new],
+            )
+            met = np.union1d(met, first[new])
             if sum(len(w[0]) for w in waiting) >= FLUSH:
                 yield _blobs(waiting, parts)
                 waiting, met = [], np.zeros(0, np.uint64)
@@ -252,7 +278,7 @@ def _shared(parts: int):
 
     def group(key: tuple, rows: pa.Table) -> pa.Table:
         part = key[0].as_py()
-        if part < 0:  # documents
+        if part < 0:  # documents and sets
             return rows
         give_back()
         units, lows = [], []
@@ -466,9 +492,9 @@ def link(docs: DataFrame) -> DataFrame:
     index = _index(texts, parts)
     fields = index.schema
     shared = stage(index.groupBy("part").applyInArrow(_shared(parts), fields), "jaccard-shared")
-    sets = shared.where("node IS NOT NULL").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "node", "second")
-    # documents and shared entries of a node are in the same part
-    kept = shared.groupBy("part").applyInArrow(_allocated, fields)
+    sets = shared.where("text_key IS NOT NULL").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "node", "second")
+    # a set and its shared entries are in the same part
+    kept = shared.where("text_key IS NULL").groupBy("part").applyInArrow(_allocated, fields)
     found = kept.groupBy("part").applyInArrow(_pairs, "a long, b long, n long, size long")
     found = stage(found, "jaccard-pairs")
     pairs = found.where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
@@ -510,11 +536,13 @@ def link(docs: DataFrame) -> DataFrame:
     edges = nearer
     nodes = connected(edges.unionAll(more))
 
-    placed = classes.join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = stage(classes.join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard-placed")
     smallest = placed.groupBy("component").agg(F.min("smallest").alias("component_id"))
+    large = stage(frequent(placed, "component", placed.count()), "jaccard-large")
     # equal fingerprints of different sets stay apart in ``second``; they share a component only by links
-    by_node = placed.select("node", "component").distinct().join(smallest, "component").select("node", "component_id", F.col("component").alias("root"))
-    joined = sets.join(by_node, "node", "left")
+    by_node = lookup(placed.select("node", "component").distinct(), smallest, "component", large).select("node", "component_id", F.col("component").alias("root"))
+    # a text that many rows share is one node
+    joined = lookup(sets, by_node, "node", stage(frequent(sets, "node", sets.count()), "jaccard-often"), "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", "text_key", "n_shingles", own.alias("component_id"), "node", "root")
 

@@ -125,6 +125,40 @@ def test_similar_sets_share_an_entry_neither_leaves_out(size, seed):
     assert any(entries[0][b] & entries[1][b] for b in entries[0].keys() & entries[1].keys())
 
 
+@pytest.mark.parametrize("size", [5, 7, 9, 12, 18, 30])
+def test_unrelated_short_sets_share_nothing(size):
+    """Neither an empty segment nor a deletion down to one is a value: sets without a common element have none in common."""
+    rng = np.random.default_rng(size)
+    values, sizes = rng.integers(1, 2**63, 4_000 * size, dtype=np.uint64), np.full(4_000, size)
+    ends = jaccard.bands(size)
+    for band in {int(np.searchsorted(ends, size)), int(np.searchsorted(ends, size * 5 // 4))}:
+        who, signature, _ = jaccard._entries(values, sizes, np.full(4_000, band), ends)
+        assert len(set(who.tolist())) == 4_000
+        shared = np.unique(np.unique(np.stack([who.astype(np.uint64), signature]), axis=1)[1], return_counts=True)[1]
+        assert shared.max() == 1
+
+
+def test_unrelated_short_texts_stay_apart_and_near_ones_meet(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice([9, 10, 11, 12, 13, 16, 22])))) for i in range(300)]
+    rows += [(1000 + i, t + f" end{i % 7}") for i, t in rows[:150]] + [(2000 + i, f"start{i} " + t) for i, t in rows[100:250]]
+    assert linked(spark, rows) == brute(rows)
+
+
+def test_one_text_on_many_rows(spark):
+    near = " ".join(f"n{i}" for i in range(40))
+    rows = [(10_000 - i, near) for i in range(2_500)] + [(3, near + " tail"), (2, None), (1, "other words than those up there")]
+    found = linked(spark, rows)
+    assert sum(found.values()) == 2_503
+    assert {(c, n) for (d, n, c), k in found.items() if d > 3} == {(3, 36)} and found[(3, 37, 3)] == found[(2, 0, 2)] == found[(1, 2, 1)] == 1
+
+
+def test_hubs_and_large_components(spark):
+    edges = [(9_000, i) for i in range(2_000, 4_500)] + [(i, 20_000 + i) for i in range(2_000, 4_500)] + [(9_000, 9_001), (50, 51)]
+    found = dict(tuple(r) for r in connected(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert found == {**{x: 2_000 for e in edges[:-1] for x in e}, 50: 50, 51: 50}
+
+
 def test_connected_components(spark):
     chain = [(i, i + 1) for i in range(40)]
     edges = chain + [(100, 101), (102, 101), (7, 7), (None, 3), (100, 101)]
