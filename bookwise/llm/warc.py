@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from bookwise.functions.staging import scratch_path
-from bookwise.llm.common import table
+from bookwise.functions.staging import scratch_path, stage
+from bookwise.llm.common import frequent, lookup, small, table
 
 #: Payloads of fewer bytes are always written in full.
 MIN_REVISIT_BYTES = 0
 #: WARC-Date of records whose table has no capture time.
 DATE = "1970-01-01T00:00:00Z"
 CRLF = "\r\n"
+#: Records of one payload that one copy of it serves when records are rebuilt.
+COPIES = 1_000
 _RADIX32, _BASE32 = "0123456789abcdefghijklmnopqrstuv", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -56,7 +58,8 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTE
         "page_id", "url", "address", F.octet_length("payload").cast("long").alias("n"), base32_sha1(F.col("payload")).alias("sha1")
     )
     revisit = F.coalesce((F.col("n") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull(), F.lit(False))
-    typed = described.join(first, "address").withColumn("kind", F.when(revisit, "revisit").otherwise("response"))
+    often = stage(frequent(rows.select("address"), "address", rows.count()), "warc-often")
+    typed = lookup(described, first, "address", often).withColumn("kind", F.when(revisit, "revisit").otherwise("response"))
     uuid = F.md5(F.concat_ws("|", F.col("page_id").cast("string"), "address", "url"))
     urn = F.concat(F.lit("<urn:uuid:"), *[
         x for i, (a, b) in enumerate(((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
@@ -83,24 +86,30 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTE
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """(header, payload, record, payload_bytes, sha1, verified): every record with the full payload it stands for.
 
-    Length and digests are taken of the stored bytes where they are read, so a
-    reader of those alone moves no payload.
     ``record`` is the record as it stands in a WARC file: a revisit has no body of
-    its own. ``verified`` tells whether the stored bytes still have the SHA-256
-    they are stored under and the SHA-1 the header names.
+    its own. ``payload_bytes`` and ``sha1`` are taken of the payload after the join.
+    ``verified`` tells whether that payload has the SHA-256 it is stored under and
+    the SHA-1 the header names, and whether the record has the length the header
+    announces. A payload with more than COPIES records travels once for each COPIES
+    of them, so one that a third of all records share is spread over many tasks.
     """
     headers, payloads = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
-    checked = payloads.select(
-        "address", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"),
-        (F.sha2("payload", 256) == F.col("address")).alias("sound"), base32_sha1(F.col("payload")).alias("sha1"),
-    )
+    # at most one address in COPIES records has more than one turn
+    many = headers.groupBy("address").agg(F.ceil(F.count(F.lit(1)) / COPIES).cast("int").alias("turns")).where("turns > 1")
+    many = stage(many, "warc-many")
+    turns = small(many, many.count())
+    dealt = headers.join(turns, "address", "left").withColumn("turn", F.pmod(F.xxhash64("header"), F.coalesce("turns", F.lit(1))).cast("int"))
+    copied = payloads.join(turns, "address", "left").withColumn("turn", F.explode(F.sequence(F.lit(0), F.coalesce("turns", F.lit(1)) - 1)))
     text = F.col("header").cast("string")
     body = F.when(header_field(text, "WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    named = header_field(text, "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), "sha1")
-    return headers.join(checked, "address", "left").select(
-        "header", "payload", "payload_bytes", "sha1", F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"),
-        F.coalesce(F.col("sound") & named, F.lit(False)).alias("verified"),
+    rebuilt = dealt.drop("turns").join(copied.drop("turns"), ["address", "turn"], "left").select(
+        "address", "header", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("sha1"),
+        F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"),
     )
+    named = header_field(text, "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), "sha1")
+    announced = F.octet_length("record") == F.octet_length("header") + header_field(text, "Content-Length").cast("long") + 4
+    sound = F.sha2("payload", 256) == F.col("address")
+    return rebuilt.select("header", "payload", "payload_bytes", "sha1", "record", F.coalesce(sound & named & announced, F.lit(False)).alias("verified"))
 
 
 def header_field(header: Column, name: str) -> Column:
@@ -109,10 +118,11 @@ def header_field(header: Column, name: str) -> Column:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page through the archive and back; figures come from the records read."""
+    """Every page through the archive and back; figures come from the records rebuilt, headers from the record's own bytes."""
     path = scratch_path(spark, "warc")
     write_archive(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
-    back = read_archive(spark, path).withColumn("text", F.col("header").cast("string"))
+    text = F.substring_index(F.col("record").cast("string"), CRLF * 2, 1)
+    back = read_archive(spark, path).withColumn("text", text)
     return back.select(
         header_field(F.col("text"), "X-Page-Id").cast("long").alias("page_id"),
         "payload_bytes",

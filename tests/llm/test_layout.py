@@ -248,6 +248,22 @@ def test_archive_round_trip(spark, tmp_path):
     )
 
 
+def test_payload_of_many_records_is_dealt_out(spark, tmp_path):
+    pages = spark.range(2, 3_002).selectExpr("id AS page_id", "concat('u', id) AS url", "if(id % 3 = 0, 'own ' || id, 'shared by many') AS html")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    back = warc.op8_warc(spark, str(tmp_path)).collect()
+    shared = [r for r in back if r["page_id"] % 3]
+    assert len(back) == 3_000 and all(r["verified"] for r in back) and len(shared) == 2_000
+    assert {(r["payload_bytes"], r["refers_to"]) for r in shared if r["page_id"] != 2} == {(14, 2)}
+    assert sum(r["record_type"] == "response" for r in back) == 1_001
+    path = str(tmp_path / "archive")
+    warc.write_archive(pages.cache(), path)
+    stored = spark.read.parquet(f"{path}/payloads").count()
+    records = warc.read_archive(spark, path)
+    assert stored == 1_001 and records.where("record IS NULL OR payload IS NULL").count() == 0
+    assert records.selectExpr("sum(octet_length(record) - octet_length(header) - 4)").first()[0] == 14 + sum(len(f"own {i}") for i in range(2, 3_002) if i % 3 == 0)
+
+
 def test_short_payloads_and_no_pages(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], "page_id long, url string, html string")
     warc.write_archive(pages, str(tmp_path / "a"), min_bytes=3)
