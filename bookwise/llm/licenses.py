@@ -6,7 +6,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from bookwise.functions.staging import stage
 from bookwise.llm.common import small, table
@@ -68,8 +68,6 @@ TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 TAG = r"<[^>]*>"
 #: A line end and the lines without terms after it: what parts two paragraphs.
 GAP = r"(?>\r\n|\n|\r)(?:[^a-z0-9\r\n]*+(?>\r\n|\n|\r))+"
-#: Paragraphs a header has at most that is compared as a whole; a licence file is compared as a whole at any length.
-HEADER_PARAGRAPHS = 8
 #: Files that state the license of their directory, by name; an index page (a path that ends in /) does as well.
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|index)(\.[^/]*)?$"
 
@@ -107,8 +105,10 @@ def _matches(texts: DataFrame, key: list[str], threshold: float) -> DataFrame:
     """Best template of each text: the key, license, similarity.
 
     Compared are every block between tags and line ends, every paragraph of
-    several blocks, the first paragraphs together (2, 3, ... HEADER_PARAGRAPHS),
-    and the whole text where ``whole`` is true.
+    several blocks, the first paragraphs together (2, 3, ... all of them), and the
+    whole text where ``whole`` is true. Of the first paragraphs together norm and
+    products are running sums, so their cost grows with the text and not with the
+    number of paragraphs times the text.
     """
     spark = texts.sparkSession
     idf, unknown, vectors = weights()
@@ -120,11 +120,9 @@ def _matches(texts: DataFrame, key: list[str], threshold: float) -> DataFrame:
     hint = r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, anchors(threshold))) + r")(?![a-z0-9])"
     plain = texts.where(F.lower("body").rlike(hint)).select(*key, "whole", F.lower(F.regexp_replace("body", TAG, "\n")).alias("plain"))
     split = plain.withColumn("paragraphs", F.split("plain", GAP))
-    heads = F.transform(F.sequence(F.lit(2), F.lit(HEADER_PARAGRAPHS)), lambda n: F.array_join(F.slice("paragraphs", F.lit(1), n), "\n\n"))
     units = F.concat(
         F.split("plain", r"[\r\n]+"),
         F.filter("paragraphs", lambda p: p.rlike(r"[\r\n]")),
-        F.when(F.size("paragraphs") > 1, heads).otherwise(F.array().cast("array<string>")),
         F.when(F.col("whole"), F.array("plain")).otherwise(F.array().cast("array<string>")),
     )
     hit = split.select(*key, F.explode(F.filter(F.array_distinct(units), lambda b: b.rlike(hint))).alias("block"))
@@ -144,11 +142,36 @@ def _matches(texts: DataFrame, key: list[str], threshold: float) -> DataFrame:
     dots = F.collect_list(F.when(F.col("template") >= 0, F.struct("template", "license", "dot"))).alias("dots")
     scored = summed.groupBy(*unit).agg(norm, dots).select(*key, "norm", F.inline("dots"))
     scored = scored.select(*key, "template", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity"))
-    good = scored.where(F.col("similarity") >= threshold)
+    good = scored.unionByName(_heads(split, key, known, unknown, model)).where(F.col("similarity") >= threshold)
     best = F.max(F.struct("similarity", (-F.col("template")).alias("low"), "license")).alias("best")
     return good.groupBy(*key).agg(best).select(*key, "best.license", "best.similarity")
 
 
+def _heads(split: DataFrame, key: list[str], known: DataFrame, unknown: float, model: DataFrame) -> DataFrame:
+    """Similarity of the first paragraphs of each text to the templates, where the last of them adds to the product: the key, template, license, similarity.
+
+    Where a paragraph adds nothing to a product the similarity falls, so no match is missed.
+    """
+    several = split.where(F.size("paragraphs") > 1).select(*key, F.posexplode("paragraphs").alias("k", "block"))
+    terms = several.select(*key, "k", F.explode(F.regexp_extract_all("block", F.lit(TERM), F.lit(0))).alias("term"))
+    # one exchange by text; the windows of one text are as long as that text
+    counted = terms.repartition(*key).groupBy(*key, "term", "k").agg(F.count(F.lit(1)).alias("tf"))
+    so_far = F.sum("tf").over(Window.partitionBy(*key, "term").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    valued = counted.withColumn("now", so_far).join(known, "term", "left").withColumn("idf", F.coalesce("idf", F.lit(unknown))).where("idf > 0")
+    # template -1 stands for the squared norm
+    grown = (F.col("now") * F.col("now") - (F.col("now") - F.col("tf")) * (F.col("now") - F.col("tf"))) * F.col("idf") * F.col("idf")
+    square = F.struct(F.lit(-1).alias("template"), F.lit(None).cast("string").alias("license"), grown.alias("weight"))
+    added = F.transform("templates", lambda t: F.struct(t.template.alias("template"), t.license.alias("license"), (t.weight * F.col("tf") * F.col("idf")).alias("weight")))
+    parts = F.concat(F.array(square), F.coalesce(added, F.array().cast("array<struct<template:int,license:string,weight:double>>")))
+    steps = valued.join(model, "term", "left").select(*key, "k", F.inline(parts)).groupBy(*key, "template", "license", "k").agg(F.sum("weight").alias("step"))
+    running = F.sum("step").over(Window.partitionBy(*key, "template", "license").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    # at most one row per template
+    norm = F.max(F.when(F.col("template") == -1, F.sqrt("dot"))).alias("norm")
+    dots = F.collect_list(F.when(F.col("template") >= 0, F.struct("template", "license", "dot"))).alias("dots")
+    scored = steps.withColumn("dot", running).groupBy(*key, "k").agg(norm, dots).select(*key, "norm", F.inline("dots"))
+    return scored.select(*key, "template", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity"))
+
+
 def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(file_id, path, license, similarity, how, from_dir) of every row of ``files`` (file_id, path, body).
 

@@ -28,7 +28,7 @@ def _licenses() -> str:
         blocks AS (SELECT DISTINCT id, block FROM (
                      SELECT id, unnest(string_split(plain, chr(10))) AS block FROM cut
                      UNION ALL SELECT id, unnest(paragraphs) FROM cut
-                     UNION ALL SELECT id, array_to_string(paragraphs[:k], chr(10)) FROM cut, (SELECT unnest(range(2, {licenses.HEADER_PARAGRAPHS + 1})) AS k) WHERE len(paragraphs) > 1
+                     UNION ALL SELECT id, array_to_string(paragraphs[:k], chr(10)) FROM (SELECT *, unnest(range(2, len(paragraphs) + 1)) AS k FROM cut)
                      UNION ALL SELECT id, plain FROM cut WHERE whole)),
         terms AS (SELECT id, block, unnest(regexp_extract_all(block, '[a-z0-9]+(?:\\.[0-9]+)*')) AS term FROM blocks),
         counted AS (SELECT id, block, term, count(*) AS tf FROM terms GROUP BY ALL),

@@ -187,6 +187,7 @@ def wrapped(text, width=68, prefix=" * "):
 def license_cases():
     gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
     bsd = [licenses._BSD, licenses._BSD_REST]
+    long = " ".join(bsd).split()  # some 18 paragraphs
     code = "\n\nint main(void)\n{\n    return 0;\n}\n" * 30
     return [
         ("a/x.c", "// SPDX-License-Identifier: MIT" + code, "MIT"), ("b/x.c", "# SPDX-License-Identifier: Apache-2.0\r\n" + code, "Apache-2.0"),
@@ -195,6 +196,7 @@ def license_cases():
         ("f/LICENSE", "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + "\n\n".join(wrapped(t, 70, "") for t in (licenses._MIT, licenses._MIT_REST)), "MIT"),
         ("g/x.c", "/*\n" + "\n *\n".join(wrapped(t) for t in bsd) + "\n */" + code, "BSD-2-Clause"),
         ("h/x.c", "/*\r\n" + "\n *\n".join(wrapped(t) for t in (bsd[0], licenses._BSD_3, bsd[1])).replace("\n", "\r\n") + "\r\n */" + code, "BSD-3-Clause"),
+        ("l/x.c", "/*\n" + "\n *\n".join(" * " + " ".join(long[i : i + 12]) for i in range(0, len(long), 12)) + "\n */" + code, "BSD-2-Clause"),
         ("i/x.html", "<p>Licensed under the <a href='x'>Apache License</a>, Version 2.0.</p>", "Apache-2.0"),
         ("j/x.c", "// SPDX-License-Identifier: Beerware" + code, None), ("k/x.c", "the GNU General Public License" + code, None),
     ]
