@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from bookwise.functions.staging import stage
 from bookwise.llm.common import small, table
@@ -101,6 +102,18 @@ def anchors(threshold: float = THRESHOLD) -> list[str]:
     return sorted(chosen)
 
 
+def may_match(text: Column, threshold: float = THRESHOLD) -> Column:
+    """Whether a template keeps ``threshold`` of its norm in the terms of ``text``: no part of another text can match, by the inequality of Cauchy and Schwarz."""
+    vectors = weights()[2]
+    shares: dict[str, list[float]] = {}
+    for template, _, term, weight in vectors:
+        shares.setdefault(term, [0.0] * len(TEMPLATES))[template] = weight * weight
+    held = F.array_intersect(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lit(sorted(shares)))
+    table_ = F.from_json(F.lit(json.dumps(shares)), "map<string,array<double>>")
+    mass = F.aggregate(held, F.array_repeat(F.lit(0.0), len(TEMPLATES)), lambda total, term: F.zip_with(total, F.element_at(table_, term), lambda a, b: a + b))
+    return F.array_max(mass) >= threshold * threshold - 1e-6
+
+
 def _matches(texts: DataFrame, key: list[str], threshold: float) -> DataFrame:
     """Best template of each text: the key, license, similarity.
 
@@ -142,7 +155,7 @@ def _matches(texts: DataFrame, key: list[str], threshold: float) -> DataFrame:
     dots = F.collect_list(F.when(F.col("template") >= 0, F.struct("template", "license", "dot"))).alias("dots")
     scored = summed.groupBy(*unit).agg(norm, dots).select(*key, "norm", F.inline("dots"))
     scored = scored.select(*key, "template", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity"))
-    good = scored.unionByName(_heads(split, key, known, unknown, model)).where(F.col("similarity") >= threshold)
+    good = scored.unionByName(_heads(split.where(may_match(F.col("plain"), threshold)), key, known, unknown, model)).where(F.col("similarity") >= threshold)
     best = F.max(F.struct("similarity", (-F.col("template")).alias("low"), "license")).alias("best")
     return good.groupBy(*key).agg(best).select(*key, "best.license", "best.similarity")
 

@@ -1,9 +1,10 @@
 """Quality rules, quality classifier and license scan."""
 
+import re
 import textwrap
 import zlib
 
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -209,6 +210,17 @@ def test_license_files_and_wrapped_headers_are_compared_whole(spark):
     assert found == {i: license for i, (_, _, license) in enumerate(cases)}
 
 
+def test_texts_left_out_of_the_headers_hold_no_match(spark):
+    texts = [t for _, t in licenses.TEMPLATES] + ["", "use the general work", "GNU General Public", "the version of the library and its terms", "\n\n".join(t for _, t in licenses.TEMPLATES)]
+    df = spark.createDataFrame([(i, t.lower()) for i, t in enumerate(texts)], "i long, t string")
+    held = {r["i"] for r in df.where(licenses.may_match(licenses.F.col("t"))).collect()}
+    vectors = defaultdict(dict)
+    for template, _, term, weight in licenses.weights()[2]:
+        vectors[template][term] = weight
+    most = {i: max(sum(w * w for x, w in v.items() if x in set(re.findall(licenses.TERM, t.lower()))) for v in vectors.values()) for i, t in enumerate(texts)}
+    assert held == {i for i, m in most.items() if m >= 0.49 - 1e-6} and set(range(len(licenses.TEMPLATES))) <= held and len(texts) - 5 not in held
+
+
 def test_license_sql_compares_the_same_units(spark, tmp_path):
     from bookwise.llm import oracles
 
