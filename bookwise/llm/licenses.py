@@ -131,7 +131,9 @@ def _matches(texts: DataFrame, key: list[str], threshold: float) -> DataFrame:
         by_term.setdefault(term, []).append((template, license_, weight))
     model = F.broadcast(spark.createDataFrame(list(by_term.items()), "term string, templates array<struct<template:int,license:string,weight:double>>"))
     hint = r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, anchors(threshold))) + r")(?![a-z0-9])"
-    plain = texts.where(F.lower("body").rlike(hint)).select(*key, "whole", F.lower(F.regexp_replace("body", TAG, "\n")).alias("plain"))
+    plain = texts.select(*key, "whole", F.lower(F.regexp_replace("body", TAG, "\n")).alias("plain"))
+    # what no template can match as a whole holds no part that one matches; both branches below read what is left
+    plain = stage(plain.where(may_match(F.col("plain"), threshold)), "license-texts")
     split = plain.withColumn("paragraphs", F.split("plain", GAP))
     units = F.concat(
         F.split("plain", r"[\r\n]+"),
@@ -155,7 +157,7 @@ def _matches(texts: DataFrame, key: list[str], threshold: float) -> DataFrame:
     dots = F.collect_list(F.when(F.col("template") >= 0, F.struct("template", "license", "dot"))).alias("dots")
     scored = summed.groupBy(*unit).agg(norm, dots).select(*key, "norm", F.inline("dots"))
     scored = scored.select(*key, "template", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity"))
-    good = scored.unionByName(_heads(split.where(may_match(F.col("plain"), threshold)), key, known, unknown, model)).where(F.col("similarity") >= threshold)
+    good = scored.unionByName(_heads(split, key, known, unknown, model)).where(F.col("similarity") >= threshold)
     best = F.max(F.struct("similarity", (-F.col("template")).alias("low"), "license")).alias("best")
     return good.groupBy(*key).agg(best).select(*key, "best.license", "best.similarity")
 
