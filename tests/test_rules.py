@@ -306,6 +306,19 @@ def test_a_list_is_many_tasks_and_a_subject_keeps_n_rows_in_each(spark, monkeypa
     assert peers.similar_pairs(vectors, None, 4).where("subject_id = 'c0399'").select("customer_id").orderBy("customer_id").first()[0] == "c0000"
 
 
+@pytest.mark.parametrize("groups, bought", [(12, 6), (200, 12)])
+def test_peers_pass_whole_blocks_of_subjects_and_no_pair_is_shuffled(spark, monkeypatch, groups, bought):
+    for name, value in {"BLOCK": 16, "BLOCKS": 3, "SUBJECTS": 40, "_PEERS": (8, 32), "_RUN": 8, "_CELLS": 300}.items():
+        monkeypatch.setattr(peers, name, value)
+    lines = sparse_sales(groups, 300, groups, bought)
+    lines += [(f"{c}-copy", g, x) for c, g, x in lines[:300]]
+    vectors = views.customer_vector(spark.createDataFrame(lines, "customer_id string, product_group_id string, sales_12m decimal(18,2)"))
+    found = peers.similar_pairs(vectors, None, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(subject_id" not in plan and "Window [" not in plan and plan.count("Exchange") == 1, plan
+    assert {(r[0], r[1], r[2], r[3]) for r in found.collect()} == brute_pairs(lines, sorted({c for c, _, _ in lines}), 5)
+
+
 def test_vocabulary_lists_every_common_group(spark):
     groups = [f"g{i:03d}" for i in range(230)]
     lines = sales(spark, *[("1", "2024-05-01", g, "10") for g in groups])
