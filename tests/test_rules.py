@@ -319,6 +319,16 @@ def test_peers_pass_whole_blocks_of_subjects_and_no_pair_is_shuffled(spark, monk
     assert {(r[0], r[1], r[2], r[3]) for r in found.collect()} == brute_pairs(lines, sorted({c for c, _, _ in lines}), 5)
 
 
+def test_gaps_carry_a_peers_groups_as_one_row_and_sort_no_bought_row(spark):
+    lines = sales(spark, *[("A", day(5), "g", 10), ("B", day(5), "g", 10), ("B", day(5), "h", 4), ("C", day(5), "g", 10), ("C", day(5), "h", 2)])
+    lines = lines.withColumn("product_group_desc", F.expr("CASE WHEN customer_id = 'C' THEN 'Z ' || product_group_id WHEN product_group_id = 'g' THEN product_group_desc END"))
+    pg12 = stage(views.customer_pg_12m(lines, AS_OF), "pg12")
+    pairs = stage(peers.similar_pairs(views.customer_vector(pg12), ids(spark, "A"), 40), "pairs")
+    found = peers.gaps_of_pairs(pairs, pg12, stage(views.customer_pg_ltd(lines), "ltd"), 10)
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found, "product_group_id", "product_group_desc", "lookalike_buyers", "avg_sales_per_buyer") == [("h", "Z h", 2, D(3))]
+
+
 def test_vocabulary_lists_every_common_group(spark):
     groups = [f"g{i:03d}" for i in range(230)]
     lines = sales(spark, *[("1", "2024-05-01", g, "10") for g in groups])
