@@ -329,6 +329,20 @@ def test_gaps_carry_a_peers_groups_as_one_row_and_sort_no_bought_row(spark):
     assert rows(found, "product_group_id", "product_group_desc", "lookalike_buyers", "avg_sales_per_buyer") == [("h", "Z h", 2, D(3))]
 
 
+def test_lines_are_not_dealt_out_by_customer(spark, tables):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        names = tables.invoice_sales.select("customer_name", "product_group_id", "extended_price")
+        plan = names._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    by_customer = [i for i, line in enumerate(plan) if "hashpartitioning(o_custkey" in line]
+    assert by_customer and not [i for i in by_customer if "l_partkey" in plan[i + 1]]
+
+
 def test_vocabulary_lists_every_common_group(spark):
     groups = [f"g{i:03d}" for i in range(230)]
     lines = sales(spark, *[("1", "2024-05-01", g, "10") for g in groups])
