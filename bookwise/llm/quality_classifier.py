@@ -101,24 +101,39 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             rows = tf_idf(term_counts(texts), idf)
-            packed = pa.array([r.tobytes() for r in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), packed], ["doc_id", "quality", "row"])
+            met = [np.flatnonzero(r) for r in rows]
+            terms = pa.array([m.astype(np.uint16).tobytes() for m in met], pa.binary())
+            packed = pa.array([r[m].tobytes() for r, m in zip(rows, met)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), terms, packed], ["doc_id", "quality", "terms", "row"])
 
-    sample = labelled_sample(docs, labels).mapInArrow(vectors, "doc_id long, quality int, row binary").collect()
+    sample = labelled_sample(docs, labels).mapInArrow(vectors, "doc_id long, quality int, terms binary, row binary").collect()
     sample.sort(key=lambda r: r["doc_id"])
     if not sample:
         return {"idf": idf, "project": np.zeros((TERMS, 1), np.float32), "vectors": np.zeros((0, 1), np.float32), "votes": np.zeros(0, np.float32)}
-    x = np.stack([np.frombuffer(r["row"], np.float32) for r in sample])
     votes = np.array([r["quality"] for r in sample], np.float32)
-    del sample
-    # right singular vectors through the small Gram matrix of the sample
-    values, left = np.linalg.eigh((x @ x.T).astype(np.float64))
+    # right singular vectors through the small Gram matrix of the sample; the rows are unfolded anew
+    # after it, so that the driver never holds them beside the work space of the decomposition
+    x = _unfolded(sample)
+    gram = (x @ x.T).astype(np.float64)
+    del x
+    values, left = np.linalg.eigh(gram)
+    del gram
     best = np.argsort(-values)[:RANK]
     best = best[values[best] > 1e-6 * max(values.max(), 1e-12)]
-    project = (x.T @ (left[:, best] / np.sqrt(values[best])).astype(np.float32)).astype(np.float32)
+    left = left[:, best]
+    x = _unfolded(sample)
+    project = (x.T @ (left / np.sqrt(values[best])).astype(np.float32)).astype(np.float32)
     return {"idf": idf, "project": project, "vectors": _unit(x @ project), "votes": votes}
 
 
+def _unfolded(sample: list) -> np.ndarray:
+    """The sample's rows of TERMS weights; they travel as the terms a text holds."""
+    x = np.zeros((len(sample), TERMS), np.float32)
+    for row, r in zip(x, sample):
+        row[np.frombuffer(r["terms"], np.uint16)] = np.frombuffer(r["row"], np.float32)
+    return x
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 

@@ -234,3 +234,10 @@ def test_license_sql_compares_the_same_units(spark, tmp_path):
     theirs = Counter(tuple(r[names.index(c)] for c in ("page_id", "license", "similarity", "how", "from_dir")) for r in result.fetchall())
     ours = licenses.op2_license_scan(spark, str(tmp_path)).select("page_id", "license", "similarity", "how", "from_dir").collect()
     assert Counter(map(tuple, ours)) == theirs and sum(r["how"] == "inherited" for r in ours) >= 2
+
+
+def test_labelled_rows_travel_as_the_terms_they_hold():
+    rows = qc.tf_idf(qc.term_counts(["some words of a text", "", "more more words"]), np.ones(qc.TERMS, np.float32))
+    sent = [{"terms": np.flatnonzero(r).astype(np.uint16).tobytes(), "row": r[np.flatnonzero(r)].tobytes()} for r in rows]
+    assert sum(len(s["terms"]) + len(s["row"]) for s in sent) < 1_000
+    assert np.array_equal(qc._unfolded(sent), rows)
