@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import ctypes
 from collections import defaultdict
-from collections.abc import Iterator
-from itertools import chain, count
+from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once in a task, whatever the size of the batch Spark sends.
 SLICE_BYTES = 4 << 20
+#: The same where the arrays made of a text take some twenty times its bytes: a Python worker stays as large as its largest slice.
+SHORT_SLICE_BYTES = 1 << 20
 
 
 def give_back() -> None:
@@ -48,13 +50,14 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().split()
 
 
-def numbered(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Word numbers of all texts end to end, the texts' starts (one more than texts), and the distinct words by number."""
+def numbered(words: Iterable[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Word numbers of all texts end to end, the texts' starts (one more than texts), and the distinct words by number.
+
+    The words of one text at a time are held if ``words`` makes them one by one.
+    """
     vocabulary: defaultdict[bytes, int] = defaultdict(count().__next__)
-    starts = np.zeros(len(words) + 1, np.int64)
-    np.cumsum([len(w) for w in words], out=starts[1:])
-    numbers = np.fromiter(map(vocabulary.__getitem__, chain.from_iterable(words)), np.int64, int(starts[-1]))
-    return numbers, starts, list(vocabulary)
+    numbers = [np.zeros(0, np.int64), *(np.fromiter(map(vocabulary.__getitem__, w), np.int64, len(w)) for w in words)]
+    return np.concatenate(numbers), np.cumsum([len(x) for x in numbers]), list(vocabulary)
 
 
 def per_text(values: np.ndarray, starts: np.ndarray) -> np.ndarray:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bookwise.functions.staging import stage
-from bookwise.llm.batches import give_back, numbered, slices
+from bookwise.llm.batches import SHORT_SLICE_BYTES, give_back, numbered, slices
 from bookwise.llm.common import WORD, frequent, lookup, small, table, text_or_empty
 from bookwise.llm.components import connected
 
@@ -54,7 +54,7 @@ CROWDED = 8
 #: Index entries a task sorts at once, and text bytes that give about one entry.
 PART_ENTRIES, BYTES_PER_ENTRY = 2_000_000, 8
 #: Index entries a task gathers before it sends them.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Members of a family of near copies that a task compares with as many others.
 BLOCK, BLOCK_BYTES = 256, 2 << 20
 #: Pairs of one pivot that are verified in one task.
@@ -94,7 +94,7 @@ def lowered_words(text: str) -> list[bytes]:
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """Sorted 64-bit fingerprints of each text's distinct shingles."""
-    numbers, starts, vocabulary = numbered([lowered_words(t) for t in texts])
+    numbers, starts, vocabulary = numbered(map(lowered_words, texts))
     code = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))[numbers]
     total = np.zeros(len(code), np.uint64)
     for k in range(WIDTH):
@@ -186,7 +186,7 @@ def _index(docs: DataFrame, parts: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
         met = np.zeros(0, np.uint64)
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, limit=SHORT_SLICE_BYTES):
             sets = shingle_sets(texts)
             size = np.array([len(s) for s in sets], np.int64)
             flat = np.concatenate(sets)

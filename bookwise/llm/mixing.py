@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from bookwise.functions.staging import stage
-from bookwise.llm.common import part_of, ranked, small, table, text_or_empty, twins, word_count
+from bookwise.llm.common import local, part_of, ranked, small, table, text_or_empty, twins, word_count
 from bookwise.llm.draws import even, splitting_tree
 
 #: Weights of the sources in code point order, repeated; null is the last source.
@@ -108,8 +108,8 @@ def mix(
         full = min(most, int(target // r["size"])) if r["size"] else 0
         rest = min(round(target) - full * r["size"], r["size"]) if full < most else 0
         plan.append((i, r["source"], r["size"], target, full, max(0, rest)))
-    sources = spark.createDataFrame(
-        plan, "sid int, of_source string, source_size long, target double, full int, rest long"
+    sources = local(
+        spark, plan, "sid int, of_source string, source_size long, target double, full int, rest long"
     )
     sources = small(sources, len(plan))
 
@@ -133,8 +133,8 @@ def mix(
     quotas = dict(chosen.groupBy("sid").agg(F.sum("copies")).collect())
     quota = [quotas.get(i, 0) for i in range(len(plan))]
     leaves = splitting_tree(np.random.default_rng(seed), quota, even(sum(quota), n_shards))
-    ends = spark.createDataFrame(
-        [(i, [int(x) for x in np.cumsum([leaf[i] for leaf in leaves])]) for i in range(len(plan))], "sid int, ends array<long>"
+    ends = local(
+        spark, [(i, [int(x) for x in np.cumsum([leaf[i] for leaf in leaves])]) for i in range(len(plan))], "sid int, ends array<long>"
     )
     copies = chosen.where(F.col("copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     for k, name in enumerate(("deal", "deal2", "place", "place2")):

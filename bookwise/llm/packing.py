@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from bookwise.functions.staging import stage
 from bookwise.llm.batches import slices
-from bookwise.llm.common import small, table, text_or_empty, twins
+from bookwise.llm.common import local, small, table, text_or_empty, twins
 from bookwise.llm.tokens import encode_all, tokenizer_path
 
 WINDOW = 2048
@@ -214,7 +214,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, seed: int = SEED) ->
         starts.append((g["rem"], g["slice"], seen[g["rem"]], full))
         seen[g["rem"]] += g["n"]
         full += g["full"]
-    first = spark.createDataFrame(starts, "rem int, slice int, rank_start long, full_start long")
+    first = local(spark, starts, "rem int, slice int, rank_start long, full_start long")
     inside = Window.partitionBy("rem", "slice").orderBy("order", "doc_id", "text_hash", "twin")
     numbered = rows.withColumn("at", F.row_number().over(inside) - 1).withColumn("before", F.sum("n_full").over(inside) - F.col("n_full"))
     placed = stage(
@@ -228,8 +228,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, seed: int = SEED) ->
         "doc_id", (F.col("i") * F.lit(window)).cast("long").alias("start"), F.lit(window).cast("long").alias("length"),
         F.expr("crcs[i]").alias("ids_crc32"), "doc_tokens", (F.col("full_id") + F.col("i")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
     )
-    spots = spark.createDataFrame(
-        [(x.rem, x.first, x.n, x.start, x.length, x.sequence, x.offset) for x in intervals],
+    spots = local(
+        spark, [(x.rem, x.first, x.n, x.start, x.length, x.sequence, x.offset) for x in intervals],
         "rem int, first long, n long, at long, length long, sequence long, offset long",
     )
     rest = placed.where("rem > 0").join(small(spots, len(intervals)), "rem").where("rank >= first AND rank < first + n")

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from bookwise.llm.batches import slices, words_of
+from bookwise.llm.batches import SHORT_SLICE_BYTES, slices, words_of
 from bookwise.llm.common import table
 
 #: Hashed byte trigrams, and one further term: a word that repeats the word before it.
@@ -50,8 +50,12 @@ def term_counts(texts: list[str]) -> np.ndarray:
 def tf_idf(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Unit rows of sqrt(term frequency) * idf; a text without terms stays zero."""
     total = np.maximum(counts[:, :TRIGRAMS].sum(1, keepdims=True), 1)
-    rows = np.sqrt(np.concatenate([counts[:, :TRIGRAMS] / total, counts[:, TRIGRAMS:]], 1)) * idf
-    return (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    rows = np.array(counts)
+    rows[:, :TRIGRAMS] /= total
+    np.sqrt(rows, out=rows)
+    rows *= idf
+    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+    return rows
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -59,7 +63,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(TERMS + 1, np.int64)
-        for _, texts in slices(batches):
+        for _, texts in slices(batches, limit=SHORT_SLICE_BYTES):
             for at in range(0, len(texts), BLOCK):
                 block = term_counts(texts[at : at + BLOCK])
                 found[:TERMS] += (block > 0).sum(0)
@@ -99,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     idf[TRIGRAMS] = REPEAT_WEIGHT
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, limit=SHORT_SLICE_BYTES):
             rows = tf_idf(term_counts(texts), idf)
             met = [np.flatnonzero(r) for r in rows]
             terms = pa.array([m.astype(np.uint16).tobytes() for m in met], pa.binary())
@@ -150,13 +154,15 @@ def vote(rows: np.ndarray, model: dict[str, np.ndarray], neighbours: int = NEIGH
         return np.full(len(rows), 0.5)
     k = min(neighbours, len(votes))
     # a block of one size whatever the number of rows: products are summed alike
-    block = np.zeros((max(BLOCK, len(rows)), rows.shape[1]), np.float32)
-    block[: len(rows)] = rows
-    similar = (_unit(block @ model["project"]) @ model["vectors"].T)[: len(rows)]
+    n = len(rows)
+    if n < BLOCK:
+        rows = np.concatenate([rows, np.zeros((BLOCK - n, rows.shape[1]), np.float32)])
+    similar = (_unit(rows @ model["project"]) @ model["vectors"].T)[:n]
     steps = np.rint(similar * GRID).astype(np.int64)
     # one number tells nearness and place, so no two are equal
-    place = steps * len(votes) - np.arange(len(votes))
-    nearest = np.sort(np.argpartition(-place, k - 1, axis=1)[:, :k], axis=1)
+    place = steps * -len(votes)
+    place += np.arange(len(votes))
+    nearest = np.sort(np.argpartition(place, k - 1, axis=1)[:, :k], axis=1)
     weight = np.square(np.maximum(np.take_along_axis(steps, nearest, 1), 0) / GRID)
     total = weight.sum(1)
     return np.where(total > 1e-9, (weight * votes[nearest]).sum(1) / np.maximum(total, 1e-9), votes.mean())
@@ -172,7 +178,7 @@ def keep(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, limit=SHORT_SLICE_BYTES):
             yield part.filter(pa.array(_scores(texts, shared.value) >= 0.5))
 
     return docs.mapInArrow(pick, docs.schema)
@@ -190,7 +196,7 @@ def classify(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, limit=SHORT_SLICE_BYTES):
             scores = _scores(texts, shared.value)
             out = pa.Table.from_batches([part]).select(others).append_column("score", pa.array(scores))
             yield from out.append_column("predicted", pa.array((scores >= 0.5).astype(np.int32))).to_batches()

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bookwise.llm.batches import numbered, per_text, slices, words_of
+from bookwise.llm.batches import SHORT_SLICE_BYTES, numbered, per_text, slices, words_of
 from bookwise.llm.common import small, table
 
 #: Buckets of the two multinomials: words and pairs of neighbouring words share them.
@@ -32,14 +32,21 @@ def _code(word: bytes) -> int:
 
 def ngram_buckets(texts: list[str], n_buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all words and of all word pairs, end to end, and the starts of each text in both."""
-    numbers, starts, vocabulary = numbered([words_of(t) for t in texts])
+    return _buckets(*numbered(map(words_of, texts)), n_buckets)
+
+
+def _buckets(numbers: np.ndarray, starts: np.ndarray, vocabulary: list[bytes], n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     code = np.fromiter(map(_code, vocabulary), np.int64, len(vocabulary))[numbers]
     inside = np.ones(max(0, len(code) - 1), bool)
     cuts = starts[1:-1]
     inside[cuts[(cuts > 0) & (cuts < len(code))] - 1] = False
-    pairs = ((code[:-1] * 1_000_003 + code[1:]) % n_buckets)[inside]
+    pairs = code[:-1] * 1_000_003
+    pairs += code[1:]
+    pairs %= n_buckets
+    pairs = pairs[inside]
     lengths = np.maximum(np.diff(starts) - 1, 0)
-    return code % n_buckets, starts, pairs, np.concatenate([[0], np.cumsum(lengths)])
+    code %= n_buckets
+    return code, starts, pairs, np.concatenate([[0], np.cumsum(lengths)])
 
 
 def ngram_counts(docs: DataFrame, n_buckets: int = BUCKETS) -> DataFrame:
@@ -47,7 +54,7 @@ def ngram_counts(docs: DataFrame, n_buckets: int = BUCKETS) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_buckets, np.int64)
-        for _, texts in slices(batches):
+        for _, texts in slices(batches, limit=SHORT_SLICE_BYTES):
             words, _, pairs, _ = ngram_buckets(texts, n_buckets)
             total += np.bincount(words, minlength=n_buckets) + np.bincount(pairs, minlength=n_buckets)
         met = np.flatnonzero(total)
@@ -95,22 +102,21 @@ def _repeated(numbers: np.ndarray) -> int:
     return int(covered.sum())
 
 
-def _base(texts: list[str]) -> dict[str, list[int]]:
-    numbers, starts, _ = numbered([words_of(t) for t in texts])
-    lines = [[x for x in t.split("\n") if x.strip(SPACES)] for t in texts]
+def _base(texts: list[str], numbers: np.ndarray, starts: np.ndarray) -> dict[str, list[int]]:
     return {
         "n_words": np.diff(starts).tolist(),
         "word_chars": [len(t) - sum(map(t.count, SPACES)) for t in texts],
         "n_symbols": [sum(map(t.count, SYMBOLS)) for t in texts],
-        "n_dup_lines": [len(x) - len(set(x)) for x in lines],
+        "n_dup_lines": [len(x) - len(set(x)) for x in ([y for y in t.split("\n") if y.strip(SPACES)] for t in texts)],
         "n_repeat_words": [_repeated(numbers[a:b]) for a, b in zip(starts[:-1], starts[1:])],
     }
 
 
 def _judged(texts: list[str], weight: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
     """Base figures, summed weights, number of n-grams, and who fails the base rules."""
-    base = _base(texts)
-    words, starts, pairs, pair_starts = ngram_buckets(texts, len(weight))
+    numbers, starts, vocabulary = numbered(map(words_of, texts))
+    base = _base(texts, numbers, starts)
+    words, _, pairs, pair_starts = _buckets(numbers, starts, vocabulary, len(weight))
     total = per_text(weight[words], starts) + per_text(weight[pairs], pair_starts)
     n, again = np.array(base["n_words"]), np.array(base["n_repeat_words"])
     failed = (n < MIN_WORDS) | (100 * again > MAX_REPEAT_PERCENT * n)
@@ -135,7 +141,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
     shared, limit = docs.sparkSession.sparkContext.broadcast(weights), round(threshold * SCALE)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, limit=SHORT_SLICE_BYTES):
             base, total, grams, failed = _judged(texts, shared.value)
             out = pa.Table.from_batches([part]).select(others)
             for name in names:
@@ -152,7 +158,7 @@ def keep(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
     shared, limit = docs.sparkSession.sparkContext.broadcast(weights), round(threshold * SCALE)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, limit=SHORT_SLICE_BYTES):
             _, total, grams, failed = _judged(texts, shared.value)
             yield part.filter(pa.array(~failed & (total >= limit * grams)))
 

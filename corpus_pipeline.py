@@ -11,7 +11,7 @@ from bookwise.llm.tokens import tokenizer_path
 
 
 #: Rows of an Arrow batch: whole texts cross to Python, so a batch of Spark's 10,000 rows would hold tens of MB on both sides.
-ARROW_ROWS = 1_000
+ARROW_ROWS = 500
 
 
 def _short_batches(spark: SparkSession) -> None:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bookwise.llm import licenses, quality_classifier as qc, quality_rules as qr
+from bookwise.llm import batches, licenses, quality_classifier as qc, quality_rules as qr
 
 from conftest import SF_DIR
 
@@ -58,6 +58,23 @@ def test_wide_vocabularies_count_repeats_alike():
     assert qr._repeated(numbers) == qr._repeated(numbers + (1 << 22)) > 0
 
 
+def test_words_are_held_one_text_at_a_time():
+    class Words(list):
+        live = most = 0
+
+        def __init__(self, text):
+            super().__init__(batches.words_of(text))
+            Words.live += 1
+            Words.most = max(Words.most, Words.live)
+
+        def __del__(self):
+            Words.live -= 1
+
+    numbers, starts, vocabulary = batches.numbered(map(Words, ["b a b", "", "c a", "d"] * 5))
+    assert Words.most <= 2 and vocabulary == [b"b", b"a", b"c", b"d"]
+    assert numbers.tolist() == [0, 1, 0, 2, 1, 3] * 5 and starts.tolist() == [0] + [6 * k + n for k in range(5) for n in (3, 3, 5, 6)]
+
+
 def test_llr_separates_and_is_repeatable(spark):
     good = [(i, " ".join(f"w{(i * 7 + k) % 40}" for k in range(80))) for i in range(30)]
     junk = [(100 + i, " ".join(f"w{(i + k * k) % 40}$$" for k in range(80))) for i in range(30)]

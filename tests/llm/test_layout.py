@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from bookwise.llm import draws, mixing, packing, sharding, tokens, warc
+from bookwise.llm import common, draws, mixing, packing, sharding, tokens, warc
 
 
 # --- draws -----------------------------------------------------------------------
@@ -132,6 +132,19 @@ def test_mix_takes_columns_of_any_name(spark):
             mixing.mix(units.withColumn(name, F.lit(1)))
 
 
+def test_rows_of_the_driver_start_no_python_workers(spark):
+    units = spark.range(60).selectExpr("id", "'a' AS source", "1 + id % 7 AS size")
+    docs = spark.range(40).selectExpr("id AS doc_id", "repeat('one two three ', int(id % 9)) AS text")
+    for df in (mixing.mix(units, n_shards=3), packing.pack(docs, tokens.tokenizer_path(), window=16)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "LocalRelation" in plan and "LogicalRDD" not in plan
+    rows = [(1, None, [1, 2], 0.5), (2, "é", [], None)]
+    schema = "a int, b string, c array<long>, d double"
+    for part in (rows, rows[:1], []):
+        assert [tuple(r) for r in common.local(spark, part, schema).collect()] == part
+        assert common.local(spark, part, schema).schema.simpleString() == "struct<a:int,b:string,c:array<bigint>,d:double>"
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(spark.createDataFrame([], UNITS)).count() == 0
     empty = mixing.mix(spark.createDataFrame([(1, "a", 0), (2, None, None)], UNITS)).collect()
