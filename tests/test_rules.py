@@ -5,6 +5,7 @@ import math
 import random
 from decimal import Decimal as D
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import customers, ids, make, only, rows, sales
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from bookwise import constants as K
 from bookwise.context import Scope, Settings, months_before
 from bookwise.functions.staging import stage
-from bookwise.operators import customer, peers, triggers, views
+from bookwise.operators import alike, customer, peers, triggers, views
 from bookwise.sources import fixture, sinks
 
 AS_OF = "2024-06-30"
@@ -319,6 +320,45 @@ def test_peers_pass_whole_blocks_of_subjects_and_no_pair_is_shuffled(spark, monk
     assert {(r[0], r[1], r[2], r[3]) for r in found.collect()} == brute_pairs(lines, sorted({c for c, _, _ in lines}), 5)
 
 
+def test_lookalikes_of_everybody_join_and_shuffle_no_pair(spark, monkeypatch):
+    for name, value in {"BLOCK": 16, "BLOCKS": 3, "SUBJECTS": 40}.items():
+        monkeypatch.setattr(peers, name, value)
+    lines = sparse_sales(5, 150, 70, 9)
+    pg12 = spark.createDataFrame(lines, "customer_id string, product_group_id string, sales_12m decimal(18,2)")
+    everybody = sorted({c for c, _, _ in lines})
+    dim = views.customer_all(customers(spark, *[(c, f"K{c}", "1") for c in everybody]), make(spark, "salesreps", []))
+    found = peers.lookalikes(pg12, dim, None, 6)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1, plan
+    want = {(a, b, f"N{b}", f"K{b}", math.floor(raw * 1000 + 0.5) / 1000, round(x)) for a, b, raw, x in brute_pairs(lines, everybody, 6)}
+    assert {(*r[:5], int(r[5])) for r in found.collect()} == want
+
+
+def test_most_peers_are_left_out_by_leaf_and_twig(monkeypatch):
+    rng = random.Random(7)
+    rows = []
+    for i in range(3000):
+        mix = {g: rng.random() for g in rng.sample(range(1, 9), 2)}
+        norm = sum(v * v for v in mix.values()) ** 0.5
+        rows.append({"customer_id": f"c{i:04d}", "rank": i, "peer": True, "places": sorted(mix), "w": [round(mix[g] / norm * 2**26) for g in sorted(mix)]})
+    rows.sort(key=lambda r: sorted(zip(r["w"], r["places"]), reverse=True)[0][1])
+    table = pa.Table.from_pylist(rows)
+    table = table.take(pa.array(alike.arrange(table, 8)))
+    seen, compare = [], alike.Best._compare
+    monkeypatch.setattr(alike.Best, "_compare", lambda self, run, *args: seen.append(len(args[-1]) * self.runs.sizes[run]) or compare(self, run, *args))
+    pairs = alike.best_peers(table, [table], 10, (512, 1 << 17), 1 << 20).pairs()
+    dense = np.zeros((3000, 9))
+    for r in table.to_pylist():
+        dense[r["rank"], r["places"]] = r["w"]
+    raw = dense @ dense.T / 2.0**52
+    key = np.where(raw >= K.MIN_SIMILARITY, np.floor(raw * 1000 + 0.5) * 10_000 - np.arange(3000), -1)
+    np.fill_diagonal(key, -1)
+    best = np.argsort(-key, axis=1)[:, :10]
+    want = {(a, int(b)) for a in range(3000) for b in best[a] if key[a, b] >= 0}
+    assert set(zip(table["rank"].to_numpy()[pairs.s].tolist(), pairs.rank.tolist())) == want
+    assert sum(seen) < 0.3 * 3000 * 3000
+
+
 def test_gaps_carry_a_peers_groups_as_one_row_and_sort_no_bought_row(spark):
     lines = sales(spark, *[("A", day(5), "g", 10), ("B", day(5), "g", 10), ("B", day(5), "h", 4), ("C", day(5), "g", 10), ("C", day(5), "h", 2)])
     lines = lines.withColumn("product_group_desc", F.expr("CASE WHEN customer_id = 'C' THEN 'Z ' || product_group_id WHEN product_group_id = 'g' THEN product_group_desc END"))
