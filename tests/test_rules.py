@@ -359,6 +359,33 @@ def test_most_peers_are_left_out_by_leaf_and_twig(monkeypatch):
     assert sum(seen) < 0.3 * 3000 * 3000
 
 
+def test_gaps_of_everybody_join_no_pair_and_equal_those_of_few(spark, monkeypatch):
+    rng = random.Random(3)
+    lines, earlier = [], []
+    for c in range(150):
+        for g in rng.sample(["a", "b", "c", "d", "e", "f", "g", "h", None], rng.randrange(1, 7)):
+            lines.append((f"c{c:03d}", f"2024-0{rng.randrange(1, 6)}-01", g, None if g == "h" else rng.choice([None, -5, *range(1, 90)])))
+        earlier += [(f"c{c:03d}", "2020-01-01", g, rng.randrange(9, 99)) for g in rng.sample(["a", "b", "c", "z", None], 2)]
+    recent = sales(spark, *lines).withColumn("product_group_desc", F.expr("CASE WHEN extended_price > 60 THEN 'Z' WHEN extended_price > 9 THEN product_group_desc END"))
+    pg12 = stage(views.customer_pg_12m(recent, AS_OF), "pg12")
+    ltd = stage(views.customer_pg_ltd(recent.unionByName(sales(spark, *earlier))), "ltd")
+    dim = views.customer_all(customers(spark, *[(f"c{c:03d}", "K", "1") for c in range(140)]), make(spark, "salesreps", []))
+    everybody = pg12.select("customer_id")
+
+    def found():
+        return peers.lookalike_gap(pg12, ltd, None, 9, 20, dim), peers.peer_gap(pg12, ltd, dim, everybody, 20, 9)
+
+    want = [rows(df) for df in found()]
+    for name, value in {"BLOCK": 16, "BLOCKS": 3, "SUBJECTS": 40}.items():
+        monkeypatch.setattr(peers, name, value)
+    gaps, listed = found()
+    plan = gaps._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and plan.count("Exchange") == 1, plan
+    assert [rows(gaps), rows(listed)] == want
+    assert gaps.schema.simpleString() == peers.lookalike_gap(pg12, ltd, ids(spark, "c001"), 9, 20, dim).schema.simpleString()
+    assert any(r["avg_sales_per_buyer"] is None for r in gaps.collect()) and any(r["product_group_id"] is None for r in gaps.collect())
+
+
 def test_gaps_carry_a_peers_groups_as_one_row_and_sort_no_bought_row(spark):
     lines = sales(spark, *[("A", day(5), "g", 10), ("B", day(5), "g", 10), ("B", day(5), "h", 4), ("C", day(5), "g", 10), ("C", day(5), "h", 2)])
     lines = lines.withColumn("product_group_desc", F.expr("CASE WHEN customer_id = 'C' THEN 'Z ' || product_group_id WHEN product_group_id = 'g' THEN product_group_desc END"))
